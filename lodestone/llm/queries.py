@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontamination, exact_dedup, sharding
+from lodestone.llm import chat, decontamination, exact_dedup, packing, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,31 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def crc_mod(n: int) -> Column:
+    """crc32 of the id as text, modulo n: the rule that holds rows out of training."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod(4) == 2, threshold=0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op4_exact_dedup, op5_sharding, op6_decontamination)}
+    return {f.__name__: f for f in (op1_chat_format, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -78,4 +102,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
                    sha256(coalesce(its.s, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
             FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+        "op9_substring_dedup": r"""
+            WITH d AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            win AS (
+                SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+            early AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM win) WHERE m < doc_id),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM early),
+            g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+            SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+                   sha256(CASE WHEN ps IS NULL THEN coalesce(array_to_string(w, ' '), '')
+                          ELSE array_to_string([x[1] FOR x IN list_zip(w, range(1, len(w) + 1)) IF NOT list_contains(ps, x[2])], ' ') END) AS kept_sha256
+            FROM d LEFT JOIN g USING (doc_id)""",
     }
