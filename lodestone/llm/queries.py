@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontamination, exact_dedup, packing, sharding, substring_dedup, toxicity
+from lodestone.llm import chat, decontamination, exact_dedup, language_id, near_dedup, packing, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(turns.unionByName(extra)))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod(3) == 1
+    model = language_id.train(docs, learn=~held_out)
+    return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_language_id, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -82,6 +92,22 @@ def oracle_sql() -> dict[str, str]:
                    (7 + sum(n + CASE WHEN (role = lag_role) IS TRUE THEN 6 ELSE 14 + r END))::BIGINT AS formatted_chars
             FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS lag_role FROM e)
             GROUP BY conv_id""",
+        "op2_minhash_dedup": r"""
+            WITH RECURSIVE d AS (
+                SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            s AS MATERIALIZED (
+                SELECT DISTINCT doc_id, hash(array_to_string(w[i:i+3], ' ')) AS g
+                FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+            c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            p AS MATERIALIZED (
+                SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) q
+                JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * shared >= 80 * (ca.n + cb.n - shared)),
+            r AS (
+                SELECT doc_id AS a, doc_id AS b FROM documents
+                UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+            m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+            SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+            FROM d JOIN m ON m.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
         "op4_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
