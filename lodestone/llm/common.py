@@ -53,12 +53,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with the package shipped."""
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def keep_rows(df: DataFrame, mask: Callable[[pa.RecordBatch], np.ndarray], text_col: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """The whole rows for which mask, given slices of them, is true. No row leaves its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, text_col, limit):
+            yield batch.filter(pa.array(mask(batch), pa.bool_()))
+
+    return map_batches(df, run, df.schema)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(ddl))
 

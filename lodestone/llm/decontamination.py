@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textvec
-from lodestone.llm.common import arrow_schema, map_batches, text_slices
+from lodestone.llm.common import arrow_schema, keep_rows, map_batches, text_slices
 
 #: Windows that one broadcast holds: about 100 bytes each.
 PATTERN_BLOCK = 200_000
@@ -90,8 +90,8 @@ def windows_of(items: list[tuple[str, str]], window: int) -> dict[tuple[bytes, .
 
 
 def _searcher(engines):
-    def scan(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int]], set[str], textvec.Words]]:
-        words = textvec.find_words(batch.column("text"), textvec.ALNUM, lower=True)
+    def scan(texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]], set[str], textvec.Words]]:
+        words = textvec.find_words(texts, textvec.ALNUM, lower=True)
         h = words.hashes()
         spans, items = defaultdict(list), defaultdict(set)
         for engine in engines.value:
@@ -99,7 +99,7 @@ def _searcher(engines):
                 doc = int(np.searchsorted(words.first, at, "right")) - 1
                 spans[doc].append((at - int(words.first[doc]), engine.m))
                 items[doc] |= engine.owners[i]
-        for doc in range(batch.num_rows):
+        for doc in range(len(texts)):
             yield doc, spans.get(doc, []), items.get(doc, set()), words
 
     return scan
@@ -116,7 +116,7 @@ def _final(engines):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             rows, counts = [], None
-            for _, spans, items, words in scan(batch):
+            for _, spans, items, words in scan(batch.column("text")):
                 counts = words.counts() if counts is None else counts
                 rows.append(_verdict(int(counts[len(rows)]), spans, items))
             columns = list(zip(*rows, strict=True))
@@ -158,6 +158,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     return _over_blocks(source, found)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs without a window of any item, with all their columns."""
+    for block in item_blocks(benchmark, item_col, item_text_col, window):
+        scan = _searcher(docs.sparkSession.sparkContext.broadcast(engines_of(block, window)))
+        docs = keep_rows(docs, lambda batch, scan=scan: np.array([not spans for _, spans, _, _ in scan(batch.column(text_col))], bool), text_col)
+    return docs
+
+
 def _over_blocks(source: DataFrame, found: list) -> DataFrame:
     """One search for each block; the spans of a row are united before they are counted."""
     schema = arrow_schema(_HITS)
@@ -168,7 +176,7 @@ def _over_blocks(source: DataFrame, found: list) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_slices(batches):
                 spans, items, words = [], [], None
-                for _, s, i, words in scan(batch):  # noqa: B007
+                for _, s, i, words in scan(batch.column("text")):  # noqa: B007
                     spans.append([{"start": a, "length": b} for a, b in s])
                     items.append(sorted(i))
                 yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(words.counts()), pa.array(spans, schema.field("spans").type), pa.array(items, schema.field("items").type)], schema=schema)

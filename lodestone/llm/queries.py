@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontamination, exact_dedup, language_id, near_dedup, packing, sharding, substring_dedup, toxicity
+from lodestone.llm import chat, decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents"), min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
@@ -70,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_language_id, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_language_id, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op8_line_dedup, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -128,6 +133,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
                    sha256(coalesce(its.s, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
             FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+        "op8_line_dedup": r"""
+            WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+            k AS (
+                SELECT *, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END FOR t IN string_split_regex(line, '[\x20\x09-\x0D]+') IF t <> ''] AS w FROM l),
+            s AS (SELECT *, len(w) AS n, array_to_string(w[1:3], ' ') AS lead, array_to_string(w, ' ') AS said FROM k WHERE len(w) > 0),
+            c AS MATERIALIZED (SELECT * FROM s WHERE (n, lead) IN (SELECT (n, lead) FROM s GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 5)),
+            d AS MATERIALIZED (SELECT n, lead, said, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM c GROUP BY n, lead, said),
+            p AS (SELECT n, lead, said, docs, unnest(w) AS token, unnest(range(1, n + 1)) AS place FROM d),
+            f AS (SELECT n, lead, place, token FROM p WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 5),
+            t AS (
+                SELECT p.n, p.lead, p.said, string_agg(CASE WHEN f.token IS NULL THEN '<*>' ELSE p.token END, ' ' ORDER BY p.place) AS template, count(f.token) AS constant
+                FROM p LEFT JOIN f USING (n, lead, place, token) GROUP BY p.n, p.lead, p.said),
+            r AS (SELECT c.doc_id, c.pos, t.template FROM c JOIN t ON t.said = c.said WHERE t.constant >= 0.6 * t.n),
+            g AS (SELECT doc_id, list(pos) AS gone FROM r WHERE template IN (SELECT template FROM r GROUP BY template HAVING count(DISTINCT doc_id) >= 5) GROUP BY doc_id)
+            SELECT q.doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
+                   sha256(CASE WHEN gone IS NULL THEN coalesce(text, '') ELSE array_to_string([x[1] FOR x IN list_zip(string_split(text, chr(10)), range(0, len(string_split(text, chr(10))))) IF NOT list_contains(gone, x[2])], chr(10)) END) AS kept_sha256
+            FROM documents q LEFT JOIN g USING (doc_id)""",
         "op9_substring_dedup": r"""
             WITH d AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
             win AS (

@@ -176,7 +176,7 @@ class SubstringIndex:
                 words = textvec.find_words(part.column("text"), textvec.NOT_SPACE)
                 go_on = in_filter(docs_in.value, part.column("position").to_numpy())
                 sha = [None if go_on[i] else hashlib.sha256(textvec.joined_words(words, i)).hexdigest() for i in range(part.num_rows)]
-                texts = pa.compute.if_else(pa.array(go_on), part.column("text"), pa.scalar(None, part.column("text").type))
+                texts = part.column("text").take(pa.array(np.arange(part.num_rows), mask=~go_on))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts()), pa.array(np.zeros(part.num_rows, np.int64)), pa.array(sha, pa.string()), texts], schema=scanned)
 
         def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
