@@ -218,9 +218,9 @@ def q_ordered_dedupe(spark, sf_dir):
 
 
 @query(r"""
-    SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
         '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<noscript\b.*?</noscript>', ' ', 'g'), '(?is)<svg\b.*?</svg>', ' ', 'g'),
-        '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|h[1-6]|tr|section|article)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS page_text
+        '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|h[1-6]|tr|section|article)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS page_text
     FROM pages""")
 def q_html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("page_text"))
