@@ -464,3 +464,15 @@ def q_json_props(spark, sf_dir):
 def q_cube_counts(spark, sf_dir):
     flags = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), "l_returnflag").distinct()
     return table(spark, sf_dir, "events").join(flags, "event_id").cube("event_type", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""
+    SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def q_stream_progress(spark, sf_dir):
+    from lodestone.streaming import progress
+
+    path = f"{sf_dir}/events*.parquet"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)
+    checkpoint = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    counts = progress.run_available(progress.progress_counts(stream, "ts", "event_type", "1 day", "1 hour"), "complete", checkpoint)
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
