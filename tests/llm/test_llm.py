@@ -131,6 +131,7 @@ def test_near_dedup(spark, docs, rows, k):
 def test_near_dedup_blocks(spark, monkeypatch):
     """A bucket of many blocks: a chain of near copies, each like its neighbours alone, and a star."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1000)
     rnd = random.Random(3)
     base = [f"a{i}" for i in range(200)]
     rows, text = [], list(base)
