@@ -138,17 +138,16 @@ def running_offset(df: DataFrame, keys: Sequence[str], order: Sequence[str], del
 def containments(df: DataFrame, key: str, text: str, terms: DataFrame, term_key: str, term: str, most_terms: int = 10_000) -> DataFrame:
     """key, term_key of texts that contain a term (both in lower case).
 
-    Up to most_terms terms are counted first and broadcast in one array; more are met by their first word, an
-    equi-join, before the text is searched.
+    Terms are a stated set of queries; they are gathered in blocks of about most_terms, each one broadcast row, so what
+    is broadcast at a time is bounded, and every text is searched for every block.
     """
     rows = df.select(key, F.lower(text).alias("_text"))
     wanted = terms.select(term_key, F.lower(term).alias("_term")).where("_term <> ''")
-    if wanted.limit(most_terms + 1).count() <= most_terms:
-        packed = wanted.agg(F.collect_list(F.struct(term_key, "_term")).alias("_terms"))
-        joined = rows.join(F.broadcast(packed), F.lit(True))
-        return joined.select(key, F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t["_term"]))).alias("t")).select(key, f"t.{term_key}")
-    words = rows.select(key, "_text", F.explode(F.array_distinct(F.split("_text", r"[^0-9\p{L}]+"))).alias("_word"))
-    first = wanted.withColumn("_word", F.element_at(F.filter(F.split("_term", r"[^0-9\p{L}]+"), lambda w: w != ""), 1))
-    # The first word may stand inside a longer word of the text; such terms are met by a rare whole word instead.
-    inner = first.withColumn("_word", F.coalesce(F.element_at(F.filter(F.slice(F.split("_term", r"[^0-9\p{L}]+"), 2, 10_000), lambda w: w != ""), 1), F.col("_word")))
-    return words.join(inner, "_word").where(F.contains("_text", F.col("_term"))).select(key, term_key).distinct()
+    blocks = max(1, -(-wanted.count() // most_terms))
+    out = None
+    for i in range(blocks):
+        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64(term_key, "_term"), F.lit(blocks)) == i)
+        packed = own.agg(F.collect_list(F.struct(term_key, "_term")).alias("_terms"))
+        found = rows.join(F.broadcast(packed), F.lit(True)).select(key, F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t["_term"]))).alias("t")).select(key, f"t.{term_key}")
+        out = found if out is None else out.unionByName(found)
+    return out
