@@ -79,7 +79,7 @@ def rank_chunks(scored: DataFrame, limit: int = MAX_CHUNKS) -> DataFrame:
     order = [F.desc("score"), F.asc("ref_index"), F.asc("chunk_index")]
     once = Window.partitionBy("url", F.substring("content", 1, 160)).orderBy(*order)
     distinct = scored.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    return rel.rank_cap_topk(distinct, "url", order, _by_kind(KIND_CAPS, F.col("document_kind"), 3), limit)
+    return rel.rank_cap_topk(distinct, "url", order, _by_kind(KIND_CAPS, F.col("document_kind"), 3), limit, max(KIND_CAPS.values()))
 
 
 def changelog_sections(documents: DataFrame, low: str, high: str, budget: int = 3 * CHANGELOG_CHARS, least_tail: int = 200) -> DataFrame:

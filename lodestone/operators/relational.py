@@ -61,10 +61,13 @@ def review_state(decision: Column) -> Column:
     )
 
 
-def rank_cap_topk(df: DataFrame, group: str, order: Sequence[Column], cap: Column, k: int) -> DataFrame:
-    """The best k rows with at most cap of a group. A row's cap may depend on the row, not only on its group."""
+def rank_cap_topk(df: DataFrame, group: str, order: Sequence[Column], cap: Column, k: int, most: int) -> DataFrame:
+    """The best k rows with at most cap of a group. A row's cap may depend on the row, not only on its group.
+
+    most: the largest cap; as a literal it lets Spark limit each group before the shuffle, hot groups too.
+    """
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= cap).orderBy(*order).limit(k).drop("_rank")
+    return ranked.where((F.col("_rank") <= most) & (F.col("_rank") <= cap)).orderBy(*order).limit(k).drop("_rank")
 
 
 def char_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], length: str, budget: int, least_tail: int) -> DataFrame:

@@ -286,7 +286,7 @@ def q_rank_cap_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     rows = rows.select("doc_id", "source", (F.col("n_chars") + 1000 * F.coalesce("quality", F.lit(0))).alias("score"))
     cap = F.when(F.col("source").endswith("0"), 2).otherwise(1)
-    return rel.rank_cap_topk(rows, "source", [F.desc("score"), F.asc("doc_id")], cap, 14)
+    return rel.rank_cap_topk(rows, "source", [F.desc("score"), F.asc("doc_id")], cap, 14, 2)
 
 
 @query("""
