@@ -27,7 +27,7 @@ from lodestone.llm import textvec
 from lodestone.llm.common import arrow_schema, map_batches, materialize, text_slices
 
 _RESULT = "doc_id long, score double"
-_STATE = "coordinate long, z double, n double"
+_STATE = "coordinate int, z float, n float"
 #: Rows that one FTRL update takes together.
 MINI_BATCH = 16
 #: A shard has so many examples at least.
@@ -109,20 +109,19 @@ def fit(examples: DataFrame, model: Ftrl) -> tuple[np.ndarray, np.ndarray]:
 
         def run(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             own_z, own_n = np.zeros(size), np.zeros(size)
-            at, own_z[at], own_n[at] = state.value[0], state.value[1], state.value[2]  # noqa: F841
-            seen = False
+            own_z[state.value[0]], own_n[state.value[0]] = state.value[1], state.value[2]
+            met = np.zeros(size, bool)
             for batch in text_slices(batches):
-                seen = True
                 labels = batch.column("label").to_numpy().astype(np.float64)
-                ftrl_pass(model, own_z, own_n, *features(batch.column("text"), model.bits), labels)
-            if seen:
-                used = np.flatnonzero(own_n)
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(own_z[used]), pa.array(own_n[used])], schema=schema)
+                at, off = features(batch.column("text"), model.bits)
+                ftrl_pass(model, own_z, own_n, at, off, labels)
+                met[at] = met[-1] = True
+            used = np.flatnonzero(met)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((used.astype(np.int32), own_z[used].astype(np.float32), own_n[used].astype(np.float32)), schema, strict=True)], schema=schema)
 
         # A shard that hasn't met a coordinate leaves its state to those that have.
         mean = map_batches(examples, run, _STATE).groupBy("coordinate").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
         rows = mean.toArrow()  # at most 2**bits + 1 rows
-        z, n = np.zeros(size), np.zeros(size)
         at = rows["coordinate"].to_numpy()
         z[at], n[at] = rows["z"].to_numpy(), rows["n"].to_numpy()
         state.unpersist()
@@ -160,6 +159,6 @@ def toxicity(
     if total > max_train:  # ids of hash up to the wanted share, whatever their order in the table
         known = known.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * max_train / total))
     shards = max(1, min(model.shards, total // SHARD_ROWS))
-    examples = materialize(source.join(known, "doc_id").select("text", "label", order.alias("k")).repartition(shards, "k").sortWithinPartitions("k", "label"), "toxicity-examples")
+    examples = materialize(source.join(known, "doc_id").select("text", "label", order.alias("k")).repartition(shards, "k").sortWithinPartitions("k", "label"), "toxicity-examples").coalesce(shards)
     weights = fit(examples.select("text", "label"), model)
     return score(source, weights, model.bits).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
