@@ -28,15 +28,42 @@ from lodestone.llm import textvec
 from lodestone.llm.common import arrow_schema, map_batches, materialize, text_slices
 
 #: Distinct words whose tokens a Python worker remembers; then it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
+#: New words that the tokenizer gets at once.
+JOINED = 10_000
 #: Parts that the pieces of one length are ranked in.
-RANK_SALTS = 256
+RANK_SALTS = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: ASCII letters; and the marks that end a run of letters for the tokenizer. The apostrophe begins a suffix like 's,
+#: and <, | and > belong to the names of special tokens, so words aren't cut there.
+_LETTER, _MARK = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"))
+
+
+def token_words(texts: pa.Array) -> textvec.Words:
+    """Words between ASCII white space, cut once more where a letter meets a mark."""
+    words = textvec.find_words(texts, textvec.NOT_SPACE)
+    data = words.data[:-8]
+    if not len(words):
+        return words
+    # Two-byte letters: 0xC3 and a byte that isn't that of the signs for times and divided by.
+    two = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    begins, ends = _LETTER[data], _LETTER[data]
+    begins[:-1] |= two
+    ends[1:] |= two
+    mark = _MARK[data]
+    cuts = np.flatnonzero((ends[:-1] & mark[1:]) | (mark[:-1] & begins[1:])) + 1
+    inside = np.searchsorted(words.starts, cuts, "right") - 1
+    cuts = cuts[(inside >= 0) & (cuts < words.ends[inside]) & (cuts > words.starts[inside])]
+    starts = np.sort(np.concatenate([words.starts, cuts]))
+    first = np.searchsorted(starts, np.append(words.starts, len(words.data)))[words.first]
+    return textvec.Words(words.data, starts, np.sort(np.concatenate([words.ends, cuts])), first)
+
+
 class WordTokens:
-    """Token ids of words between ASCII white space, which this kind of tokenizer treats apart; remembers them."""
+    """Token ids of words that this kind of tokenizer treats apart; remembers them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,25 +74,29 @@ class WordTokens:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         if len(self.keys) > CACHE_WORDS:
             self.clear()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
+        parts = [self.tokenizer.encode(" ".join(words[i : i + JOINED]), add_special_tokens=False) for i in range(0, len(words), JOINED)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in parts])
+        # A token belongs to the word that its first character lies in.
+        ends = np.cumsum([len(w) + 1 for w in words])
+        base = [0, *ends[JOINED - 1 :: JOINED].tolist()]
+        first = np.concatenate([np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids)) + b for e, b in zip(parts, base, strict=False)])
+        size = np.bincount(np.searchsorted(ends, first, "right"), minlength=len(words))
         at = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate([self.pool, flat])
         where = np.searchsorted(self.keys, keys)
-        self.at, self.size = np.insert(self.at, where, at), np.insert(self.size, where, size)
+        self.at, self.size = np.insert(self.at, where, at.astype(np.int32)), np.insert(self.size, where, size.astype(np.int32))
         self.keys = np.insert(self.keys, where, keys)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all texts, offset of each text and the total)."""
-        words = textvec.find_words(texts, textvec.NOT_SPACE)
+        words = token_words(texts)
         keys, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
         known = np.searchsorted(self.keys, keys)
         fresh = np.ones(len(keys), bool)
@@ -78,7 +109,7 @@ class WordTokens:
             self.learn(keys[fresh], [words.text(i).decode() for i in first[fresh]])
             known = np.searchsorted(self.keys, keys)
         at, size = self.at[known][back], self.size[known][back]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         ids = self.pool[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return ids, np.concatenate([[0], ends])[words.first]
 
@@ -173,7 +204,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int, keep: tuple[str, ...] = ("do
     counts = {r["length"]: r["n"] for r in salted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     plan = spark.createDataFrame(best_fit_rounds(counts, capacity), "length long, lo long, n long, first_seq long, each long, offset0 long")
     inside = Window.partitionBy("length", "salt").orderBy("row_key")
-    ranked = rows.withColumn("in_salt", F.row_number().over(inside) - 1).join(F.broadcast(bases), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("in_salt"))
+    ranked = rows.withColumn("in_salt", F.row_number().over(inside) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("in_salt"))
     at = F.col("rank") - F.col("lo")
     return ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (at >= 0) & (at < F.col("n"))).select(
         *(ranked[c] for c in keep),

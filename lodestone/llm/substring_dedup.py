@@ -37,7 +37,7 @@ from lodestone.llm.common import arrow_schema, filter_position, id_filter, in_fi
 ANCHOR = 5
 MAX_RUNS = 4
 #: Text bytes whose hashes share a bucket; entries that a task gathers before it hands them on.
-BUCKET_BYTES, FLUSH = 32 << 20, 2_000_000
+BUCKET_BYTES, FLUSH = 12 << 20, 1_000_000
 #: Bits (as a power of 2) of the bitmap that spares documents: 0.5 MB, whatever the input. That of anchors has at
 #: most 2**30 (128 MB).
 DOC_BITS, MOST_ANCHOR_BITS = 22, 30

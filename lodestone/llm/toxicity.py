@@ -52,8 +52,8 @@ class Ftrl:
         return -shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
 
 
-def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct coordinates of each text, offset of each text and the total)."""
+def features(texts: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct coordinates of each text, offset of each text and the total); only those that wanted marks, if given."""
     words = textvec.find_words(texts, textvec.ALNUM, lower=True)
     n, docs = len(words), words.texts()
     h = words.hashes()
@@ -68,8 +68,14 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
             same = docs[step:] == docs[:-step]
             found.append(textvec.mix(h[:-step] * np.uint64(2 * step + 1) + h[step:] * np.uint64(0x9E3779B97F4A7C15))[same])
             owner.append(docs[step:][same])
-    place = np.concatenate(owner).astype(np.int64) << bits | (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
-    place = np.unique(place)
+    parts = []
+    for h, doc in zip(found, owner, strict=True):
+        at = (h >> np.uint64(64 - bits)).astype(np.int64)
+        if wanted is not None:
+            use = np.flatnonzero(wanted[at])
+            at, doc = at[use], doc[use]
+        parts.append(doc.astype(np.int64) << bits | at)
+    place = np.unique(np.concatenate(parts))
     return place & ((1 << bits) - 1), np.searchsorted(place, np.arange(len(texts) + 1) << bits)
 
 
@@ -140,8 +146,9 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros((1 << bits) + 1)
         w[shared.value[0]] = shared.value[1]
+        used = w[:-1] != 0
         for batch in text_slices(batches):
-            at, off = features(batch.column("text"), bits)
+            at, off = features(batch.column("text"), bits, used)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(_sums(w[at], off) + w[-1]))], schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
