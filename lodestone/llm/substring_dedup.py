@@ -42,11 +42,12 @@ BUCKET_BYTES, FLUSH = 12 << 20, 1_000_000
 #: most 2**30 (128 MB).
 DOC_BITS, MOST_ANCHOR_BITS = 22, 30
 
-#: Kinds of block rows: entries of a batch, a run, marks of a document, a part of the anchor bitmaps, documents whose
+#: Kinds of block rows: entries of a batch, a run, marks of a part of the documents, a part of the anchor bitmaps, documents whose
 #: windows come late.
 FRESH, RUN, MARK, MAP, OWNER = range(5)
-_BLOCKS = "bucket int, kind int, doc_id long, keys binary, checks binary, docs binary"
-_BLOCKS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary())])
+_BLOCKS = "bucket int, kind int, part int, keys binary, checks binary, docs binary"
+_BLOCKS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary())])
+_MARKED = "doc_id long, marked binary"
 _SCANNED = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -85,8 +86,8 @@ def _spans(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
     return zip(starts.tolist(), [*starts[1:].tolist(), n] if len(starts) else [], strict=True)
 
 
-def _row(bucket: int, kind: int, keys: np.ndarray, checks: np.ndarray | None = None, docs: np.ndarray | None = None, doc_id: int | None = None) -> tuple:
-    return bucket, kind, doc_id, keys.tobytes(), None if checks is None else checks.tobytes(), None if docs is None else docs.tobytes()
+def _row(bucket: int, kind: int, keys: np.ndarray, checks: np.ndarray | None = None, docs: np.ndarray | None = None, part: int | None = None) -> tuple:
+    return bucket, kind, part, keys.tobytes(), None if checks is None else checks.tobytes(), None if docs is None else docs.tobytes()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -168,8 +169,7 @@ class SubstringIndex:
         if self.seen:
             fresh = fresh.unionByName(self._late_windows(met))
         merged = self._merge(fresh, self.window_runs, self._merge_windows(), "window-run")
-        marked = merged.where(F.col("kind") == MARK).groupBy("doc_id").agg(F.collect_list("keys").alias("marked"))
-        result = materialize(self._kept(batch, materialize(marked, "marked")), "substring-result")
+        result = materialize(self._kept(batch, materialize(self._marked(merged), "marked")), "substring-result")
         self.anchor_runs.append(met.where(F.col("kind") == RUN))
         self.window_runs.append(merged.where(F.col("kind") == RUN))
         self.seen.append(batch)
@@ -275,8 +275,8 @@ class SubstringIndex:
         return out
 
     def _merge_windows(self):
-        """The batch's run; for each document of the batch the windows that a smaller id has, too."""
-        earlier = len(self.seen)
+        """The batch's run; for each part of the batch's documents the windows that a smaller id has, too."""
+        earlier, bits = len(self.seen), self.bits
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for bucket, rows in _buckets(batches):
@@ -291,13 +291,31 @@ class SubstringIndex:
                         first[found] = np.minimum(first[found], doc)
                 group = np.repeat(np.arange(len(at)), np.diff([*at, len(keys)]))
                 gone = docs > first[group]
-                order = np.argsort(docs[gone], kind="stable")
-                marked, owner = keys[gone][order], docs[gone][order]
-                out = [_row(bucket, MARK, marked[a:b], doc_id=int(owner[a])) for a, b in _spans(_starts(owner), len(owner))]
+                marked, owner = keys[gone], docs[gone]
+                part = _top(textvec.mix(owner.astype(np.uint64)), bits)
+                order = np.lexsort((owner, part))
+                marked, owner, part = marked[order], owner[order], part[order]
+                out = [_row(bucket, MARK, marked[a:b], docs=owner[a:b], part=int(part[a])) for a, b in _spans(_starts(part), len(part))]
                 yield _batch([_row(bucket, RUN, keys[at], checks[at], first), *out])
 
         return merge
 
+    def _marked(self, merged: DataFrame) -> DataFrame:
+        """doc_id, marked: the marked windows of each document that has any. The blocks of a part of the documents, one
+        from each bucket, meet in one task; there are at most as many blocks as marks."""
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = (pa.RecordBatch.from_arrays([b.column(c) for c in ("part", "kind", "keys", "checks", "docs")], names=["bucket", "kind", "keys", "checks", "docs"]) for b in batches)
+            for _, rows in _buckets(parts):
+                keys, docs = (np.concatenate([np.frombuffer(r[i], kind) for r in rows[MARK]]) for i, kind in ((0, np.uint64), (2, np.int64)))
+                order = np.argsort(docs, kind="stable")
+                keys, docs = keys[order], docs[order]
+                at = _starts(docs)
+                yield pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array([keys[a:b].tobytes() for a, b in _spans(at, len(docs))], pa.binary())], names=["doc_id", "marked"])
+
+        blocks = merged.where(F.col("kind") == MARK).repartition(1 << self.bits, "part").sortWithinPartitions("part")
+        return map_batches(blocks, gather, _MARKED)
+
     def _kept(self, batch: DataFrame, marked: DataFrame) -> DataFrame:
         window, scanned, result = self.window, arrow_schema(_SCANNED), arrow_schema(_RESULT)
         docs_in = self.spark.sparkContext.broadcast(id_filter(marked, "doc_id", DOC_BITS))
@@ -321,7 +339,7 @@ class SubstringIndex:
                     if sha is None:
                         if marks and len(gone) >= window:
                             own = h[words.first[i] : words.first[i + 1] - window + 1]
-                            starts = np.flatnonzero(np.isin(own, np.frombuffer(b"".join(marks), np.uint64)))
+                            starts = np.flatnonzero(np.isin(own, np.frombuffer(marks, np.uint64)))
                             gone = textvec.covered(len(gone), starts, window)
                         sha = hashlib.sha256(textvec.joined_words(words, i, ~gone)).hexdigest()
                     removed.append(int(gone.sum()))
