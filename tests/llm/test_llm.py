@@ -199,6 +199,26 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.predict(spark.createDataFrame(probe, schema), nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("cells", [0, 400])
+def test_language_id_is_the_same_where_the_grams_exceed_the_broadcast(spark, monkeypatch, cells):
+    schema = "doc_id long, text string, lang string, n string"
+    rows = [(i, t, lang, "s") for lang, base, n in (("aa", 0, 60), ("bb", 1000, 60)) for i, t in enumerate(sentences(lang, n, base), base)]
+    rows += [(2000, "quixy", "cc", "s")]  # a rare language: all its grams are seen once
+    probe = [(1, sentences("aa", 1, 9)[0], "", "p"), (2, sentences("bb", 1, 8)[0], None, None), (3, None, "aa", ""), (4, "12 !!", "aa", ""), (5, "Жщфы цхъэ юяжщ", "", ""), (6, "quixy", "", "q"), (6, "kala wölk", "", "r"), (None, "quixy moto", "", "")]
+    docs, probes = spark.createDataFrame(rows, schema), spark.createDataFrame(probe, schema)
+    whole = language_id.train(docs)
+    monkeypatch.setattr(language_id, "MAX_CELLS", cells)
+    parted = language_id.train(docs)
+    assert len(parted.head.hashes) * 3 <= cells < whole.logs.size
+    assert parted.limits == pytest.approx(whole.limits, abs=1e-5)
+    a, b = (sorted(map(tuple, language_id.predict(probes, m).collect()), key=repr) for m in (whole, parted))
+    assert len(a) == len(b) == len(probe)
+    for x, y in zip(a, b, strict=True):
+        assert (x[0], x[1], x[4]) == (y[0], y[1], y[4]) and x[2:4] == (pytest.approx(y[2], abs=1e-4), pytest.approx(y[3], abs=1e-5))
+    a, b = (sorted(map(tuple, language_id.accepted(probes, m).collect()), key=repr) for m in (whole, parted))
+    assert a == b and 0 < len(a) < len(probe)
+
+
 def test_kneser_ney_sums_to_one():
     keys, _ = language_id.grams(pa.array(["the cat sat on the mat and the dog", "a dog and a cat"] * 3 + ["zebra"]))
     model = language_id.KneserNey(*np.unique(keys, return_counts=True), 0.6)
