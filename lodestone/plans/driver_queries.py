@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import versions as vs
-from lodestone.operators import graph, intervals
+from lodestone.operators import diff, graph, intervals
 from lodestone.operators import relational as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,6 +278,51 @@ def q_fuzzy_overlap(spark, sf_dir):
     return a.join(b, "stem").where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 3")
 
 
+#: Words of evidence texts that say nothing about their subject.
+STOPWORDS = (
+    "about above after again against all also and any are because been being between both but can class code data def does each from function have import into its may method must not object only "
+    "other over package parameter parameters return returns same self should that the their then this through type use used using value values when where which with without typing none true false"
+).split()
+
+
+@query(rf"""
+    WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}'), lambda x: NOT list_contains({STOPWORDS}, x)) AS w FROM documents),
+    g AS (
+        SELECT doc_id, w[i] AS term, i - 1 AS pos, 1 AS size, 1 AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)
+        UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1], i - 1, 2, 2 FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t WHERE len(w) > 1) WHERE length(w[i] || ' ' || w[i + 1]) > 8
+        UNION ALL SELECT doc_id, array_to_string(w[i:i + 2], ' '), i - 1, 3, 3 FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2) WHERE length(array_to_string(w[i:i + 2], ' ')) > 8),
+    s AS (SELECT doc_id, term, sum(v)::BIGINT AS weight, min(size) AS size, min(pos) AS first_pos FROM g GROUP BY ALL)
+    SELECT doc_id, term, weight, place FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, length(term) DESC, size, first_pos, term) AS place FROM s) WHERE place <= 20""")
+def q_ngram_top20_documents(spark, sf_dir):
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z0-9_]{2,})")), lambda x: ~x.isin(STOPWORDS))
+    best = rel.top_terms(rel.ngram_weights(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")), "doc_id", "words"), "doc_id", 20)
+    return best.select("doc_id", "term", "weight", F.col("rank").cast("bigint").alias("place"))
+
+
+@query(r"""
+    WITH x AS (SELECT 'd' AS side, doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS t FROM documents
+               UNION ALL SELECT 'b', item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) FROM benchmark),
+    s AS (SELECT DISTINCT side, id, CASE WHEN t LIKE '%ing' AND length(t) > 6 THEN t[:-4] WHEN t LIKE '%ed' AND length(t) > 5 THEN t[:-3]
+              WHEN t LIKE '%es' AND length(t) > 5 THEN t[:-3] WHEN t LIKE '%s' AND length(t) > 4 THEN t[:-2] ELSE t END AS stem FROM x)
+    SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM s d JOIN s b ON d.stem = b.stem AND d.side = 'd' AND b.side = 'b' GROUP BY ALL HAVING count(*) >= 3""")
+def q_fuzzy_overlap_documents(spark, sf_dir):
+    def stems(name, key):
+        tokens = table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})")))).alias("t"))
+        return tokens.select(key, tx.token_stem(F.col("t")).alias("stem")).distinct()
+
+    shared = stems("documents", "doc_id").join(stems("benchmark", "item_id"), "stem").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.where("shared >= 3")
+
+
+@query()
+def q_line_diff(spark, sf_dir):
+    """Lines that consecutive turns of a conversation have in common, in order; no SQL has this."""
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.row_number().over(before).alias("n"), F.lag("text").over(before).alias("earlier"))
+    return turns.where("n > 1").select("conv_id", "turn", diff.shared_lines("earlier", "text").alias("shared"))
+
+
 @query("""
     WITH s AS (SELECT doc_id, source, n_chars + 1000 * coalesce(quality, 0) AS score, CASE WHEN source LIKE '%0' THEN 2 ELSE 1 END AS cap FROM documents LEFT JOIN labels USING (doc_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS n FROM s)

@@ -68,6 +68,20 @@ def test_containments_in_blocks(spark):
         assert {tuple(r) for r in rel.containments(docs, "d", "t", terms, "i", "w", most_terms=block).collect()} == want
 
 
+def test_documents_reach_terms_overlap_and_diff(spark, tmp_path):
+    long = " ".join(f"word{i % 7}x" for i in range(30_000))
+    spark.createDataFrame([(1, "The parser parses parsed trees, and the parser walks trees"), (2, long), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "parsing trees walking"), (8, "nothing here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    turns = [(1, 0, "user", "a\nb\nc"), (1, 2, "assistant", "a\nc\nd"), (1, 3, "user", None), (2, 0, "user", "a")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    top = driver_queries.q_ngram_top20_documents(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in top} == {1, 2} and not any(w in r["term"].split() for r in top for w in ("the", "and"))
+    assert [(r["term"], r["weight"]) for r in top if r["doc_id"] == 1 and r["place"] == 1] == [("parser parses parsed", 3)]
+    assert {r["weight"] for r in top if r["doc_id"] == 2 and r["place"] <= 7} <= {3 * 4285, 3 * 4286}
+    assert {tuple(r) for r in driver_queries.q_fuzzy_overlap_documents(spark, str(tmp_path)).collect()} == {(1, 7, 3)}
+    assert {tuple(r) for r in driver_queries.q_line_diff(spark, str(tmp_path)).collect()} == {(1, 2, 2), (1, 3, 0)}
+
+
 def test_char_budget_and_caps(spark):
     df = spark.createDataFrame([("s", i, n) for i, n in enumerate((40, 50, 30, 5))], "s string, i int, n int")
     assert [(r["i"], r["used"]) for r in rel.char_budget(df, ["s"], ["i"], "n", 100, 5).orderBy("i").collect()] == [(0, 40), (1, 50), (2, 10)]
