@@ -31,7 +31,7 @@ def impacts(adds: DataFrame, node: str, stage: str, reason: str, depth: str, att
     rows = adds.groupBy(node).agg(
         F.min_by(reason, stage).alias("_first"),
         F.min(depth).alias(depth),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(attributes)))).alias(attributes),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(attributes)))).alias(attributes),
         F.count(F.lit(1)).alias("_adds"),
     )
     return rows.select(node, depth, F.when((F.col("_adds") > 1) & (F.size(attributes) > 0), USES_VALUE).otherwise(F.col("_first")).alias(reason), attributes)

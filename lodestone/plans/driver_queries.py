@@ -390,14 +390,33 @@ def q_call_resolve(spark, sf_dir):
     return graph.resolve_references(refs, definitions, "sym", ["caller"], F.col("own") == F.col("brand"), ["resolved"], F.col("caller") != F.col("resolved"))
 
 
+@query("""
+    SELECT r.p_partkey AS caller, arg_min(c.p_partkey, (CASE WHEN c.p_brand = r.p_brand THEN 0 ELSE 1 END, c.p_partkey)) AS resolved
+    FROM part r JOIN part c ON r.p_name = c.p_name AND r.p_partkey <> c.p_partkey GROUP BY r.p_partkey""")
+def q_call_resolve_all(spark, sf_dir):
+    """Every part as a caller. The two smallest definitions of a symbol, and of it in a brand, are all that can be picked."""
+    part = table(spark, sf_dir, "part").select(F.col("p_name").alias("sym"), F.col("p_brand").alias("brand"), F.col("p_partkey").alias("caller"))
+
+    def smallest(*keys):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("resolved"))
+        return part.select(*keys, F.col("caller").alias("resolved")).distinct().withColumn("place", place).where("place <= 2").drop("place")
+
+    own = part.join(smallest("sym", "brand"), ["sym", "brand"]).select("caller", F.lit(0).alias("other"), "resolved")
+    found = own.unionByName(part.join(smallest("sym"), "sym").select("caller", F.lit(1).alias("other"), "resolved")).where("caller <> resolved")
+    return found.groupBy("caller").agg(F.min_by("resolved", F.struct("other", "resolved")).alias("resolved"))
+
+
 _EDGES_SQL = """SELECT DISTINCT l_suppkey AS source, nxt AS target FROM (
     SELECT l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS nxt
     FROM lineitem WHERE l_quantity >= 49) WHERE nxt IS NOT NULL"""
 
 
-def supplier_edges(spark, sf_dir):
+_ALL_EDGES_SQL = _EDGES_SQL.replace(" WHERE l_quantity >= 49)", ")")
+
+
+def supplier_edges(spark, sf_dir, rows="l_quantity >= 49"):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
-    return graph.consecutive_edges(table(spark, sf_dir, "lineitem").where("l_quantity >= 49"), ["l_orderkey"], order, "l_suppkey")
+    return graph.consecutive_edges(table(spark, sf_dir, "lineitem").where(rows), ["l_orderkey"], order, "l_suppkey")
 
 
 @query(_EDGES_SQL)
@@ -428,13 +447,37 @@ def q_degree(spark, sf_dir):
     SELECT node, min(depth)::INTEGER AS depth, CASE WHEN count(*) > 1 AND count(attr) > 0 THEN 'uses return value' ELSE arg_min(reason, (stage, l_orderkey, reason)) END AS reason,
            coalesce(string_agg(DISTINCT attr, ',' ORDER BY attr), '') AS attributes FROM a GROUP BY node""")
 def q_impact_merge(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_quantity >= 48")
+    return merged_impacts(table(spark, sf_dir, "lineitem").where("l_quantity >= 48"))
+
+
+def merged_impacts(line):
     reason = F.when(F.col("l_returnflag") == "R", "calls changed function").when(F.col("l_returnflag") == "A", "uses defined symbol").otherwise("module level dependency")
     attrs = F.when(F.col("l_quantity") > 49, F.array(F.concat(F.lit("."), F.col("l_linestatus")))).otherwise(F.array().cast("array<string>"))
     adds = line.select(F.col("l_suppkey").alias("node"), F.struct("l_linenumber", "l_orderkey", reason.alias("r")).alias("stage"), reason.alias("reason"), (F.col("l_linenumber") % 3 + 1).alias("depth"), attrs.alias("attributes"))
     return graph.impacts(adds, "node", "stage", "reason", "depth", "attributes").withColumn("attributes", F.array_join("attributes", ","))
 
 
+@query(_ALL_EDGES_SQL)
+def q_graph_edges_all(spark, sf_dir):
+    return supplier_edges(spark, sf_dir, "true")
+
+
+@query(SQL["q_reverse_reach"].replace(_EDGES_SQL, _ALL_EDGES_SQL))
+def q_reverse_reach_all(spark, sf_dir):
+    seeds = table(spark, sf_dir, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("node"))
+    return graph.reverse_reach(supplier_edges(spark, sf_dir, "true"), seeds, 3)
+
+
+@query(SQL["q_degree"].replace(_EDGES_SQL, _ALL_EDGES_SQL))
+def q_degree_all(spark, sf_dir):
+    return graph.degrees(table(spark, sf_dir, "supplier").where("s_acctbal > 0"), supplier_edges(spark, sf_dir, "true"), "s_suppkey")
+
+
+@query(SQL["q_impact_merge"].replace(" WHERE l_quantity >= 48)", ")"))
+def q_impact_merge_all(spark, sf_dir):
+    return merged_impacts(table(spark, sf_dir, "lineitem"))
+
+
 @query("""
     SELECT conv_id, turn, length(text) AS n, coalesce(sum(length(text) - 100) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS shift FROM conversations""")
 def q_running_offset(spark, sf_dir):

@@ -82,6 +82,18 @@ def test_documents_reach_terms_overlap_and_diff(spark, tmp_path):
     assert {tuple(r) for r in driver_queries.q_line_diff(spark, str(tmp_path)).collect()} == {(1, 2, 2), (1, 3, 0)}
 
 
+def test_all_rows_reach_the_graph(spark, tmp_path):
+    parts = [(i, f"n{i % 5}", f"b{i % 3}", 1 + i % 9) for i in range(1, 60)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r["caller"]: r["resolved"] for r in driver_queries.q_call_resolve_all(spark, str(tmp_path)).collect()}
+    assert found == {k: min((b != brand, j) for j, s, b, _ in parts if s == sym and j != k)[1] for k, sym, brand, _ in parts}
+    lines = spark.createDataFrame([(1, i, 10 + i, i) for i in (1, 2, 3)], "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity int")
+    for c in ("l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"):
+        lines = lines.withColumn(c, F.lit(0))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {tuple(r) for r in driver_queries.q_graph_edges_all(spark, str(tmp_path)).collect()} == {(11, 12), (12, 13)}
+
+
 def test_char_budget_and_caps(spark):
     df = spark.createDataFrame([("s", i, n) for i, n in enumerate((40, 50, 30, 5))], "s string, i int, n int")
     assert [(r["i"], r["used"]) for r in rel.char_budget(df, ["s"], ["i"], "n", 100, 5).orderBy("i").collect()] == [(0, 40), (1, 50), (2, 10)]
