@@ -38,8 +38,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, a local one for tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or that of the context; only where both are unset, a local one for tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(found)
@@ -62,6 +62,37 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, with underscores before it until no column of df has the name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def with_row_key(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """(df with a key for each row, written so that the keys stay; the key's name). Repeated rows get keys of their own."""
+    name = free_name(df, "row_key")
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), tag), name
+
+
+def salts(spark: SparkSession) -> int:
+    """Parts that the rows of one hot key are dealt into: as many as a shuffle has partitions, 16 at least."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """rows joined with small, which has a key once; rows of one key meet in as many tasks as they have salts.
+
+    small is brought only to those (key, salt) pairs that rows have, so it never grows beyond the rows. `how` is inner
+    or left_semi. rows are read twice and should be stored. Keys are not null.
+    """
+    name = free_name(rows, "salt")
+    salted = rows.withColumn(name, F.pmod(salt, F.lit(salts(rows.sparkSession))).cast("int"))
+    pairs = salted.select(*keys, name).distinct().join(small, keys)
+    return salted.join(pairs, [*keys, name], how).drop(name)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with the package shipped."""
     ship_package(df.sparkSession)

@@ -6,12 +6,17 @@ at its place is constant and any other a variable field; the line with its field
 template whose constant part is at least CONSTANT of its tokens and that recurs in `min_docs` documents is
 boilerplate: its lines are dropped from all documents.
 
-Lines are united before their tokens are counted, so a line that a third of the documents have costs one row; no group
-is collected but the constant tokens of one leaf. A document that has two lines of a leaf counts once for each.
+Each line is tokenised once. Lines are united before their tokens are counted, so a line that a third of the documents
+have costs one row; leaves, lines, constants and templates that many rows share are joined through salted pairs, so no
+group meets in one task, and none is collected but the tokens of one line. A document that has two lines of a leaf
+counts once for each.
+
+Rows, leaves, lines and templates go by two 64-bit hashes each: two of a table's n values are confused with a chance of
+n * n / 2**129.
 
 Defined cases: null text has no lines, empty text one empty line; lines without a token are never dropped; rows that
-share an id but not the text are documents of their own, rows that share both are one; an empty table gives no rows.
-Columns other than id and text are not read.
+share an id but not the text are documents of their own, rows that share both are one; a null id is an id like any
+other; an empty table gives no rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,53 +24,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import materialize, spread_join
 
 LEADING, CONSTANT, FIELD = 3, 0.6, "<*>"
-_SPACES = r"[\x20\x09-\x0D]+"
+#: A token with a digit. It is tried at the beginnings of tokens alone and never goes back.
+_WITH_DIGIT = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+
+
+def generalised(line: Column) -> Column:
+    """The tokens joined by one space, those with digits as FIELD; empty for a line of spaces."""
+    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]++", " ")), _WITH_DIGIT, FIELD)
+
 
+def _hashes(name: str, *values: Column) -> list[Column]:
+    """name1, name2: two hashes of the values."""
+    return [F.xxhash64(*values).alias(f"{name}1"), F.xxhash64(F.lit(name), *values).alias(f"{name}2")]
 
-def tokens_of(line: Column) -> Column:
-    """The tokens, fields with digits generalised; empty for a line of spaces."""
-    parts = F.filter(F.split(line, _SPACES), lambda t: t != "")
-    return F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+
+def _row_hashes(id_col: Column, text: Column) -> list[Column]:
+    return _hashes("row", id_col.isNull(), F.coalesce(id_col, F.lit(0)), text)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_key, pos, template of the lines to drop."""
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    tokens = tokens_of(F.col("line"))
-    leafed = rows.withColumn("tokens", tokens).where(F.size("tokens") > 0)
-    leafed = leafed.select("doc_id", "row_key", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.array_join("tokens", " ").alias("said"))
-    leaves = leafed.select("leaf", "row_key").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    candidates = materialize(leafed.join(leaves, "leaf", "left_semi"), "candidate-lines")
-
-    lines = materialize(candidates.select("leaf", "said", "row_key").distinct().groupBy("leaf", "said").agg(F.count(F.lit(1)).alias("docs")), "distinct-lines")
-    placed = lines.select("leaf", "docs", F.posexplode(F.split("said", " ")).alias("place", "token"))
-    constant = placed.where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    constants = constant.groupBy("leaf").agg(F.collect_list(F.xxhash64("place", "token")).alias("constants"))
-    parts = F.split("said", " ")
-    template = F.transform(parts, lambda t, i: F.when(F.array_contains("constants", F.xxhash64(i, t)), t).otherwise(F.lit(FIELD)))
+    """row1, row2, pos of the lines to drop, template1, template2."""
+    row, leaf, line, template = (["row1", "row2"], ["leaf1", "leaf2"], ["line1", "line2"], ["template1", "template2"])
+    salt = F.xxhash64(*row)
+    text, own_id = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    rows = docs.select(*_row_hashes(own_id, text), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    said = rows.select(*row, "pos", generalised(F.col("line")).alias("said")).where("said <> ''")
+    n_tokens = F.length("said") - F.length(F.replace("said", F.lit(" "), F.lit(""))) + 1
+    leafed = said.select(*row, "pos", *_hashes("leaf", n_tokens, F.substring_index("said", " ", LEADING)), *_hashes("line", F.col("said")), "said")
+    leafed = materialize(leafed, "leafed-lines")
+
+    of_docs = lambda df, keys: df.select(*keys, *row).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"))
+    leaves = of_docs(leafed, leaf).where(F.col("docs") >= min_docs).select(*leaf)
+    candidates = materialize(spread_join(leafed, leaves, leaf, salt, "left_semi"), "candidate-lines")
+
+    lines = of_docs(candidates, line).join(candidates.groupBy(*line).agg(*(F.first(c).alias(c) for c in (*leaf, "said"))), line)
+    placed = materialize(lines.select(*leaf, *line, "docs", F.posexplode(F.split("said", " ")).alias("place", "token")), "placed-tokens")
+    constant = placed.where(F.col("token") != FIELD).groupBy(*leaf, "place", "token").agg(F.sum("docs").alias("total")).where(F.col("total") >= min_docs).select(*leaf, "place", "token")
+    held = materialize(spread_join(placed.select(*leaf, *line, "place", "token"), constant, [*leaf, "place", "token"], F.xxhash64(*line), "left_semi"), "constant-tokens")
+    # A template is known by its length and its constants with their places.
+    sizes = placed.groupBy(*line).agg(F.count(F.lit(1)).alias("n"))
     templated = (
-        lines.join(constants, "leaf")
-        .select("leaf", "said", template.alias("t"))
-        .where(F.size(F.filter("t", lambda t: t != FIELD)) >= F.lit(CONSTANT) * F.size("t"))
-        .select("leaf", "said", F.array_join("t", " ").alias("template"))
+        held.groupBy(*line)
+        .agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("constants"))
+        .join(sizes, line)
+        .where(F.size("constants") >= F.lit(CONSTANT) * F.col("n"))
+        .select(*line, *_hashes("template", F.col("n"), F.col("constants")))
     )
-    found = materialize(candidates.join(templated, ["leaf", "said"]).select("doc_id", "row_key", "pos", "template"), "templated-lines")
-    recurring = found.select("template", "row_key").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
-    return found.join(recurring, "template", "left_semi")
+    found = materialize(spread_join(candidates.select(*row, "pos", *line), templated, line, salt), "templated-lines")
+    recurring = of_docs(found, template).where(F.col("docs") >= min_docs).select(*template)
+    return spread_join(found, recurring, template, salt, "left_semi")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without the dropped lines, n_lines, n_dropped per row."""
     text = F.col(text_col).cast("string")
-    gone = recurring_lines(docs, min_docs, id_col, text_col).groupBy(F.col("row_key").alias("k")).agg(F.collect_set("pos").alias("gone"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
+    gone = recurring_lines(docs, min_docs, id_col, text_col).groupBy("row1", "row2").agg(F.collect_set("pos").alias("gone"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("*", *_row_hashes(F.col("doc_id"), F.col("text")))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda line, i: ~F.array_contains("gone", i))
-    return rows.join(gone, "k", "left").select(
+    return rows.join(gone, ["row1", "row2"], "left").select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),

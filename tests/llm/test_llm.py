@@ -249,6 +249,26 @@ def test_exact_dedup(spark, docs, rows):
     assert sorted((r["doc_id"] or 0, r["group_size"], r["kept"]) for r in twice) == [(0, 1, True), (0, 3, False), (1, 3, True), (1, 3, True)]
 
 
+def test_unique_rows_decide_by_row(spark):
+    rows = [(5, "a b c"), (9, "a b c"), (5, "unique text here"), (1, "dup"), (1, "dup"), (None, "a b c"), (None, "alone"), (None, "alone"), (3, None), (4, "")]
+    for options in ({}, {"fingerprint": len}):
+        assert exact_dedup.recipes(frame(spark, rows), **options).count() == len(rows)
+    kept = exact_dedup.unique_rows(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "recipe", "length", "node"]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(9, "a b c"), (5, "unique text here"), (1, "dup"), (None, "alone"), (4, "")], key=repr)
+    assert exact_dedup.unique_rows(frame(spark, [])).count() == 0
+
+
+def test_representatives_decide_by_row(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, base), (5, base + " end"), (5, "another text altogether"), (None, base + " more"), (1, "dup"), (1, "dup"), (None, None), (2, ""), (None, "q r s t u v"), (None, "q r s t u v")]
+    kept = near_dedup.representatives(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "recipe", "length", "node"]
+    want = [(5, base + " end"), (5, "another text altogether"), (1, "dup"), (None, None), (2, ""), (None, "q r s t u v")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert near_dedup.representatives(frame(spark, [])).count() == 0
+
+
 def test_chunk_ends_are_local():
     """An insertion changes the chunks around it alone."""
     rnd = random.Random(2)
@@ -375,6 +395,16 @@ def test_line_dedup(spark):
     assert line_dedup.drop_recurring_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_odd_rows(spark):
+    """Repeated rows are one document; rows with null ids or shared ids are documents of their texts."""
+    said = "All rights of this text reserved"
+    copies = line_dedup.drop_recurring_lines(frame(spark, [(1, said)] * 9), min_docs=5).collect()
+    assert [(r["n_dropped"], r["text"]) for r in copies] == [(0, said)] * 9
+    several = [(None, f"x{i}q\n{said}") for i in range(3)] + [(4, f"y{i}q\n\t {said} ") for i in range(3)]
+    found = line_dedup.drop_recurring_lines(frame(spark, several), min_docs=5).collect()
+    assert sorted(r["text"] for r in found) == ["x0q", "x1q", "x2q", "y0q", "y1q", "y2q"] and {r["n_dropped"] for r in found} == {1}
+
+
 # ---- 9 passages
 
 
@@ -435,6 +465,23 @@ def test_toxicity(spark):
 # ---- the pipeline
 
 
+def test_pipeline_loses_no_row(spark, tmp_path):
+    """Repeated ids, repeated rows and null ids through the stages that drop copies, against brute force by row."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(5, "a b c d e f"), (9, "a b c d e f"), (5, "unique text here"), (1, "dup"), (1, "dup"), (None, "a b c d e f"), (6, "a b c d e f g")]
+    rows += [(20 + i, t) for i, t in enumerate([" ".join(f"z{j}" for j in range(50)), " ".join(f"z{j}" for j in range(1, 50))])]
+    exact = corpus_pipeline.exact(spark, frame(spark, rows), str(tmp_path))
+    near = corpus_pipeline.near(spark, exact, str(tmp_path))
+    best: dict = {}
+    for i, t in rows:
+        best[t] = max(best.get(t, -1), -1 if i is None else i)
+    assert sorted((r["doc_id"], r["text"]) for r in exact.collect()) == sorted((i, t) for t, i in best.items())
+    links = brute_components([(n, t) for n, (t, _) in enumerate(sorted(best.items(), key=lambda x: x[1]))], 5, 80)
+    ordered = sorted(best.items(), key=lambda x: x[1])
+    assert sorted((r["doc_id"], r["text"]) for r in near.collect()) == sorted((ordered[n][1], ordered[n][0]) for n, (_, c) in links.items() if n == c)
+    assert near.columns == exact.columns == ["doc_id", "text", "recipe", "length", "node"]
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
