@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and all but the last return
 the columns of documents; the last returns the places of the pieces. Every stage's output is written as Parquet and
 read again before the next.
+
+Defined cases: stages decide by row, never by id: rows that share an id but not the text live or go on their own, and
+rows with null id are treated by their text. Null text is rejected by the first stage. Extra columns come through all
+stages but the last. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,15 +25,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    dropped = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts one row, that of the largest id; repeated rows leave one, null counts as empty text."""
+    return exact_dedup.unique_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each component of near duplicates (five words, 80 %)."""
-    dropped = near_dedup.near_dedup(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of near duplicates (five words, 80 %) one row, that of the smallest id; null ids go last."""
+    return near_dedup.representatives(docs, shingle=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
