@@ -1,11 +1,18 @@
 """Best-fit packing of tokenised documents into fixed-length sequences, in bulk-synchronous rounds.
 
-Tokens become pieces of at most `capacity`; only longer documents are cut. Pieces of one length are alike, so the
-rounds work on the sorted table of lengths and their counts (at most `capacity` rows, whatever the input), largest
-length first: in a round, all pieces of one length sweep up to the successor among the gaps, the tightest gap that
-holds them; where more want a gap than it has room for, rank decides; the gaps shrink and the next round begins.
+Tokens become pieces of at most `capacity`; only longer documents are cut. Pieces of one length are alike, and so are
+gaps of one room, so a round works on stored tables of lengths with their numbers of pieces (at most `capacity` rows) and
+of ranges of sequences with the same room. A round sorts lengths and rooms together. Lengths that follow each other and
+the gaps up to the next length make a run: those gaps are the successors of all of its lengths. Inside a run all lengths
+sweep to their gaps at once; where more pieces want a gap than it has slots for, rank decides: the longest piece first,
+the tightest gap first. A length fills the gaps that it got, the gaps shrink, those not used go back, and the next round
+begins, until no piece is left. Pieces that no gap can hold get new sequences, as few as could hold them.
+
 Every piece then finds its own place by its length and rank in a distributed join. Ranks come from prefix sums over
-salted counts, so a length that a third of the pieces share is spread over many tasks.
+salted counts, so a length that a third of the pieces share is spread over as many tasks as a shuffle has partitions.
+
+Rounds grow with the number of different lengths in a sequence (some tens), not with the input. Words are known by 64-bit
+hashes: of the at most CACHE_WORDS words that a worker remembers, two share one with a chance of 1 in ten million.
 
 Defined cases: null or empty text is one piece, the end token; repeated rows are packed each; a null id is packed
 like any other; an empty table gives no rows. Columns other than id and text are not read.
@@ -13,26 +20,27 @@ like any other; an empty table gives no rows. Columns other than id and text are
 
 from __future__ import annotations
 
-import bisect
 import os
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import textvec
-from lodestone.llm.common import arrow_schema, map_batches, materialize, text_slices
+from lodestone.llm.common import arrow_schema, map_batches, materialize, salts, text_slices
 
 #: Distinct words whose tokens a Python worker remembers; then it starts anew.
 CACHE_WORDS = 1_500_000
 #: New words that the tokenizer gets at once.
 JOINED = 10_000
-#: Parts that the pieces of one length are ranked in.
-RANK_SALTS = 64
+#: Percent of a gap that one round deals out in slots as wide as its run's longest length, one slot at least.
+SLOT_SHARE = 100
+#: Rows of the plan, 48 bytes each, that are broadcast; a larger plan is shuffled.
+MOST_BROADCAST = 500_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -151,62 +159,113 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     return map_batches(source, run, ddl)
 
 
-def best_fit_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Plan rows (length, first rank, pieces, first sequence, pieces in each sequence, offset of the first piece).
+def _sweep(lengths: DataFrame, gaps: DataFrame) -> DataFrame:
+    """One round's moves: length, rank, n pieces of a length from a rank on that go into `used` sequences from `start`
+    on, each of which has `room` and takes `each` (the last may take fewer); range_first, range_n: where they were."""
+    classes = lengths.select(F.col("length").alias("size"), F.lit(0).alias("kind")).unionByName(gaps.select(F.col("room").alias("size"), F.lit(1).alias("kind")).distinct())
+    order = Window.orderBy("size", "kind")  # at most 2 * capacity rows; a length comes before the gap of its size
+    opens = (F.col("kind") == 0) & (F.coalesce(F.lag("kind").over(order), F.lit(1)) == 1)
+    # A run: lengths without a gap between them, and the gaps up to the next length. Each of them holds each of those.
+    runs = classes.withColumn("opens", opens.cast("long")).withColumn("run", F.sum("opens").over(order)).where("run > 0")
+    runs = runs.withColumn("longest", F.max(F.when(F.col("kind") == 0, F.col("size"))).over(Window.partitionBy("run")))
+
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
+    want = lengths.join(runs.where("kind = 0").select(F.col("size").alias("length"), "run"), "length")
+    want = want.withColumn("at", total("n", Window.partitionBy("run").orderBy(F.desc("length"))))
+    room = gaps.join(runs.where("kind = 1").select(F.col("size").alias("room"), "run", "longest"), "room").withColumn("slots", F.greatest(F.lit(1), F.expr(f"room div longest * {SLOT_SHARE} div 100")))
+    room = room.withColumn("taken", F.col("m") * F.col("slots")).withColumn("at", total("taken", Window.partitionBy("run").orderBy("room", "first")))
+
+    # The longest pieces rank first and meet the tightest gaps: both sides' ranks are merged inside the run.
+    piece = F.struct("length", "n", "lo", F.col("at").alias("rank"))
+    gap = F.struct("first", "m", "room", "slots", F.col("at").alias("slot"))
+    merged = want.select("run", "at", piece.alias("piece"), F.lit(None).cast(T.StructType([T.StructField(c, T.LongType()) for c in ("first", "m", "room", "slots", "slot")])).alias("gap")).unionByName(
+        room.select("run", "at", F.lit(None).cast(T.StructType([T.StructField(c, T.LongType()) for c in ("length", "n", "lo", "rank")])).alias("piece"), gap.alias("gap"))
+    )
+    place = Window.partitionBy("run").orderBy("at", F.col("gap").isNull())
+    upto = place.rowsBetween(Window.unboundedPreceding, 0)
+    pairs = merged.select("run", "at", F.lead("at").over(place).alias("next"), F.last("piece", True).over(upto).alias("p"), F.last("gap", True).over(upto).alias("g"))
+    pairs = pairs.where("next is null or next > at").where("p is not null and g is not null").select("p.*", "g.*")
+    # A gap goes to the length that its first slot falls on; the length then fills its gaps, the tightest first.
+    low = F.expr("greatest(0, (rank - slot + slots - 1) div slots)")
+    high = F.expr("least(m, (rank + n - slot + slots - 1) div slots)")
+    claims = pairs.withColumn("low", low).withColumn("claimed", high - F.col("low")).where("claimed > 0").withColumn("each", F.expr("room div length"))
+    claims = claims.withColumn("holds", F.col("claimed") * F.col("each")).withColumn("filled", total("holds", Window.partitionBy("length").orderBy("room", "first")))
+    moves = claims.withColumn("placed", F.least(F.col("n") - F.col("filled"), F.col("holds"))).where("placed > 0")
+    return moves.select(
+        "length", (F.col("lo") + F.col("filled")).alias("rank"), F.col("placed").alias("n"), (F.col("first") + F.col("low")).alias("start"),
+        F.expr("(placed + each - 1) div each").alias("used"), "each", "room", F.col("first").alias("range_first"), F.col("m").alias("range_n"),
+    )
+
+
+def _after(lengths: DataFrame, gaps: DataFrame, moves: DataFrame) -> DataFrame:
+    """Lengths (kind 0: length, pieces left, their first rank) and gaps (kind 1: first sequence, number, room) after moves."""
+    gone = moves.groupBy("length").agg(F.sum("n").alias("gone"))
+    left = lengths.join(gone, "length", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    left = left.select(F.lit(0).alias("kind"), F.col("length").alias("a"), (F.col("n") - F.col("gone")).alias("b"), (F.col("lo") + F.col("gone")).alias("c"))
+    heads = gaps.join(moves.groupBy(F.col("range_first").alias("first")).agg(F.min("start").alias("start")), "first", "left")
+    heads = heads.select(F.lit(1).alias("kind"), F.col("first").alias("a"), (F.coalesce("start", F.col("first") + F.col("m")) - F.col("first")).alias("b"), F.col("room").alias("c"))
+    following = F.coalesce(F.lead("start").over(Window.partitionBy("range_first").orderBy("start")), F.col("range_first") + F.col("range_n"))
+    full = F.expr("n div each")
+    rests = moves.withColumn("following", following).select(
+        F.inline(
+            F.array(
+                F.struct((F.col("start") + F.col("used")).alias("a"), (F.col("following") - F.col("start") - F.col("used")).alias("b"), F.col("room").alias("c")),
+                F.struct(F.col("start").alias("a"), full.alias("b"), (F.col("room") - F.col("each") * F.col("length")).alias("c")),
+                F.struct((F.col("start") + full).alias("a"), (F.col("used") - full).alias("b"), (F.col("room") - (F.col("n") - full * F.col("each")) * F.col("length")).alias("c")),
+            )
+        )
+    )
+    return left.where("b > 0").unionByName(heads.unionByName(rests.select(F.lit(1).alias("kind"), "a", "b", "c")).where("b > 0 and c > 0"))
+
+
+def best_fit_rounds(counts: DataFrame, capacity: int) -> DataFrame | None:
+    """The plan: length, lo, n, first_seq, each, offset0 for n pieces of a length from rank lo on; None without pieces.
 
-    counts: pieces by length. Sequences that hold the same are kept as ranges, so the work depends on the number of
-    different lengths alone.
+    counts: length, n. Tables of lengths and of ranges of alike gaps are written after each round; the driver sees the
+    number of pieces left and what no gap can hold, for which it opens the fewest sequences that could.
     """
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left: ranges (first sequence, number)
-    sizes: list[int] = []  # room values that have ranges, ascending
-    opened = 0
-    plan = []
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if not gaps[gap]:
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):
-                gap, each = capacity, capacity // length
-                n = -(-left // each)
-                first, opened = opened, opened + n
-            else:
-                gap = sizes[at]
-                each = gap // length
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    sizes.pop(at)
-                use = min(n, -(-left // each))
-                put(gap, first + use, n - use)
-                n = use
-            placed = min(left, n * each)
-            plan.append((length, rank, placed, first, each, capacity - gap))
-            whole = placed // each
-            put(gap - each * length, first, whole)
-            put(gap - (placed - whole * each) * length, first + whole, n - whole)
-            rank, left = rank + placed, left - placed
+    spark, opened, plan = counts.sparkSession, 0, None
+    state, row = _stored(counts.select(F.lit(0).alias("kind"), F.col("length").cast("long").alias("a"), F.col("n").cast("long").alias("b"), F.lit(0).cast("long").alias("c")), capacity)
+    while row["left"]:
+        lengths = state.where("kind = 0").select(F.col("a").alias("length"), F.col("b").alias("n"), F.col("c").alias("lo"))
+        gaps = state.where("kind = 1").select(F.col("a").alias("first"), F.col("b").alias("m"), F.col("c").alias("room"))
+        if fresh := max(row["alone"], -(-row["tokens"] // capacity)):
+            gaps = gaps.unionByName(spark.range(1).select(F.lit(opened).cast("long").alias("first"), F.lit(fresh).cast("long").alias("m"), F.lit(capacity).cast("long").alias("room")))
+            opened += fresh
+        moves = materialize(_sweep(lengths, gaps), "packing-moves")
+        part = moves.select("length", F.col("rank").alias("lo"), "n", F.col("start").alias("first_seq"), "each", (F.lit(capacity) - F.col("room")).alias("offset0"))
+        plan = part if plan is None else plan.unionByName(part)
+        state, row = _stored(_after(lengths, gaps, moves), capacity)
     return plan
 
 
+def _stored(state: DataFrame, capacity: int) -> tuple[DataFrame, dict[str, int]]:
+    """The state as a written table; lengths left, tokens of pieces longer than any room, and how many of those need
+    sequences of their own."""
+    seen = Observation()
+    stuck = F.when((F.col("kind") == 0) & (F.col("a") > F.col("widest")), F.col("b"))
+    widest = F.coalesce(F.max(F.when(F.col("kind") == 1, F.col("c"))).over(Window.partitionBy()), F.lit(0))
+    counts = (F.count_if(F.col("kind") == 0).alias("left"), F.coalesce(F.sum(stuck * F.col("a")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("a") > capacity // 2, stuck)), F.lit(0)).alias("alone"))
+    return materialize(state.withColumn("widest", widest).observe(seen, *counts), "packing-state"), seen.get
+
+
 def best_fit_pack(pieces: DataFrame, capacity: int, keep: tuple[str, ...] = ("doc_id", "piece", "start", "length", "ids_crc32")) -> DataFrame:
     """Adds sequence_id and offset to pieces, which need a column length from 1 to capacity."""
-    spark = pieces.sparkSession
-    rows = materialize(pieces.select(*keep).withColumn("row_key", F.monotonically_increasing_id()), "pieces").withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(RANK_SALTS)))
-    salted = materialize(rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "piece-counts")  # at most capacity * RANK_SALTS rows
+    parts = salts(pieces.sparkSession)
+    rows = materialize(pieces.select(*keep).withColumn("row_key", F.monotonically_increasing_id()), "pieces").withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(parts)))
+    salted = materialize(rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "piece-counts")  # at most capacity * parts rows
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    counts = {r["length"]: r["n"] for r in salted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    plan = spark.createDataFrame(best_fit_rounds(counts, capacity), "length long, lo long, n long, first_seq long, each long, offset0 long")
+    plan = best_fit_rounds(salted.groupBy("length").agg(F.sum("n").alias("n")), capacity)
+    if plan is None:
+        return rows.select(*keep, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    plan = materialize(plan, "packing-plan")
+    plan = F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan
     inside = Window.partitionBy("length", "salt").orderBy("row_key")
     ranked = rows.withColumn("in_salt", F.row_number().over(inside) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("in_salt"))
     at = F.col("rank") - F.col("lo")
-    return ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (at >= 0) & (at < F.col("n"))).select(
+    return ranked.join(plan, (ranked["length"] == plan["length"]) & (at >= 0) & (at < F.col("n"))).select(
         *(ranked[c] for c in keep),
         (F.col("first_seq") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("offset0") + at % F.col("each") * ranked["length"]).cast("long").alias("offset"),

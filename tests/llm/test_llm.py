@@ -382,6 +382,40 @@ def test_tokens_and_packing(spark, docs, rows):
     assert sum(len(r["ids"]) for r in packing.packed_ids(docs.limit(20), path, capacity).collect()) > 0
 
 
+@pytest.mark.parametrize("capacity, counts", [(64, {1: 500}), (64, {33: 7, 40: 2, 64: 3}), (100, {34: 50, 33: 49, 30: 7, 2: 11, 1: 3}), (4096, {n * 7: 1 + n % 5 for n in range(1, 200)})])
+def test_best_fit_rounds(spark, capacity, counts):
+    """Each piece gets one place, no place twice, no sequence overflows; as few sequences as best fit by decreasing length."""
+    plan = packing.best_fit_rounds(spark.createDataFrame(list(counts.items()), "length long, n long"), capacity).collect()
+    spans, ranks = defaultdict(list), defaultdict(set)
+    for r in plan:
+        for i in range(r["n"]):
+            spans[r["first_seq"] + i // r["each"]].append((r["offset0"] + i % r["each"] * r["length"], r["length"]))
+            assert r["lo"] + i not in ranks[r["length"]]
+            ranks[r["length"]].add(r["lo"] + i)
+    assert {length: set(range(n)) for length, n in counts.items()} == ranks
+    for own in spans.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    gaps = []
+    for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        fit = min((g for g in gaps if g >= length), default=None)
+        if fit is None:
+            gaps.append(capacity - length)
+        else:
+            gaps[gaps.index(fit)] -= length
+    assert len(spans) <= len(gaps) + 1 and set(spans) == set(range(len(spans)))
+
+
+def test_packing_odd_rows(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    found = packing.pack_documents(frame(spark, [(None, "a b"), (None, "a b"), (3, None), (3, None), (4, "")]), path, 64).collect()
+    assert len(found) == 5 and len({r["sequence_id"] for r in found}) == 1 and len({r["offset"] for r in found}) == 5
+    assert sorted(r["length"] for r in found if r["doc_id"] is not None) == [1, 1, 1]
+
+
 # ---- 8 lines
 
 
