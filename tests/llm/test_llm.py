@@ -317,7 +317,7 @@ def brute_hits(rows, items, window):
         for m in {len(p) for p in pats}:
             for j in range(len(w) - m + 1):
                 if (p := tuple(w[j : j + m])) in pats:
-                    own |= pats[p]
+                    own |= pats[p] - {None}
                     hit |= set(range(j, j + m))
         out[i] = (len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(map(str, own))).encode()).hexdigest(), bool(hit))
     return out
@@ -327,7 +327,7 @@ def brute_hits(rows, items, window):
 def test_decontamination(spark, docs, rows, monkeypatch, block):
     monkeypatch.setattr(decontamination, "PATTERN_BLOCK", block)
     long = next(t for _, t in rows if t and len(t) > 20_000 and " " in t).split(" ")
-    items = [(1, " ".join(long[505:530])), (2, "the of"), (3, None), (4, "..."), (10, "A. b! C"), (11, " ".join(long[8000:8011]).upper()), (12, "nowhere to be found in here"), (12, "nowhere to be found in here"), (20, " ".join(long[505:530]))]
+    items = [(1, " ".join(long[505:530])), (2, "the of"), (3, None), (4, "..."), (10, "A. b! C"), (11, " ".join(long[8000:8011]).upper()), (12, "nowhere to be found in here"), (12, "nowhere to be found in here"), (20, " ".join(long[505:530])), (None, " ".join(long[700:712]))]
     items = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
     found = by_id(decontamination.decontaminate(docs, items))
     want = brute_hits(rows, [(r["item_id"], r["text"]) for r in items.collect()], 10)
@@ -335,6 +335,10 @@ def test_decontamination(spark, docs, rows, monkeypatch, block):
     clean = decontamination.uncontaminated(docs, items)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, v in want.items() if not v[4]}
     assert not any(r["contaminated"] for r in decontamination.decontaminate(docs, items.limit(0)).collect())
+    again = frame(spark, [(1, "the of x"), (1, "the of x"), (1, "y"), (None, "The OF"), (None, None)])
+    found = decontamination.decontaminate(again, items).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in found) == [(0, 0, 0), (0, 2, 2), (1, 1, 0), (1, 3, 2), (1, 3, 2)]
+    assert decontamination.decontaminate(docs.limit(0), items).count() == 0
 
 
 # ---- 7 packing
