@@ -6,7 +6,8 @@ at its place is constant and any other a variable field; the line with its field
 template whose constant part is at least CONSTANT of its tokens and that recurs in `min_docs` documents is
 boilerplate: its lines are dropped from all documents.
 
-Each line is tokenised once. Lines are united before their tokens are counted, so a line that a third of the documents
+A first pass keeps two numbers for each line, its leaf; only lines of leaves that enough documents reach are read in full.
+Lines are united before their tokens are counted, so a line that a third of the documents
 have costs one row; leaves, lines, constants and templates that many rows share are joined through salted pairs, so no
 group meets in one task, and none is collected but the tokens of one line. A document that has two lines of a leaf
 counts once for each.
@@ -31,9 +32,14 @@ LEADING, CONSTANT, FIELD = 3, 0.6, "<*>"
 _WITH_DIGIT = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
-def generalised(line: Column) -> Column:
-    """The tokens joined by one space, those with digits as FIELD; empty for a line of spaces."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]++", " ")), _WITH_DIGIT, FIELD)
+def spaced(line: Column) -> Column:
+    """The tokens joined by one space; empty for a line of spaces."""
+    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]++", " "))
+
+
+def generalised(tokens: Column) -> Column:
+    """Spaced tokens, those with digits as FIELD."""
+    return F.regexp_replace(tokens, _WITH_DIGIT, FIELD)
 
 
 def _hashes(name: str, *values: Column) -> list[Column]:
@@ -51,14 +57,18 @@ def recurring_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text
     salt = F.xxhash64(*row)
     text, own_id = F.col(text_col).cast("string"), F.col(id_col).cast("long")
     rows = docs.select(*_row_hashes(own_id, text), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    said = rows.select(*row, "pos", generalised(F.col("line")).alias("said")).where("said <> ''")
+    spoken = rows.select(*row, "pos", spaced(F.col("line")).alias("said")).where("said <> ''")
     n_tokens = F.length("said") - F.length(F.replace("said", F.lit(" "), F.lit(""))) + 1
-    leafed = said.select(*row, "pos", *_hashes("leaf", n_tokens, F.substring_index("said", " ", LEADING)), *_hashes("line", F.col("said")), "said")
-    leafed = materialize(leafed, "leafed-lines")
+    leafed = materialize(spoken.select(*row, "pos", *_hashes("leaf", n_tokens, generalised(F.substring_index("said", " ", LEADING)))), "leafed-lines")
 
     of_docs = lambda df, keys: df.select(*keys, *row).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"))
     leaves = of_docs(leafed, leaf).where(F.col("docs") >= min_docs).select(*leaf)
-    candidates = materialize(spread_join(leafed, leaves, leaf, salt, "left_semi"), "candidate-lines")
+    # Only the lines of such leaves are read again, from their documents.
+    wanted = spread_join(leafed, leaves, leaf, salt, "left_semi").groupBy(*row).agg(F.collect_set("pos").alias("wanted"))
+    lines = F.split("text", "\n")
+    again = docs.select(*_row_hashes(own_id, text), text.alias("text")).join(wanted, row).select(*row, F.inline(F.transform("wanted", lambda p: F.struct(p.alias("pos"), generalised(spaced(F.get(lines, p))).alias("said")))))
+    lead = F.substring_index("said", " ", LEADING)
+    candidates = materialize(again.select(*row, "pos", *_hashes("leaf", n_tokens, lead), *_hashes("line", F.col("said")), "said"), "candidate-lines")
 
     lines = of_docs(candidates, line).join(candidates.groupBy(*line).agg(*(F.first(c).alias(c) for c in (*leaf, "said"))), line)
     placed = materialize(lines.select(*leaf, *line, "docs", F.posexplode(F.split("said", " ")).alias("place", "token")), "placed-tokens")
