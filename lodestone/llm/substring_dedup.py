@@ -6,7 +6,8 @@ whose hashes are sorted; a batch meets the runs of its bucket in one task, which
 * anchor runs. Of the nine 5-word hashes in a 13-word window, the least is the window's anchor; equal windows have
   equal anchors. A run has each anchor with its first document and whether it has others: a fifth of the words.
 * window runs. Each 13-word window whose anchor has been seen in two documents, with its first document. A window is
-  known by two independent 64-bit hashes: the first is the key, the second verifies it.
+  known by two independent 64-bit hashes over separate hashes of its words: the first is the key, the second verifies
+  it, and marks are made of both.
 
 A batch's anchors are merged with the anchor runs. Where a batch meets an anchor that only one earlier document had,
 that document's windows are added late, from its text. The batch's windows are then merged with the window runs, its
@@ -65,6 +66,16 @@ def window_anchors(words: textvec.Words, window: int) -> tuple[np.ndarray, np.nd
     return at, textvec.mix(least[at]), h
 
 
+def window_keys(words: textvec.Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each window; the second goes back to hashes of the words' bytes of its own."""
+    return textvec.window_hashes(h, window, 1), textvec.window_hashes(words.hashes(seed=7), window, 2)
+
+
+def mark_of(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """What a document's marked window is known by inside that document, from both hashes."""
+    return textvec.mix(keys + checks * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _doc_of(words: textvec.Words, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids[np.searchsorted(words.first, at, "right") - 1]
 
@@ -251,7 +262,7 @@ class SubstringIndex:
                 words = textvec.find_words(part.column("text"), textvec.NOT_SPACE)
                 at, anchor, h = window_anchors(words, window)
                 at = at[in_filter(anchors_in.value, _top(anchor, map_bits))]
-                w1, w2 = (textvec.window_hashes(h, window, seed)[at] for seed in (1, 2))
+                w1, w2 = (x[at] for x in window_keys(words, h, window))
                 yield w1, w2, _doc_of(words, at, part.column("doc_id").to_numpy(zero_copy_only=False))
 
         source = batch.where("doc_id is not null")
@@ -291,7 +302,7 @@ class SubstringIndex:
                         first[found] = np.minimum(first[found], doc)
                 group = np.repeat(np.arange(len(at)), np.diff([*at, len(keys)]))
                 gone = docs > first[group]
-                marked, owner = keys[gone], docs[gone]
+                marked, owner = mark_of(keys[gone], checks[gone]), docs[gone]
                 part = _top(textvec.mix(owner.astype(np.uint64)), bits)
                 order = np.lexsort((owner, part))
                 marked, owner, part = marked[order], owner[order], part[order]
@@ -332,7 +343,7 @@ class SubstringIndex:
         def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in text_slices(batches):
                 words = textvec.find_words(part.column("text"), textvec.NOT_SPACE)
-                h = textvec.window_hashes(words.hashes(), window, 1)
+                h = mark_of(*window_keys(words, words.hashes(), window))
                 removed, shas = [], []
                 for i, (sha, marks) in enumerate(zip(part.column("kept_sha256").to_pylist(), part.column("marked").to_pylist(), strict=True)):
                     gone = np.zeros(int(words.first[i + 1] - words.first[i]), bool)
@@ -381,7 +392,7 @@ def _meet(keys: np.ndarray, checks: np.ndarray, old_keys: np.ndarray, old_checks
         at[left] += 1
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, batches: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All of docs through a new index, in batches of ascending ids: doc_id, n_words, n_removed, kept_sha256."""
     key = F.col(id_col).cast("long")
     share = [i / batches for i in range(1, batches)] or [0.5]
