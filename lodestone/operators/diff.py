@@ -14,51 +14,63 @@ _CHANGE = "struct<type:string,line_number_old:int,line_number_new:int,content:st
 _HUNKS = f"array<struct<hunk_id:string,old_start:int,old_lines:int,new_start:int,new_lines:int,changes:array<{_CHANGE}>>>"
 
 
-def hunk_rows(original: str, patched: str) -> list[dict]:
-    """Grouped differences with CONTEXT lines around them; lines are numbered from 1."""
-    old, new = original.splitlines(), patched.splitlines()
-    out = []
-    for group in difflib.SequenceMatcher(None, old, new).get_grouped_opcodes(CONTEXT):
-        changes = []
-        for tag, a, b, c, d in group:
-            if tag == "equal":
-                changes += [{"type": "context", "line_number_old": a + i + 1, "line_number_new": c + i + 1, "content": old[a + i]} for i in range(b - a)]
-            else:
-                changes += [{"type": "remove", "line_number_old": i + 1, "line_number_new": None, "content": old[i]} for i in range(a, b)]
-                changes += [{"type": "add", "line_number_old": None, "line_number_new": i + 1, "content": new[i]} for i in range(c, d)]
-        first, last = group[0], group[-1]
-        out.append({"hunk_id": f"hunk_{len(out) + 1:03d}", "old_start": first[1] + 1, "old_lines": last[2] - first[1], "new_start": first[3] + 1, "new_lines": last[4] - first[3], "changes": changes})
+KEPT, GONE, NEW = "context", "deletion", "addition"
+
+
+def edit_rows(old: list[str], new: list[str]) -> list[tuple[str, int, int]]:
+    """(kind, lines of old before, lines of new before) for each line of either text, in order."""
+    rows, i, j = [], 0, 0
+    for a, b, n in difflib.SequenceMatcher(None, old, new).get_matching_blocks():
+        rows += [(GONE, k, j) for k in range(i, a)] + [(NEW, a, k) for k in range(j, b)] + [(KEPT, a + k, b + k) for k in range(n)]
+        i, j = a + n, b + n
+    return rows
+
+
+def hunk_numbers(rows: list[tuple[str, int, int]]) -> list[int]:
+    """Number of the hunk of each row, from 1; 0 for lines farther than CONTEXT from any change."""
+    near, hunk, out = [False] * len(rows), 0, []
+    for n, row in enumerate(rows):
+        if row[0] != KEPT:
+            near[max(0, n - CONTEXT) : n + CONTEXT + 1] = [True] * len(near[max(0, n - CONTEXT) : n + CONTEXT + 1])
+    for n, inside in enumerate(near):
+        hunk += inside and not (n and near[n - 1])
+        out.append(hunk if inside else 0)
     return out
 
 
+def hunk_rows(original: str, patched: str) -> list[dict]:
+    """Changes with CONTEXT lines around them; lines are numbered from 1."""
+    old, new, out = original.splitlines(), patched.splitlines(), {}
+    rows = edit_rows(old, new)
+    for (kind, i, j), hunk in zip(rows, hunk_numbers(rows), strict=True):
+        if hunk:
+            own = out.setdefault(hunk, {"hunk_id": f"hunk_{hunk:03d}", "old_start": i + 1, "old_lines": 0, "new_start": j + 1, "new_lines": 0, "changes": []})
+            own["old_lines"] += kind != NEW
+            own["new_lines"] += kind != GONE
+            own["changes"].append({"type": kind, "line_number_old": None if kind == NEW else i + 1, "line_number_new": None if kind == GONE else j + 1, "content": new[j] if kind == NEW else old[i]})
+    return list(out.values())
+
+
 def apply_accepted(original: str, patched: str, rejected: set[str]) -> str:
     """The patched text with the lines of rejected hunks as they were."""
-    old, new, out, hunk = original.splitlines(), patched.splitlines(), [], 0
-    at = 0
-    for group in difflib.SequenceMatcher(None, old, new).get_grouped_opcodes(CONTEXT):
-        hunk += 1
-        keep_old = f"hunk_{hunk:03d}" in rejected
-        out += old[at : group[0][1]]
-        for _, a, b, c, d in group:
-            out += old[a:b] if keep_old else new[c:d]
-        at = group[-1][2]
-    out += old[at:]
+    old, new = original.splitlines(), patched.splitlines()
+    rows = edit_rows(old, new)
+    out = []
+    for (kind, i, j), hunk in zip(rows, hunk_numbers(rows), strict=True):
+        if kind != (NEW if f"hunk_{hunk:03d}" in rejected else GONE):
+            out.append(new[j] if kind == NEW else old[i])
     return "\n".join(out) + ("\n" if out and (original.endswith("\n") or patched.endswith("\n")) else "")
 
 
 def replay_delta(original: str, patched: str, current: str) -> str:
-    """The edits from original to patched on the lines of current, by line position: it may misplace them where
-    current has drifted, which callers accept."""
-    old, new, now = original.splitlines(), patched.splitlines(), current.splitlines()
-    out, at = [], 0
-    for tag, a, b, c, d in difflib.SequenceMatcher(None, old, new).get_opcodes():
-        if tag == "equal":
-            out += now[at : at + b - a]
-        else:
-            out += new[c:d]
-        at += b - a
-    out += now[at:]
-    return "\n".join(out) + ("\n" if out and (current or patched).endswith("\n") else "")
+    """The edits from original to patched on the lines of current, line ends as they are, by line position: it may
+    misplace them where current has drifted, which callers accept."""
+    if current == original or patched == original:
+        return patched if current == original else current
+    old, new, now = (text.splitlines(keepends=True) for text in (original, patched, current))
+    rows = edit_rows(old, new)
+    said = [new[j] if kind == NEW else "".join(now[i : i + 1]) for kind, i, j in rows if kind != GONE]
+    return "".join([*said, *now[len(old) :]])
 
 
 def common_lines(one: str, other: str) -> int:
@@ -102,7 +114,7 @@ def change_counts(df: DataFrame, key: str, changes: str = "hunks") -> DataFrame:
     """key, additions, deletions over all hunks."""
     kinds = F.flatten(F.transform(changes, lambda h: F.transform(h["changes"], lambda c: c["type"])))
     of = lambda kind: F.size(F.filter(kinds, lambda k: k == kind))
-    return df.select(key, of("add").alias("additions"), of("remove").alias("deletions"))
+    return df.select(key, of(NEW).alias("additions"), of(GONE).alias("deletions"))
 
 
 def splice(content: Column, replacements: Column) -> Column:

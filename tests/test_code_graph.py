@@ -33,12 +33,41 @@ def test_nodes(nodes):
     rows = {r["id"]: r for r in nodes.collect()}
     assert {i for i in rows if i.startswith("core")} == {"core.py::load", "core.py::top", "core.py::Box", "core.py::Box.get", "core.py::module_level::1-1"}
     assert rows["api.py::view"]["start_line"] == 3 and not any(i.startswith("bad") for i in rows)
-    assert {tuple(u) for u in rows["api.py::view"]["usage"]} == {("top", ".save"), ("top", ".save()"), ("top", "['id']")}
-    assert "self.last" in rows["core.py::Box.get"]["defines"] and "LIMIT" in rows["far.py::outer"]["references"]
+    assert {tuple(u) for u in rows["api.py::view"]["usage"]} == {("top", ".save()"), ("top", "['id']")}
+    assert "Box.last" in rows["core.py::Box.get"]["defines"] and "LIMIT" in rows["far.py::outer"]["references"]
     assert rows["a.js::load"]["end_line"] == 4 and ("load", ".close()") in {tuple(u) for u in rows["a.js::use"]["usage"]}
     assert ("Fetch", ".Close()") in {tuple(u) for u in rows["b.go::Run"]["usage"]}
 
 
+def test_facts():
+    import ast
+
+    def facts(code, owner=None):
+        return code_nodes.Facts(ast.parse(code).body, owner)
+
+    f = facts("r = open_it(a[0]).next()\nr.close(x=pkg.mod.go())\nr.part.size\ns = r\ns['k']\nfetch().rows[1:]")
+    assert set(f.calls) == {"open_it", "open_it.next", "r.close", "pkg.mod.go", "fetch"}
+    assert f.usage == {("open_it", ".next()"), ("open_it", ".close()"), ("open_it", ".part"), ("open_it", ".size"), ("open_it", "['k']"), ("fetch", ".rows"), ("fetch", "[:]")}
+    assert {"go", "pkg.mod", "next", "a", "open_it.close"} <= f.references and "x" not in f.references
+    f = facts("box = lib.Box()\nself.size = box.width\nself.run()\nfor i, j in f(): pass\nwith lib.lock() as k:\n    k.go()\ndef inner():\n    hidden()", "Shape")
+    assert {"box", "Shape.size", "i", "j", "k", "inner", "Shape.inner"} == set(f.defines)
+    assert {"Box.width", "Shape.run", "Shape.size", "self.run"} <= f.references and "hidden" not in f.calls
+    assert f.usage == {("lib.Box", ".width"), ("lib.lock", ".go()")}
+    f = facts("import a.b as c, d.e\nfrom m.n import o as p")
+    assert f.references == {"a.b", "c", "d.e", "d", "m.n", "o", "p", "m.n.o"}
+
+
+def test_lexical_definitions():
+    def found(language, code):
+        return {(r["name"], r["context_type"]) for r in code_nodes.lexical_nodes("f", code, language) if r["name"]}
+
+    assert found("rust", "pub(crate) async fn go(x: u8) {\n}\npub struct Point {\n}\n") == {("go", "function"), ("Point", "class")}
+    assert found("java", "public class A {\n  public static List<String> names(int x) throws E {\n    if (x > 1) {\n    }\n  }\n}\n") == {("A", "class"), ("names", "function")}
+    assert found("go", "func (s *Server) Serve(a int) error {\n}\ntype Box struct {\n}\n") == {("Serve", "function"), ("Box", "class")}
+    assert found("typescript", "export default async function* f(x) {\n}\nexport const g = async (a: number): Promise<void> => {\n};\n") == {("f", "function"), ("g", "function")}
+    assert found("cpp", "static int add(int a, int b) {\n}\nvoid Box::put(int x) const {\n}\n") == {("add", "function"), ("put", "function")}
+
+
 def test_edges(edges, nodes):
     found = {(r["source"], r["target"]) for r in edges.collect()}
     want = {("core.py::top", "core.py::load"), ("core.py::Box.get", "core.py::load"), ("api.py::view", "core.py::top"), ("far.py::outer", "api.py::view"), ("a.js::use", "a.js::load"), ("b.go::Run", "b.go::Fetch")}
@@ -52,7 +81,7 @@ def test_impact(spark, nodes, edges):
     hit = {r["node"]: r for r in code_graph.impact(nodes, edges, change(("core.py", 7))).collect()}
     assert set(hit) == {"api.py::view", "far.py::outer", "api.py::module_level::1-1"}
     assert (hit["api.py::view"]["depth"], hit["api.py::view"]["impact_reason"]) == (1, graph.USES_VALUE)
-    assert hit["api.py::view"]["affected_attributes"] == [".save", ".save()", "['id']"] and hit["far.py::outer"]["depth"] == 2
+    assert hit["api.py::view"]["affected_attributes"] == [".save()", "['id']"] and hit["far.py::outer"]["depth"] == 2
     near = {r["node"] for r in code_graph.impact(nodes, edges, change(("core.py", 7)), max_depth=1).collect()}
     assert "far.py::outer" not in near and "api.py::view" in near
     assert code_graph.impact(nodes, edges, change(("far.py", 8))).count() == 0

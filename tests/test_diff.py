@@ -44,6 +44,22 @@ def test_apply_properties(a, b):
     assert diff.common_lines(a, b) == diff.common_lines(b, a) <= min(len(a.split("\n")), len(b.split("\n")))
 
 
+def test_replay_keeps_line_ends():
+    assert diff.replay_delta("a\r\nb\r\nc", "a\r\nB\r\nc", "A\r\nb\r\nc") == "A\r\nB\r\nc"
+    assert diff.replay_delta("a\r\n", "a\r\nb", "a\r\n") == "a\r\nb" and diff.replay_delta("a\n", "a\n", "other") == "other"
+    assert [c["type"] for c in diff.hunk_rows("a\nb\n", "a\nc\n")[0]["changes"]] == ["context", "deletion", "addition"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(texts, texts)
+def test_hunks_are_those_of_grouped_differences(a, b):
+    import difflib
+
+    groups = difflib.SequenceMatcher(None, a.splitlines(), b.splitlines()).get_grouped_opcodes(diff.CONTEXT)
+    found = [(h["old_start"] - 1, h["old_lines"], h["new_start"] - 1, h["new_lines"]) for h in diff.hunk_rows(a, b)]
+    assert found == [(g[0][1], g[-1][2] - g[0][1], g[0][3], g[-1][4] - g[0][3]) for g in groups]
+
+
 def test_common_lines(spark):
     assert frame(spark, (1, "a\nb\nc", "b\nx\nc", [])).select(diff.shared_lines("original", "patched").alias("x")).first()["x"] == 2
 
@@ -80,7 +96,7 @@ def test_random_edits_keep_line_numbers():
         b = [x for x in a if rnd.random() > 0.1] + ["new"]
         for h in diff.hunk_rows("\n".join(a), "\n".join(b)):
             for c in h["changes"]:
-                if c["type"] != "add":
+                if c["type"] != "addition":
                     assert a[c["line_number_old"] - 1] == c["content"]
-                if c["type"] != "remove":
+                if c["type"] != "deletion":
                     assert b[c["line_number_new"] - 1] == c["content"]
