@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.versions import severity
@@ -52,12 +52,26 @@ def report(packages: DataFrame, advisories: DataFrame, latest: DataFrame) -> Dat
     )
 
 
+#: The order of severities in tables, the gravest first.
+RANKS = {"CRITICAL": 50, "HIGH": 40, "UNPINNED": 35, "MEDIUM": 30, "LOW": 20}
+
+
+def severity_rank(severity: Column) -> Column:
+    return F.coalesce(F.create_map(*(x for k, v in RANKS.items() for x in (F.lit(k), F.lit(v))))[severity], F.lit(10))
+
+
+def health_score(severity: Column, total: Column | None = None) -> Column:
+    """Mean weight, cut to an integer; 100 for nothing: an aggregate."""
+    total = F.count(F.lit(1)) if total is None else total
+    weight = F.create_map(*(x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))))[severity]
+    return F.when(total == 0, 100).otherwise(F.floor(F.coalesce(F.sum(weight), F.lit(0)) / total))
+
+
 def health(reported: DataFrame, total_packages: int | None = None) -> DataFrame:
     """health_score, total_packages and a zero-filled count of each severity, for the scanner's package count."""
     total = F.count(F.lit(1)) if total_packages is None else F.lit(total_packages)
-    weight = F.create_map(*(x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))))[F.col("severity")]
     return reported.agg(
-        F.when(total == 0, 100).otherwise(F.floor(F.coalesce(F.sum(weight), F.lit(0)) / total)).cast("int").alias("health_score"),
+        health_score(F.col("severity"), total).cast("int").alias("health_score"),
         total.cast("int").alias("total_packages"),
         *(F.count_if(F.col("severity") == s).cast("int").alias(s.lower()) for s in WEIGHTS),
     )

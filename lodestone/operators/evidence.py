@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.versions import version_in_window, version_tuple
 from lodestone.operators import relational as rel
+from lodestone.operators.semantics import method_scores, semantic_score
 
 CHUNK_CHARS, MAX_CHUNKS, CHANGELOG_CHARS, LEAST_SCORE = 1800, 14, 30_000, 10
 #: Chunks of one address by its kind of document, and the score that the kind brings.
 KIND_CAPS = {"migration_guide": 6, "release_notes": 5, "api_docs": 2, "registry": 2, "reference": 2}
 KIND_SCORES = {"migration_guide": 8, "release_notes": 6, "api_docs": 3}
 #: Words of change that each add to a chunk's score.
-CHANGE_TERMS = ("breaking", "removed", "deprecated", "renamed", "replaced", "migrat", "instead", "no longer", "changed")
+CHANGE_TERMS = (
+    "removed", "remove", "deprecated", "deprecation", "renamed", "replaced", "replacement", "instead", "use ", "no longer", "breaking", "backwards incompatible", "migration", "upgrade",
+    "changed signature", "signature", "requires", "must",
+)
+#: Least points of methods or meanings that let a chunk, or a registry's page, pass; those of a sure chunk.
+METHOD_PASS, MEANING_PASS, METHOD_SURE, REGISTRY_MEANING = 35, 18, 80, 36
 
 
 def _by_kind(values: dict[str, int], kind: Column, default: int) -> Column:
@@ -41,36 +47,45 @@ def chunks(references: DataFrame, size: int = CHUNK_CHARS) -> DataFrame:
 
 
 def search_terms(usages: DataFrame, usage: str = "usage") -> DataFrame:
-    """term, strong: a usage, its last two and three parts, and its leaf if that has over three letters; dotted terms
-    are strong."""
-    parts = F.split(usage, r"\.|::|/")
-    tail = lambda n: F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), "."))
-    leaf = F.when(F.length(F.element_at(parts, -1)) > 3, F.element_at(parts, -1))
-    terms = F.filter(F.array(F.col(usage), tail(2), tail(3), leaf), lambda t: t.isNotNull())
-    rows = usages.select(F.explode(F.array_distinct(F.transform(terms, F.lower))).alias("term")).distinct()
-    return rows.withColumn("strong", F.col("term").rlike(r"\.|::|/"))
+    """term, strong: a usage, its last two and three parts, and its leaf if that has over three letters. Weak are terms
+    that say too little, and names of packages."""
+    whole = F.lower(usage)
+    leaf = F.when((F.size(tx.name_parts(whole)) >= 2) & (F.length(F.element_at(tx.name_parts(whole), -1)) > 3), F.element_at(tx.name_parts(whole), -1))
+    terms = F.filter(F.array(whole, tx.last_parts(whole, 2), tx.last_parts(whole, 3), leaf), lambda t: t.isNotNull() & (t != ""))
+    roots = usages.select(F.get(F.filter(F.split(whole, r"[.:/]+"), lambda p: p != ""), F.lit(0)).alias("term")).distinct().withColumn("_root", F.lit(True))
+    rows = usages.select(F.explode(F.array_distinct(terms)).alias("term")).distinct().join(roots, "term", "left")
+    return rows.select("term", (F.col("_root").isNull() & ~tx.weak_term(F.col("term"))).alias("strong"))
 
 
-def score_chunks(chunked: DataFrame, terms: DataFrame, versions: Sequence[str] = ()) -> DataFrame:
-    """chunked with document_kind, score, matched_terms, strong_terms and evidence_confidence.
+def score_chunks(chunked: DataFrame, terms: DataFrame, versions: Sequence[str] = (), profiles: DataFrame | None = None, meanings: Sequence[str] = ()) -> DataFrame:
+    """chunked with document_kind, score, matched_terms, strong_terms, method_score, semantic_score, evidence_confidence.
 
     Every term that a chunk (with title and address) contains adds 10 and a fifth of its length up to 8; change words,
-    versions and the kind of document add theirs. Only chunks that speak of change and hold a strong term pass. terms:
-    those of one package, gathered as one array.
+    versions, methods (profiles: owner, method), meanings and the kind of document add theirs. A chunk passes that speaks
+    of change and has a strong term, a method or a meaning in its own text; a registry's page needs more of the latter.
+    terms and profiles: those of one package, gathered as one array each.
     """
     wanted = terms.agg(F.collect_list(F.struct("term", "strong")).alias("_terms"))
-    rows = chunked.join(F.broadcast(wanted), F.lit(True)).withColumn("document_kind", tx.document_kind(F.col("source"), F.col("title"), F.col("url")))
-    said, own = F.lower(F.concat_ws("\n", "title", "url", "content")), F.lower("content")
-    hits = F.filter("_terms", lambda t: F.contains(said, t["term"]))
-    inner = F.filter("_terms", lambda t: t["strong"] & F.contains(own, t["term"]))
-    count = lambda words: sum((F.contains(said, F.lit(w)).cast("int") for w in words), F.lit(0))
+    rows = chunked.withColumn("_key", F.struct("ref_index", "chunk_index")).join(F.broadcast(wanted), F.lit(True)).withColumn("document_kind", tx.document_kind(F.col("source"), F.col("title"), F.col("url")))
+    rows = rows.withColumn("_said", F.concat_ws(" ", "title", "url", "content"))
+    said, phrases = F.lower("_said"), F.array(*map(F.lit, meanings)) if meanings else F.array().cast("array<string>")
+    count = lambda words: sum((F.contains(said, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
     points = F.aggregate("_hits", F.lit(0), lambda acc, t: acc + 10 + F.least(F.lit(8), F.floor(F.length(t["term"]) / 5).cast("int")))
-    rows = rows.withColumn("_hits", hits).withColumn("_strong", inner)
-    rows = rows.withColumn("score", points + 3 * count(CHANGE_TERMS) + 2 * count(versions) + _by_kind(KIND_SCORES, F.col("document_kind"), 0))
-    rows = rows.where(tx.has_migration_language(F.col("content")) & (F.size("_strong") > 0) & (F.col("score") >= LEAST_SCORE))
+    rows = rows.withColumn("_hits", F.filter("_terms", lambda t: F.contains(said, t["term"]))).withColumn("_strong", F.filter("_hits", lambda t: t["strong"]))
+    rows = rows.withColumn("semantic_score", semantic_score(F.col("content"), phrases)).withColumn("_whole_meaning", semantic_score(F.col("_said"), phrases))
+    if profiles is None:
+        rows = rows.withColumn("method_score", F.lit(0)).withColumn("_whole_method", F.lit(0))
+    else:
+        rows = rows.join(method_scores(rows, profiles, "_key", "content"), "_key").join(method_scores(rows, profiles, "_key", "_said").withColumnRenamed("method_score", "_whole_method"), "_key")
+    score = points + 3 * count(CHANGE_TERMS) + 2 * count(versions) + F.col("_whole_method") + F.col("_whole_meaning") + _by_kind(KIND_SCORES, F.col("document_kind"), 0)
+    method, meaning, strong = F.col("method_score"), F.col("semantic_score"), F.size("_strong") > 0
+    listed = (F.col("document_kind") != "registry") | (method >= METHOD_SURE) | (meaning >= REGISTRY_MEANING)
+    anchored = tx.has_migration_language(F.col("content")) & (strong | (method >= METHOD_PASS) | (meaning >= MEANING_PASS))
+    matched = (F.size("_hits") > 0) | (F.col("_whole_method") > 0) | (F.col("_whole_meaning") > 0)
+    rows = rows.withColumn("score", score.cast("int")).where(listed & anchored & matched & (F.col("score") >= LEAST_SCORE))
     names = lambda c: F.array_sort(F.transform(c, lambda t: t["term"]))
-    level = F.when(F.col("score") >= 40, "high").when(F.col("score") >= 25, "medium").otherwise("low")
-    return rows.select(*chunked.columns, "document_kind", "score", names("_hits").alias("matched_terms"), names("_strong").alias("strong_terms"), level.alias("evidence_confidence"))
+    level = F.when(method >= METHOD_SURE, "high").when(strong | (meaning >= MEANING_PASS) | (method >= METHOD_PASS), "medium").otherwise("low")
+    return rows.select(*chunked.columns, "document_kind", "score", names("_hits").alias("matched_terms"), names("_strong").alias("strong_terms"), "method_score", "semantic_score", level.alias("evidence_confidence"))
 
 
 def rank_chunks(scored: DataFrame, limit: int = MAX_CHUNKS) -> DataFrame:

@@ -11,12 +11,24 @@ from lodestone.functions import text as tx
 from lodestone.functions.versions import candidate_versions, version_in_window, version_tuple, versions_in_text
 from lodestone.operators import relational as rel
 
-#: File names under which projects keep change logs, with {v} for a version.
-CHANGELOG_NAMES = ("CHANGELOG.md", "CHANGES.md", "HISTORY.md", "NEWS.md", "RELEASES.md", "CHANGELOG.rst", "CHANGES.rst", "docs/changelog.md", "docs/release-notes.md", "MIGRATION.md", "UPGRADING.md")
-VERSIONED_NAMES = ("docs/releases/{v}.md", "docs/migration/{v}.md", "doc/whatsnew/v{v}.rst", "release-notes/{v}.md", "UPGRADE-{v}.md")
+#: Paths under which projects keep change logs, and those of a version, {v}.
+CHANGELOG_NAMES = (
+    "CHANGELOG.md", "CHANGELOG.rst", "CHANGELOG.txt", "CHANGES.md", "CHANGES.rst", "CHANGES.txt", "NEWS.md", "NEWS.rst", "NEWS.txt", "HISTORY.md", "HISTORY.rst", "RELEASES.md", "RELEASE_NOTES.md",
+    "MIGRATION.md", "MIGRATING.md", "UPGRADE.md", "UPGRADING.md", "docs/CHANGELOG.md", "docs/changelog.md", "docs/changes.md", "docs/release-notes.md", "docs/release_notes.md", "docs/migration.md",
+    "docs/migrating.md", "docs/upgrade.md", "docs/upgrading.md", "docs/source/whatsnew/index.rst", "doc/source/whatsnew/index.rst", "docs/source/release.rst", "doc/source/release.rst",
+    "docs/source/release/index.rst", "doc/source/release/index.rst", "docs/releases/index.md", "doc/releases/index.md", "docs/migration/index.md", "docs/migration/index.rst", "docs/upgrading/index.md",
+    "docs/upgrade/index.md", "docs/api/index.md", "docs/reference/index.md",
+)
+VERSIONED_NAMES = (
+    "doc/source/release/{v}-notes.rst", "docs/source/release/{v}-notes.rst", "doc/source/release/{v}.rst", "docs/source/release/{v}.rst", "doc/release/{v}-notes.rst", "docs/release/{v}-notes.rst",
+    "doc/releasenotes/{v}.rst", "docs/releasenotes/{v}.rst", "doc/release-notes/{v}.rst", "docs/release-notes/{v}.rst", "doc/release_notes/{v}.rst", "docs/release_notes/{v}.rst",
+    "doc/releasenotes/{v}.md", "docs/releasenotes/{v}.md", "doc/release-notes/{v}.md", "docs/release-notes/{v}.md", "doc/release_notes/{v}.md", "docs/release_notes/{v}.md", "docs/releases/{v}.md",
+    "release/{v}.md", "releases/{v}.md",
+)
 API_NAMES = ("docs/api/{s}.md", "docs/reference/{s}.md", "docs/{s}.md", "doc/{s}.rst", "docs/api/{s}.rst")
 #: What a page says when there is none, and what shows that it is one of documentation all the same.
-NOT_FOUND = ("page not found", "404 not found", "404: not found", "this page doesn't exist", "file not found")
+NOT_FOUND = ("page not found", "404 not found", "can't find the page", "could not find the page")
+NOT_FOUND_DOCS = ("documentation", "contents index", "search terms", "current documentation")
 DOCS_TOKENS = ("docs", "documentation", "readthedocs", "guide", "reference", "manual", "api", "learn", "wiki", "tutorial", "help")
 MAX_CANDIDATES, MAX_TREE_DOCS = 18, 12
 
@@ -75,8 +87,29 @@ def linked_changelogs(index: DataFrame, low: str, high: str, limit: int = 8) ->
 
 def is_not_found(content: Column, url: Column) -> Column:
     """A page that says that there is none, at an address or among documentation."""
-    low = F.lower(content)
-    return low.rlike("|".join(NOT_FOUND)) & ((url != "") | low.rlike("docs|documentation"))
+    said = tx.evidence_text(content)
+    return said.rlike("|".join(NOT_FOUND)) & ((url != "") | said.rlike("|".join(NOT_FOUND_DOCS)))
+
+
+def path_versions_relevant(path: Column, low: Column, high: Column) -> Column:
+    """A path that names no version, or one that lies between two."""
+    found = versions_in_text(path)
+    return (F.size(found) == 0) | F.exists(found, lambda v: version_in_window(v, low, high))
+
+
+def first_repository(links: DataFrame) -> DataFrame:
+    """name, repository: of links (name, ord, url) the first that leads to GitHub, normalised."""
+    rows = links.select("name", "ord", tx.repo_url(F.col("url")).alias("repository")).where(F.contains("repository", F.lit("github.com")))
+    return rel.first_rows(rows, ["name"], ["ord"]).select("name", "repository")
+
+
+def api_symbols(usages: DataFrame) -> DataFrame:
+    """symbol, place: of usages (usage, ord), each with its last part and last two parts, the first spelling of a name."""
+    own = F.trim(F.col("usage"))
+    parts = F.filter(F.split(own, r"[.:/]+"), lambda p: p != "")
+    every = F.concat(F.array(own), F.when(F.size(parts) >= 2, F.array(F.element_at(parts, -1), F.array_join(F.slice(parts, -2, 2), "."))).otherwise(F.array().cast("array<string>")))
+    rows = usages.select("ord", F.posexplode(every).alias("n", "s")).select(F.struct("ord", "n").alias("place"), F.regexp_replace("s", r"^\.+|\.+$", "").alias("symbol")).where("symbol <> ''")
+    return rel.first_rows(rows, [F.lower("symbol")], ["place"]).select("symbol", "place")
 
 
 def is_docs_like(url: Column) -> Column:

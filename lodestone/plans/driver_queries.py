@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import versions as vs
-from lodestone.operators import diff, graph, intervals
+from lodestone.operators import audit, diff, graph, intervals, previews
 from lodestone.operators import relational as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +32,7 @@ def query(sql: str | None = None):
 
 #: Order priorities as severities.
 SEVERITY_OF = {"1-URGENT": "CRITICAL", "2-HIGH": "HIGH", "3-MEDIUM": "MEDIUM", "4-NOT SPECIFIED": "LOW", "5-LOW": "OK"}
-#: The health weight of each severity, in percent.
-HEALTH = {"OK": 100, "LOW": 75, "MEDIUM": 50, "HIGH": 25, "UNPINNED": 25, "CRITICAL": 0}
+HEALTH = audit.WEIGHTS
 _SEVERITY_SQL = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEVERITY_OF.items()) + " ELSE 'UNPINNED' END"
 _RANK_SQL = "CASE severity WHEN 'CRITICAL' THEN 50 WHEN 'HIGH' THEN 40 WHEN 'UNPINNED' THEN 35 WHEN 'MEDIUM' THEN 30 WHEN 'LOW' THEN 20 ELSE 10 END"
 
@@ -45,23 +44,11 @@ def severity_of(priority):
     return out.otherwise("UNPINNED")
 
 
-def severity_rank(severity):
-    return F.when(severity == "CRITICAL", 50).when(severity == "HIGH", 40).when(severity == "UNPINNED", 35).when(severity == "MEDIUM", 30).when(severity == "LOW", 20).otherwise(10)
-
-
 def graded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     return orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("severity", severity_of(F.col("o_orderpriority")))
 
 
-def health_score(severity):
-    """Mean weight, cut to an integer; 100 for nothing: an aggregate."""
-    weight = None
-    for k, v in HEALTH.items():
-        weight = F.when(severity == k, v) if weight is None else weight.when(severity == k, v)
-    return F.coalesce(F.floor(F.sum(weight.otherwise(0)) / F.count(F.lit(1))), F.lit(100)).cast("bigint")
-
-
 @query(f"""
     WITH g AS (SELECT n_name, {_SEVERITY_SQL} AS severity FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
     SELECT n_name, count(*) AS total_packages,
@@ -70,7 +57,7 @@ def health_score(severity):
     FROM g GROUP BY n_name""")
 def q_health_by_nation(spark, sf_dir):
     return graded_orders(spark, sf_dir).groupBy("n_name").agg(
-        F.count(F.lit(1)).alias("total_packages"), *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in HEALTH), health_score(F.col("severity")).alias("health_score")
+        F.count(F.lit(1)).alias("total_packages"), *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in HEALTH), audit.health_score(F.col("severity")).cast("bigint").alias("health_score")
     )
 
 
@@ -140,7 +127,7 @@ def q_severity_classify(spark, sf_dir):
     WITH g AS (SELECT n_name, o_orderkey, {_SEVERITY_SQL} AS severity FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
     SELECT n_name, o_orderkey, severity, place FROM (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY {_RANK_SQL} DESC, o_orderkey) AS place FROM g) WHERE place <= 20""")
 def q_severity_rank_sort(spark, sf_dir):
-    w = Window.partitionBy("n_name").orderBy(severity_rank(F.col("severity")).desc(), "o_orderkey")
+    w = Window.partitionBy("n_name").orderBy(audit.severity_rank(F.col("severity")).desc(), "o_orderkey")
     return graded_orders(spark, sf_dir).select("n_name", "o_orderkey", "severity", F.row_number().over(w).cast("bigint").alias("place")).where("place <= 20")
 
 
@@ -148,15 +135,14 @@ def q_severity_rank_sort(spark, sf_dir):
     SELECT p_partkey, p_name, p_brand, p_type FROM part
     WHERE p_size BETWEEN 5 AND 30 AND p_retailprice > 920 AND contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1')""")
 def q_filter_panel(spark, sf_dir):
-    said = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type"))
-    return table(spark, sf_dir, "part").where(F.col("p_size").between(5, 30) & (F.col("p_retailprice") > 920) & F.contains(said, F.lit("brand#1"))).select("p_partkey", "p_name", "p_brand", "p_type")
+    said = previews.said_in("Brand#1 ", "p_name", "p_brand", "p_type")
+    return table(spark, sf_dir, "part").where(F.col("p_size").between(5, 30) & (F.col("p_retailprice") > 920) & said).select("p_partkey", "p_name", "p_brand", "p_type")
 
 
 @query("""
     SELECT p_brand, count(*) AS n_names, string_agg(p_name, '|' ORDER BY p_name) AS names FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY p_brand""")
 def q_group_collect(spark, sf_dir):
-    names = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("n"))
-    return names.select("p_brand", F.size("n").cast("bigint").alias("n_names"), F.array_join("n", "|").alias("names"))
+    return previews.ordered_values(table(spark, sf_dir, "part"), "p_brand", "p_name").select("p_brand", F.col("n").alias("n_names"), F.array_join("values", "|").alias("names"))
 
 
 EVENT_TYPES = ("click", "view", "purchase", "signup", "error", "logout")
@@ -348,8 +334,7 @@ def q_char_budget(spark, sf_dir):
 def q_section_ranges(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     last = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("last"))
-    after = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return turns.where("role = 'user'").withColumn("nxt", after).join(last, "conv_id").select("conv_id", F.col("turn").alias("section_start"), F.coalesce("nxt", "last").alias("section_end"))
+    return previews.section_ends(turns.where("role = 'user'"), last, ["conv_id"], "turn", "last")
 
 
 def event_spans(spark, sf_dir, minutes):
@@ -538,8 +523,8 @@ def q_ttl_expired(spark, sf_dir):
 def q_set_ops(spark, sf_dir):
     half = lambda r: F.collect_set(F.when(F.col("event_id") % 2 == r, F.col("event_type")))
     sets = table(spark, sf_dir, "events").groupBy("user_id").agg(half(0).alias("a"), half(1).alias("b"))
-    text = lambda c: F.array_join(F.array_sort(c), ",")
-    return sets.select("user_id", text(F.array_except("a", "b")).alias("gone"), text(F.array_intersect("a", "b")).alias("both_sets"), text(F.array_union("a", "b")).alias("either"))
+    changes = sets.select("user_id", previews.set_changes(F.col("a"), F.col("b")).alias("c"))
+    return changes.select("user_id", *(F.array_join(f"c.{x}", ",").alias(x) for x in ("gone", "both_sets", "either")))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -51,6 +51,17 @@ def test_chunks_and_ranking(spark):
     assert fallback and fallback[0]["evidence_confidence"] == "low" and "removed" in fallback[0]["content"]
 
 
+def test_methods_and_meanings_pass_without_terms(spark):
+    rows = [(0, "web", "Release notes", "http://x", "The client can fetch pages, but this is deprecated."), (1, "pypi", "acme", "http://pypi", "The client can fetch pages; use it."), (2, "web", "Notes", "http://y", "Pooled sockets are closed, which requires care."), (3, "web", "Notes", "http://z", "The client can fetch pages.")]
+    chunked = evidence.chunks(spark.createDataFrame(rows, REFS))
+    profiles = spark.createDataFrame([("client", "fetch")], "owner string, method string")
+    terms = spark.createDataFrame([("zzz.none", True)], "term string, strong boolean")
+    found = {r["ref_index"]: r for r in evidence.score_chunks(chunked, terms, (), profiles, ("pooled sockets", "closes pooled sockets")).collect()}
+    assert set(found) == {0, 2}
+    assert (found[0]["method_score"], found[0]["evidence_confidence"]) == (70, "medium") and found[0]["score"] == 70 + 3 + 6
+    assert found[2]["semantic_score"] == 18 + 12
+
+
 def test_kind_caps(spark):
     rows = [(i, "web", "Migration guide" if i < 9 else "Reference", "http://m" if i < 9 else "http://r", f"{i} Box.open was removed") for i in range(18)]
     terms = spark.createDataFrame([("box.open", True)], "term string, strong boolean")
