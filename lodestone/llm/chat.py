@@ -52,25 +52,13 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
     """conv_id, formatted, turns array<struct<role,text>>: read back from the strings alone."""
-    plain = r"((?:[^\[\]<>\\]|\\[\[\]<>\\])*+)"
-    # Control strings are the only unescaped brackets: each mark opens a turn that goes on to the next mark.
-    mark = rf"(\[ROLE {plain}\]|\[NEXT\]){plain}"
-    marks = F.regexp_extract_all("formatted", F.lit(mark), F.lit(1))
-    roles = F.regexp_extract_all("formatted", F.lit(mark), F.lit(2))
-    texts = F.regexp_extract_all("formatted", F.lit(mark), F.lit(3))
-    split = formatted.select("*", marks.alias("_marks"), roles.alias("_roles"), texts.alias("_texts"))
-    # [NEXT] goes on with the role before it.
-    filled = F.aggregate(
-        F.arrays_zip(F.col("_marks").alias("m"), F.col("_roles").alias("r")),
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last")),
-        lambda acc, x: F.struct(
-            F.concat(acc["out"], F.array(F.when(x["m"] == NEXT, acc["last"]).otherwise(x["r"]))).alias("out"),
-            F.when(x["m"] == NEXT, acc["last"]).otherwise(x["r"]).alias("last"),
-        ),
-        lambda acc: acc["out"],
-    )
-    turns = F.zip_with(filled, F.col("_texts"), lambda r, t: F.struct(unescape(r).alias("role"), unescape(t).alias("text")))
-    return split.select(*formatted.columns, turns.alias("turns"))
+    # Control strings are the only unescaped brackets: a block runs to the next [/ROLE], its turns to the next [NEXT].
+    plain = r"(?:[^\[\]<>\\]++|\\[\[\]<>\\])*+"
+    block = rf"\[ROLE ({plain})\]({plain}(?:\[NEXT\]{plain})*+)\[/ROLE\]"
+    roles, bodies = (F.regexp_extract_all("formatted", F.lit(block), F.lit(i)) for i in (1, 2))
+    said = lambda role, body: F.transform(F.split(body, r"\[NEXT\]"), lambda text: F.struct(unescape(role).alias("role"), unescape(text).alias("text")))
+    split = formatted.select("*", roles.alias("_roles"), bodies.alias("_bodies"))
+    return split.select(*formatted.columns, F.flatten(F.zip_with("_roles", "_bodies", said)).alias("turns"))
 
 
 def chat_digest(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:

@@ -94,6 +94,15 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_ties_repeats_and_length(spark):
+    """Equal turn numbers go by role and text, repeated rows are turns, a long conversation is read back whole."""
+    rows = [(1, 2, "user", "b"), (1, 2, "user", "b"), (1, 2, "assistant", "z"), (1, None, "user", "[NEXT]"), (1, 9, "user", None)]
+    rows += [(2, i, "user" if i % 7 else "assistant", f"turn {i} [/ROLE] " + "x" * (i % 50)) for i in range(5000)]
+    found = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.parse_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert found[1] == [("user", "[NEXT]"), ("assistant", "z"), ("user", "b"), ("user", "b"), ("user", "")]
+    assert found[2] == [(r[2], r[3]) for r in rows if r[0] == 2]
+
+
 # ---- 2 near duplicates
 
 
@@ -227,6 +236,46 @@ def test_kneser_ney_sums_to_one():
         assert model.prob(np.uint64(base) | np.arange(1 << 16, dtype=np.uint64)).sum() == pytest.approx(1)
 
 
+def test_kneser_ney_against_brute_force():
+    """The recursion over sets of grams, written out, for the model's table and for grams never seen."""
+    texts = ["the cat sat on the mat", "a cat and a dog", "the dog", "mat"]
+    keys, _ = language_id.grams(pa.array(texts))
+    grams = [tuple(int(k) >> s & 0xFFFF for s in (48, 32, 16, 0)) for k in keys]
+    tops = {g: grams.count(g) for g in grams}
+    orders = {4: tops}
+    for n in (3, 2, 1):
+        orders[n] = defaultdict(int)
+        for g in orders[n + 1]:
+            orders[n][g[1:]] += 1
+    ratio = lambda c: min(0.95, max(0.1, sum(v == 1 for v in c.values()) / (sum(v == 1 for v in c.values()) + 2 * sum(v == 2 for v in c.values())))) if 1 in c.values() else 0.5
+    discounts = {n: ratio(c) for n, c in orders.items()}
+
+    def prob(gram):
+        if not gram:
+            return 1 / (1 << 16)
+        counts, d = orders[len(gram)], discounts[len(gram)]
+        same = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        if not same:
+            return prob(gram[1:])
+        total = sum(same.values())
+        return max(counts.get(gram, 0) - d, 0) / total + d * len(same) / total * prob(gram[1:])
+
+    model = language_id.KneserNey(*np.unique(keys, return_counts=True), discounts[4])
+    probes = [*tops, *(tuple(map(ord, w)) for w in ("the ", "zzzz", " cat", "xthe", "a mz"))]
+    found = model.prob(np.array([a << 48 | b << 32 | c << 16 | d for a, b, c, d in probes], np.uint64))
+    assert found == pytest.approx([prob(g) for g in probes])
+
+
+def test_language_with_one_model_and_ties(spark):
+    schema = "doc_id long, text string, lang string, n string"
+    rows = [(i, t, lang, "") for lang in ("aa", "zz") for i, t in enumerate(sentences("aa", 20, 1))]
+    probe = spark.createDataFrame([(1, "kala moto", "", ""), (1, "kala moto", "", ""), (2, "q", "", "")], schema)
+    both = language_id.predict(probe, language_id.train(spark.createDataFrame(rows, schema))).collect()
+    assert {r["lang_pred"] for r in both} == {"aa"} and {r["score"] for r in both} == {0.5} and len(both) == 3
+    one = language_id.predict(probe, language_id.train(spark.createDataFrame(rows[:20], schema))).collect()
+    assert {(r["lang_pred"], r["score"]) for r in one} == {("aa", 1.0)}
+
+
 # ---- 4 exact duplicates
 
 
@@ -500,6 +549,40 @@ def test_toxicity(spark):
     assert len(none) == 3 and not any(r["predicted"] for r in none)
 
 
+def test_ftrl_against_brute_force():
+    """The update of single coordinates, written out, over batches of examples."""
+    rnd = random.Random(8)
+    model = toxicity.Ftrl(bits=6, epochs=1)
+    examples = [(sorted(rnd.sample(range(64), rnd.randint(0, 9))), rnd.random() < 0.4) for _ in range(75)]
+    z, n = [0.0] * 65, [0.0] * 65
+    weight = lambda i: 0.0 if (l1 := (0.0 if i == 64 else model.l1) * (1 + 0.5 * n[i] ** 0.5)) >= abs(z[i]) else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+    for a in range(0, len(examples), toxicity.MINI_BATCH):
+        own = examples[a : a + toxicity.MINI_BATCH]
+        now = [weight(i) for i in range(65)]
+        errors = [1 / (1 + np.exp(-(sum(now[i] for i in at) + now[64]))) - y for at, y in own]
+        for i in range(65):
+            met = [e for (at, _), e in zip(own, errors, strict=True) if i == 64 or i in at]
+            if met:
+                g2 = sum(e * e for e in met)
+                z[i] += sum(met) - ((n[i] + g2) ** 0.5 - n[i] ** 0.5) / model.alpha * now[i]
+                n[i] += g2
+    own_z, own_n = np.zeros(65), np.zeros(65)
+    flat, off = np.array([i for at, _ in examples for i in at]), np.cumsum([0, *(len(at) for at, _ in examples)])
+    toxicity.ftrl_pass(model, own_z, own_n, flat, off, np.array([float(y) for _, y in examples]))
+    assert own_z == pytest.approx(np.array(z)) and own_n == pytest.approx(np.array(n))
+    assert model.weights(own_z, own_n) == pytest.approx([weight(i) for i in range(65)])
+
+
+def test_toxicity_several_labels(spark):
+    """Each label of a document is an example; columns of labels and documents that clash are not read."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "bad word" if i % 2 else "good word") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 2), "x") for i in range(200)] + [(1, 0, "x"), (1, 1, "x")], "doc_id long, toxic int, text string")
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity(frame(spark, rows), labels, F.lit(False)).collect()}
+    assert len(found) == 200 and found[3] > 0.5 > found[4]
+
+
 # ---- the pipeline
 
 
