@@ -138,19 +138,38 @@ def running_offset(df: DataFrame, keys: Sequence[str], order: Sequence[str], del
     return F.coalesce(F.sum(delta).over(w), F.lit(0))
 
 
-def containments(df: DataFrame, key: str, text: str, terms: DataFrame, term_key: str, term: str, most_terms: int = 10_000) -> DataFrame:
+_SEPARATORS = r"[^\p{L}\p{N}_]+"
+
+
+def containments(df: DataFrame, key: str, text: str, terms: DataFrame, term_key: str, term: str, most_terms: int = 10_000, words: int = 4) -> DataFrame:
     """key, term_key of texts that contain a term (both in lower case).
 
-    Terms are a stated set of queries; they are gathered in blocks of about most_terms, each one broadcast row, so what
-    is broadcast at a time is bounded, and every text is searched for every block.
+    A term's words but its first and last are whole words of every text that contains it. So the first `words` of them
+    find candidates by an equi-join with the texts' runs of words, and only candidates are searched for the term. Terms
+    of two words or fewer have no such words; they are gathered in blocks of about most_terms, each one broadcast row
+    of bounded size, and every text is searched for every block.
     """
     rows = df.select(key, F.lower(text).alias("_text"))
     wanted = terms.select(term_key, F.lower(term).alias("_term")).where("_term <> ''")
-    blocks = max(1, -(-wanted.count() // most_terms))
+    split = F.split("_term", _SEPARATORS)
+    inner = F.slice(F.slice(split, 2, F.greatest(F.lit(0), F.size(split) - 2)), 1, words)
+    wanted = wanted.withColumn("_n", F.size(inner)).withColumn("_run", F.xxhash64(inner))
+    long = wanted.where("_n > 0")
+    sizes = sorted(r["_n"] for r in long.select("_n").distinct().collect())  # at most `words` numbers
     out = None
+    if sizes:
+        own = F.filter(F.split("_text", _SEPARATORS), lambda w: w != "")
+        places = lambda n: F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - n + 1)).otherwise(F.array().cast("array<int>"))
+        hashed = lambda n: F.transform(places(n), lambda i: F.xxhash64(F.slice("_words", i, n)))
+        runs = F.array_distinct(F.concat(*map(hashed, sizes)))
+        found = rows.select(key, own.alias("_words")).select(key, F.explode(runs).alias("_run")).join(long.select(term_key, "_run"), "_run").select(key, term_key).distinct()
+        out = found.join(rows, key).join(long.select(term_key, "_term"), term_key).where(F.contains("_text", F.col("_term"))).select(key, term_key)
+    short = wanted.where("_n = 0")
+    n_short = short.count()
+    blocks = -(-n_short // most_terms)
     for i in range(blocks):
-        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64(term_key, "_term"), F.lit(blocks)) == i)
-        packed = own.agg(F.collect_list(F.struct(term_key, "_term")).alias("_terms"))
-        found = rows.join(F.broadcast(packed), F.lit(True)).select(key, F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t["_term"]))).alias("t")).select(key, f"t.{term_key}")
-        out = found if out is None else out.unionByName(found)
-    return out
+        part = short if blocks == 1 else short.where(F.pmod(F.xxhash64(term_key, "_term"), F.lit(blocks)) == i)
+        packed = part.agg(F.collect_list(F.struct(term_key, "_term")).alias("_terms"))
+        hits = rows.join(F.broadcast(packed), F.lit(True)).select(key, F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t["_term"]))).alias("t")).select(key, f"t.{term_key}")
+        out = hits if out is None else out.unionByName(hits)
+    return rows.join(wanted, F.lit(False)).select(key, term_key) if out is None else out

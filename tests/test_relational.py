@@ -68,6 +68,17 @@ def test_containments_in_blocks(spark):
         assert {tuple(r) for r in rel.containments(docs, "d", "t", terms, "i", "w", most_terms=block).collect()} == want
 
 
+def test_containments_of_long_terms(spark):
+    said = ["The quick, brown fox jumps -- over the lazy dog", "xquick, brown foxes", "a b c d e f g h", "b c d", None, "brown fox jumps"]
+    wanted = ["quick, brown fox", "ick, brown fo", "b c d", "b c d e f g", "brown  fox jumps", "fox jumps -- over the la", ", brown fox", "a b c d e f g h", "h i j"]
+    docs = spark.createDataFrame(list(enumerate([*said, said[0]])), "d int, t string")
+    terms = spark.createDataFrame(list(enumerate(wanted)), "i int, w string")
+    want = sorted((d, i) for d, t in enumerate([*said, said[0]]) for i, w in enumerate(wanted) if t and w in t.lower())
+    assert sorted(tuple(r) for r in rel.containments(docs, "d", "t", terms, "i", "w").collect()) == want and len(want) > 10
+    plan = rel.containments(docs, "d", "t", terms.where("i = 0"), "i", "w")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_documents_reach_terms_overlap_and_diff(spark, tmp_path):
     long = " ".join(f"word{i % 7}x" for i in range(30_000))
     spark.createDataFrame([(1, "The parser parses parsed trees, and the parser walks trees"), (2, long), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
