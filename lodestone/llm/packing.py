@@ -4,7 +4,7 @@ Tokens become pieces of at most `capacity`; only longer documents are cut. Piece
 gaps of one room, so a round works on stored tables of lengths with their numbers of pieces (at most `capacity` rows) and
 of ranges of sequences with the same room. A round sorts lengths and rooms together. Lengths that follow each other and
 the gaps up to the next length make a run: those gaps are the successors of all of its lengths. Inside a run all lengths
-sweep to their gaps at once; where more pieces want a gap than it has slots for, rank decides: the longest piece first,
+sweep to their gaps at once, each run in a task; where more pieces want a gap than it has slots for, rank decides: the longest piece first,
 the tightest gap first. A length fills the gaps that it got, the gaps shrink, those not used go back, and the next round
 begins, until no piece is left. Pieces that no gap can hold get new sequences, as few as could hold them.
 
@@ -28,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.llm import textvec
-from lodestone.llm.common import arrow_schema, map_batches, materialize, salts, text_slices
+from lodestone.llm.common import arrow_schema, map_batches, materialize, salts, ship_package, text_slices
 
 #: Distinct words whose tokens a Python worker remembers; then it starts anew.
 CACHE_WORDS = 1_500_000
@@ -42,6 +41,9 @@ SLOT_SHARE = 100
 #: Rows of the plan, 48 bytes each, that are broadcast; a larger plan is shuffled.
 MOST_BROADCAST = 500_000
 
+#: A length (kind 0: length, pieces, first rank), a range of gaps (1: first sequence, number, room), or a move (2: length,
+#: first rank, pieces, first sequence, pieces in each, offset).
+_STATE = "kind int, a long, b long, c long, d long, e long, f long"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -159,84 +161,85 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     return map_batches(source, run, ddl)
 
 
-def _sweep(lengths: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One round's moves: length, rank, n pieces of a length from a rank on that go into `used` sequences from `start`
-    on, each of which has `room` and takes `each` (the last may take fewer); range_first, range_n: where they were."""
-    classes = lengths.select(F.col("length").alias("size"), F.lit(0).alias("kind")).unionByName(gaps.select(F.col("room").alias("size"), F.lit(1).alias("kind")).distinct())
-    order = Window.orderBy("size", "kind")  # at most 2 * capacity rows; a length comes before the gap of its size
+def matched_run(lengths: np.ndarray, gaps: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
+    """Rows of the state after one round of a run. lengths: (length, pieces, first rank); gaps: (first sequence,
+    number, room); each gap holds each length.
+
+    The longest pieces rank first and meet the tightest gaps. A gap goes to the length that its first slot falls on; a
+    length fills the gaps it got, the tightest first.
+    """
+    lengths, gaps = lengths[np.argsort(-lengths[:, 0])], gaps[np.lexsort((gaps[:, 0], gaps[:, 2]))]
+    slots = np.maximum(1, gaps[:, 2] // lengths[0, 0] * SLOT_SHARE // 100)
+    ends, at = np.cumsum(gaps[:, 1] * slots), 0
+    rank, out = 0, []
+    cursor = 0  # sequences of the gap range `at` that are dealt
+    for length, n, lo in lengths.tolist():
+        left, rank = n, rank + n
+        while at < len(gaps):
+            first, m, room = gaps[at].tolist()
+            # Gaps of this range whose first slot ranks before the end of this length's pieces.
+            high = min(m, int(-(-(rank - (ends[at] - m * slots[at])) // slots[at])))
+            each = room // length
+            used = min(high - cursor, -(-left // each)) if high > cursor else 0
+            if used:
+                placed = min(left, used * each)
+                full, rest = divmod(placed, each)
+                out.append((2, length, lo + n - left, placed, first + cursor, each, capacity - room))
+                out.append((1, first + cursor, full, room - each * length, None, None, None))
+                out.append((1, first + cursor + full, used - full, room - rest * length, None, None, None))
+                left -= placed
+            if high > cursor:
+                out.append((1, first + cursor + used, high - cursor - used, room, None, None, None))
+                cursor = high
+            if cursor < m:
+                break  # the next slot ranks after this length's pieces
+            at, cursor = at + 1, 0
+        out.append((0, length, left, lo + n - left, None, None, None))
+    if at < len(gaps):
+        out.append((1, int(gaps[at, 0]) + cursor, int(gaps[at, 1]) - cursor, int(gaps[at, 2]), None, None, None))
+        out += [(1, first, m, room, None, None, None) for first, m, room in gaps[at + 1 :].tolist()]
+    return [r for r in out if r[0] == 2 or r[2] > 0 and (r[0] == 0 or r[3] > 0)]
+
+
+def _round(state: DataFrame, capacity: int) -> DataFrame:
+    """The state after a round: what is left, and the round's moves."""
+    schema = arrow_schema(_STATE)
+    size = F.when(F.col("kind") == 0, F.col("a")).otherwise(F.col("c"))
+    order = Window.orderBy(size, "kind", "a")  # lengths and ranges of gaps; a length comes before the gap of its size
     opens = (F.col("kind") == 0) & (F.coalesce(F.lag("kind").over(order), F.lit(1)) == 1)
-    # A run: lengths without a gap between them, and the gaps up to the next length. Each of them holds each of those.
-    runs = classes.withColumn("opens", opens.cast("long")).withColumn("run", F.sum("opens").over(order)).where("run > 0")
-    runs = runs.withColumn("longest", F.max(F.when(F.col("kind") == 0, F.col("size"))).over(Window.partitionBy("run")))
-
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
-    want = lengths.join(runs.where("kind = 0").select(F.col("size").alias("length"), "run"), "length")
-    want = want.withColumn("at", total("n", Window.partitionBy("run").orderBy(F.desc("length"))))
-    room = gaps.join(runs.where("kind = 1").select(F.col("size").alias("room"), "run", "longest"), "room").withColumn("slots", F.greatest(F.lit(1), F.expr(f"room div longest * {SLOT_SHARE} div 100")))
-    room = room.withColumn("taken", F.col("m") * F.col("slots")).withColumn("at", total("taken", Window.partitionBy("run").orderBy("room", "first")))
-
-    # The longest pieces rank first and meet the tightest gaps: both sides' ranks are merged inside the run.
-    piece = F.struct("length", "n", "lo", F.col("at").alias("rank"))
-    gap = F.struct("first", "m", "room", "slots", F.col("at").alias("slot"))
-    merged = want.select("run", "at", piece.alias("piece"), F.lit(None).cast(T.StructType([T.StructField(c, T.LongType()) for c in ("first", "m", "room", "slots", "slot")])).alias("gap")).unionByName(
-        room.select("run", "at", F.lit(None).cast(T.StructType([T.StructField(c, T.LongType()) for c in ("length", "n", "lo", "rank")])).alias("piece"), gap.alias("gap"))
-    )
-    place = Window.partitionBy("run").orderBy("at", F.col("gap").isNull())
-    upto = place.rowsBetween(Window.unboundedPreceding, 0)
-    pairs = merged.select("run", "at", F.lead("at").over(place).alias("next"), F.last("piece", True).over(upto).alias("p"), F.last("gap", True).over(upto).alias("g"))
-    pairs = pairs.where("next is null or next > at").where("p is not null and g is not null").select("p.*", "g.*")
-    # A gap goes to the length that its first slot falls on; the length then fills its gaps, the tightest first.
-    low = F.expr("greatest(0, (rank - slot + slots - 1) div slots)")
-    high = F.expr("least(m, (rank + n - slot + slots - 1) div slots)")
-    claims = pairs.withColumn("low", low).withColumn("claimed", high - F.col("low")).where("claimed > 0").withColumn("each", F.expr("room div length"))
-    claims = claims.withColumn("holds", F.col("claimed") * F.col("each")).withColumn("filled", total("holds", Window.partitionBy("length").orderBy("room", "first")))
-    moves = claims.withColumn("placed", F.least(F.col("n") - F.col("filled"), F.col("holds"))).where("placed > 0")
-    return moves.select(
-        "length", (F.col("lo") + F.col("filled")).alias("rank"), F.col("placed").alias("n"), (F.col("first") + F.col("low")).alias("start"),
-        F.expr("(placed + each - 1) div each").alias("used"), "each", "room", F.col("first").alias("range_first"), F.col("m").alias("range_n"),
-    )
-
-
-def _after(lengths: DataFrame, gaps: DataFrame, moves: DataFrame) -> DataFrame:
-    """Lengths (kind 0: length, pieces left, their first rank) and gaps (kind 1: first sequence, number, room) after moves."""
-    gone = moves.groupBy("length").agg(F.sum("n").alias("gone"))
-    left = lengths.join(gone, "length", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
-    left = left.select(F.lit(0).alias("kind"), F.col("length").alias("a"), (F.col("n") - F.col("gone")).alias("b"), (F.col("lo") + F.col("gone")).alias("c"))
-    heads = gaps.join(moves.groupBy(F.col("range_first").alias("first")).agg(F.min("start").alias("start")), "first", "left")
-    heads = heads.select(F.lit(1).alias("kind"), F.col("first").alias("a"), (F.coalesce("start", F.col("first") + F.col("m")) - F.col("first")).alias("b"), F.col("room").alias("c"))
-    following = F.coalesce(F.lead("start").over(Window.partitionBy("range_first").orderBy("start")), F.col("range_first") + F.col("range_n"))
-    full = F.expr("n div each")
-    rests = moves.withColumn("following", following).select(
-        F.inline(
-            F.array(
-                F.struct((F.col("start") + F.col("used")).alias("a"), (F.col("following") - F.col("start") - F.col("used")).alias("b"), F.col("room").alias("c")),
-                F.struct(F.col("start").alias("a"), full.alias("b"), (F.col("room") - F.col("each") * F.col("length")).alias("c")),
-                F.struct((F.col("start") + full).alias("a"), (F.col("used") - full).alias("b"), (F.col("room") - (F.col("n") - full * F.col("each")) * F.col("length")).alias("c")),
-            )
-        )
-    )
-    return left.where("b > 0").unionByName(heads.unionByName(rests.select(F.lit(1).alias("kind"), "a", "b", "c")).where("b > 0 and c > 0"))
+    # A run: lengths without a gap between them, and the gaps up to the next length. Gaps before any length are full.
+    runs = state.withColumn("opens", opens.cast("long")).withColumn("run", F.sum("opens").over(order)).where("run > 0")
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        rows = np.stack([table[c].to_numpy() for c in "abc"], 1)
+        if kind.all() or not kind.any():
+            return table.select(schema.names).cast(schema)
+        found = matched_run(rows[kind == 0], rows[kind == 1], capacity)
+        return pa.table([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    ship_package(state.sparkSession)
+    return runs.select("run", *schema.names).groupBy("run").applyInArrow(run, _STATE)
 
 
 def best_fit_rounds(counts: DataFrame, capacity: int) -> DataFrame | None:
     """The plan: length, lo, n, first_seq, each, offset0 for n pieces of a length from rank lo on; None without pieces.
 
-    counts: length, n. Tables of lengths and of ranges of alike gaps are written after each round; the driver sees the
-    number of pieces left and what no gap can hold, for which it opens the fewest sequences that could.
+    counts: length, n. The table of lengths and of ranges of alike gaps is written after each round with the round's
+    moves; the driver sees the number of lengths left and what no gap can hold, for which it opens the fewest sequences
+    that could.
     """
     spark, opened, plan = counts.sparkSession, 0, None
-    state, row = _stored(counts.select(F.lit(0).alias("kind"), F.col("length").cast("long").alias("a"), F.col("n").cast("long").alias("b"), F.lit(0).cast("long").alias("c")), capacity)
+    none = [F.lit(None).cast("long").alias(c) for c in "def"]
+    state, row = _stored(counts.select(F.lit(0).alias("kind"), F.col("length").cast("long").alias("a"), F.col("n").cast("long").alias("b"), F.lit(0).cast("long").alias("c"), *none), capacity)
     while row["left"]:
-        lengths = state.where("kind = 0").select(F.col("a").alias("length"), F.col("b").alias("n"), F.col("c").alias("lo"))
-        gaps = state.where("kind = 1").select(F.col("a").alias("first"), F.col("b").alias("m"), F.col("c").alias("room"))
+        now = state.where("kind < 2")
         if fresh := max(row["alone"], -(-row["tokens"] // capacity)):
-            gaps = gaps.unionByName(spark.range(1).select(F.lit(opened).cast("long").alias("first"), F.lit(fresh).cast("long").alias("m"), F.lit(capacity).cast("long").alias("room")))
+            now = now.unionByName(spark.range(1).select(F.lit(1).alias("kind"), F.lit(opened).cast("long").alias("a"), F.lit(fresh).cast("long").alias("b"), F.lit(capacity).cast("long").alias("c"), *none))
             opened += fresh
-        moves = materialize(_sweep(lengths, gaps), "packing-moves")
-        part = moves.select("length", F.col("rank").alias("lo"), "n", F.col("start").alias("first_seq"), "each", (F.lit(capacity) - F.col("room")).alias("offset0"))
-        plan = part if plan is None else plan.unionByName(part)
-        state, row = _stored(_after(lengths, gaps, moves), capacity)
+        state, row = _stored(_round(now, capacity), capacity)
+        moves = state.where("kind = 2").select(F.col("a").alias("length"), F.col("b").alias("lo"), F.col("c").alias("n"), F.col("d").alias("first_seq"), F.col("e").alias("each"), F.col("f").alias("offset0"))
+        plan = moves if plan is None else plan.unionByName(moves)
     return plan
 
 
@@ -247,7 +250,7 @@ def _stored(state: DataFrame, capacity: int) -> tuple[DataFrame, dict[str, int]]
     stuck = F.when((F.col("kind") == 0) & (F.col("a") > F.col("widest")), F.col("b"))
     widest = F.coalesce(F.max(F.when(F.col("kind") == 1, F.col("c"))).over(Window.partitionBy()), F.lit(0))
     counts = (F.count_if(F.col("kind") == 0).alias("left"), F.coalesce(F.sum(stuck * F.col("a")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("a") > capacity // 2, stuck)), F.lit(0)).alias("alone"))
-    return materialize(state.withColumn("widest", widest).observe(seen, *counts), "packing-state"), seen.get
+    return materialize(state.withColumn("widest", widest).observe(seen, *counts).drop("widest"), "packing-state"), seen.get
 
 
 def best_fit_pack(pieces: DataFrame, capacity: int, keep: tuple[str, ...] = ("doc_id", "piece", "start", "length", "ids_crc32")) -> DataFrame:
