@@ -62,6 +62,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote. Call it only when all that was made of them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        own = f"/{spark.sparkContext.applicationId}/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if own in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, with underscores before it until no column of df has the name."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,8 @@ whose hashes are sorted; a batch meets the runs of its bucket in one task, which
 
 A batch's anchors are merged with the anchor runs. Where a batch meets an anchor that only one earlier document had,
 that document's windows are added late, from its text. The batch's windows are then merged with the window runs, its
-repeated words marked, and runs compacted into one as soon as there are more than MAX_RUNS. Hashes are united in each
+repeated words marked. A batch that finds more than MAX_RUNS runs first compacts them into one, and the tables that
+this one stands for are deleted as soon as it is written. Hashes are united in each
 task before they are shuffled, so a passage that a third of the documents have costs one entry a task.
 
 Ids have to ascend from batch to batch: a document loses what a smaller id, in an earlier batch or its own, has.
@@ -32,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import textvec
-from lodestone.llm.common import arrow_schema, filter_position, id_filter, in_filter, map_batches, materialize, text_slices
+from lodestone.llm.common import arrow_schema, discard, filter_position, id_filter, in_filter, map_batches, materialize, text_slices
 
 #: Words of an anchor.
 ANCHOR = 5
-MAX_RUNS = 4
+MAX_RUNS = 2
 #: Text bytes whose hashes share a bucket; entries that a task gathers before it hands them on.
 BUCKET_BYTES, FLUSH = 12 << 20, 1_000_000
 #: Bits (as a power of 2) of the bitmap that spares documents: 0.5 MB, whatever the input. That of anchors has at
@@ -175,17 +176,21 @@ class SubstringIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256 per row of docs."""
         batch = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        if len(self.window_runs) > MAX_RUNS:
+            old = [*self.anchor_runs, *self.window_runs]
+            self.anchor_runs, self.window_runs = ([self._compact(runs, anchors)] for runs, anchors in ((self.anchor_runs, True), (self.window_runs, False)))
+            discard(*old)
         met = self._merge(self._anchors(batch), self.anchor_runs, self._merge_anchors(), "anchor-run")
         fresh = self._windows(batch, self._bitmap(met, "keys"))
         if self.seen:
             fresh = fresh.unionByName(self._late_windows(met))
         merged = self._merge(fresh, self.window_runs, self._merge_windows(), "window-run")
-        result = materialize(self._kept(batch, materialize(self._marked(merged), "marked")), "substring-result")
+        marked = materialize(self._marked(merged), "marked")
+        result = materialize(self._kept(batch, marked), "substring-result")
+        discard(marked)
         self.anchor_runs.append(met.where(F.col("kind") == RUN))
         self.window_runs.append(merged.where(F.col("kind") == RUN))
         self.seen.append(batch)
-        if len(self.window_runs) > MAX_RUNS:
-            self.anchor_runs, self.window_runs = ([self._compact(runs, anchors)] for runs, anchors in ((self.anchor_runs, True), (self.window_runs, False)))
         return result
 
     def _merge(self, fresh: DataFrame | None, runs: list[DataFrame], merge, tag: str) -> DataFrame:
@@ -392,7 +397,7 @@ def _meet(keys: np.ndarray, checks: np.ndarray, old_keys: np.ndarray, old_checks
         at[left] += 1
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All of docs through a new index, in batches of ascending ids: doc_id, n_words, n_removed, kept_sha256."""
     key = F.col(id_col).cast("long")
     share = [i / batches for i in range(1, batches)] or [0.5]
