@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,6 +86,36 @@ def common_lines(one: str, other: str) -> int:
     return before[-1]
 
 
+def line_edits(one: str, other: str) -> list[dict]:
+    """The lines of a longest common subsequence and what is removed and added around them; where both would do, a line
+    is removed first. One bit is kept for each pair of lines."""
+    old, new = one.split("\n"), other.split("\n")
+    codes = {line: n for n, line in enumerate(dict.fromkeys(old + new))}
+    right = np.array([codes[line] for line in new])
+    longest, removal = np.zeros(len(new) + 1, np.int32), []
+    for line in reversed(old):
+        below = longest
+        longest = np.zeros_like(below)
+        reach = np.maximum(below[:-1], np.where(right == codes[line], below[1:] + 1, 0))
+        longest[:-1] = np.maximum.accumulate(reach[::-1])[::-1]
+        removal.append(np.packbits(below[:-1] >= longest[1:]))
+    out, j = [], 0
+    row = lambda kind, text, i, k: out.append({"type": kind, "text": text, "old_line": i, "new_line": k})
+    for i, line in enumerate(old, 1):
+        bits = np.unpackbits(removal[-i])
+        while j < len(new) and line != new[j] and not bits[j]:
+            j += 1
+            row("added", new[j - 1], None, j)
+        if j < len(new) and line == new[j]:
+            j += 1
+            row("same", line, i, j)
+        else:
+            row("removed", line, i, None)
+    for k in range(j, len(new)):
+        row("added", new[k], None, k + 1)
+    return out
+
+
 def _by_row(fn, kind: str, *columns: str | Column) -> Column:
     """fn over the rows of Arrow batches; null texts count as empty."""
 
@@ -110,6 +141,10 @@ def shared_lines(one: str | Column, other: str | Column) -> Column:
     return _by_row(common_lines, "int", one, other)
 
 
+def edit_script(one: str | Column, other: str | Column) -> Column:
+    return _by_row(line_edits, "array<struct<type string, text string, old_line int, new_line int>>", one, other)
+
+
 def change_counts(df: DataFrame, key: str, changes: str = "hunks") -> DataFrame:
     """key, additions, deletions over all hunks."""
     kinds = F.flatten(F.transform(changes, lambda h: F.transform(h["changes"], lambda c: c["type"])))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import retrieval
+from lodestone.operators import diff, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return register
@@ -109,3 +111,12 @@ def q_speculative_reviews(spark, sf_dir):
     matches = part.where("p_size > 3").select(F.col("p_brand").alias("file"), kind.alias("type"), F.col("p_type").alias("api"))
     changes = part.where("p_size = 7 and p_brand = 'Brand#11'").select(F.lit("removed").alias("type"), F.col("p_type").alias("api"))
     return retrieval.speculative_reviews(matches, changes, part.where("false").select(F.col("p_type").alias("api")))
+
+
+@query()
+def q_line_edits(spark, sf_dir):
+    """The edit script from each turn to the turn with the next number; they meet by key, without a window."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    edits = turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.explode(diff.edit_script("text", "next")).alias("e"))
+    return edits.select("conv_id", "turn", "e.type", "e.text", "e.old_line", "e.new_line")

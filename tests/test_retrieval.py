@@ -1,18 +1,19 @@
 """Operators around the use of an API: against SQL on the tables, and small cases."""
 
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import retrieval
+from lodestone.operators import diff, retrieval
 from lodestone.plans import retrieval_queries as rq
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(rq.QUERIES))
+@pytest.mark.parametrize("name", sorted(rq.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
@@ -55,3 +56,39 @@ def test_fallback_targets_and_related_reviews(spark):
     none = spark.createDataFrame([], "type string, api string")
     proof = spark.createDataFrame([("a.b",)], "api string")
     assert {tuple(r) for r in retrieval.speculative_reviews(matches, none, proof).collect()} == {("f", False), ("g", True), ("h", False)}
+
+
+def brute_edits(old, new):
+    """Kinds of the edit script by plain recursion."""
+    from functools import cache
+
+    @cache
+    def longest(i, j):
+        if i == len(old) or j == len(new):
+            return 0
+        return 1 + longest(i + 1, j + 1) if old[i] == new[j] else max(longest(i + 1, j), longest(i, j + 1))
+
+    def kinds(i, j):
+        if i == len(old) or j == len(new):
+            return "-" * (len(old) - i) + "+" * (len(new) - j)
+        if old[i] == new[j]:
+            return "=" + kinds(i + 1, j + 1)
+        return "-" + kinds(i + 1, j) if longest(i + 1, j) >= longest(i, j + 1) else "+" + kinds(i, j + 1)
+
+    return kinds(0, 0)
+
+
+def test_line_edits():
+    rng, sign = random.Random(5), {"same": "=", "removed": "-", "added": "+"}
+    for _ in range(400):
+        old, new = ([rng.choice("abc") for _ in range(rng.randint(1, 9))] for _ in range(2))
+        found = diff.line_edits("\n".join(old), "\n".join(new))
+        assert "".join(sign[r["type"]] for r in found) == brute_edits(old, new)
+        assert [r["text"] for r in found if r["old_line"]] == old and [r["text"] for r in found if r["new_line"]] == new
+
+
+def test_line_edits_of_turns(spark):
+    rows = rq.QUERIES["q_line_edits"](spark, SF)
+    turns = {(r["conv_id"], r["turn"]): r["text"] or "" for r in rq.table(spark, SF, "conversations").collect()}
+    want = sum(len(diff.line_edits(t, turns[c, n + 1])) for (c, n), t in turns.items() if (c, n + 1) in turns)
+    assert rows.count() == want > 0
