@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, sharding, substring_dedup, toxicity
+from lodestone.llm import chat, decontamination, exact_dedup, language_id, lexical, line_dedup, near_dedup, packing, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +74,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod(4) == 2, threshold=0.3)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_language_id, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op8_line_dedup, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_language_id, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op8_line_dedup, op9_substring_dedup, op10_toxicity, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -162,4 +166,14 @@ def oracle_sql() -> dict[str, str]:
                    sha256(CASE WHEN ps IS NULL THEN coalesce(array_to_string(w, ' '), '')
                           ELSE array_to_string([x[1] FOR x IN list_zip(w, range(1, len(w) + 1)) IF NOT list_contains(ps, x[2])], ' ') END) AS kept_sha256
             FROM d LEFT JOIN g USING (doc_id)""",
+        "op13_lexical_search": r"""
+            WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+            b AS (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+            s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+            q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(w) AS t FROM b),
+            p AS MATERIALIZED (SELECT doc_id, t, n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+            f AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, docs),
+            i AS (SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)) AS impact FROM p, s),
+            r AS (SELECT item_id, doc_id, sum(weight * impact)::BIGINT AS score FROM q JOIN f USING (t) JOIN i USING (t) GROUP BY ALL HAVING sum(weight * impact) > 0)
+            SELECT * FROM (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM r) WHERE rank <= 50""",
     }
