@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontamination, exact_dedup, language_id, lexical, line_dedup, near_dedup, packing, sharding, substring_dedup, toxicity
+from lodestone.llm import chat, decontamination, exact_dedup, language_id, lexical, line_dedup, mixing, near_dedup, packing, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,12 +74,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod(4) == 2, threshold=0.3)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_language_id, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op8_line_dedup, op9_substring_dedup, op10_toxicity, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_language_id, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op8_line_dedup, op9_substring_dedup, op10_toxicity, op11_mixing, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -166,6 +170,33 @@ def oracle_sql() -> dict[str, str]:
                    sha256(CASE WHEN ps IS NULL THEN coalesce(array_to_string(w, ' '), '')
                           ELSE array_to_string([x[1] FOR x IN list_zip(w, range(1, len(w) + 1)) IF NOT list_contains(ps, x[2])], ' ') END) AS kept_sha256
             FROM d LEFT JOIN g USING (doc_id)""",
+    "op11_mixing": r"""
+            WITH d AS (
+                SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS z, md5(coalesce(text, '')) AS digest,
+                       coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size FROM documents),
+            g AS (SELECT z, s, sum(size)::BIGINT AS own, row_number() OVER (ORDER BY z, s) AS rank FROM d GROUP BY z, s),
+            w AS (SELECT *, 1 + (rank - 1) % 3 AS weight, 3 * own AS cap, sum(own) OVER () AS total FROM g),
+            o AS (
+                SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+                       sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+            c AS (SELECT *, (total - spent)::DOUBLE * weight > cap::DOUBLE * rest AS capped FROM o),
+            t AS MATERIALIZED (
+                SELECT z, s, own, CASE WHEN capped THEN cap::DOUBLE ELSE
+                       (weight * (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()))::DOUBLE / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS target FROM c),
+            p AS MATERIALIZED (
+                SELECT *, coalesce(sum(size) OVER b, 0)::BIGINT AS start, coalesce(sum(size + 1) OVER b, 0)::BIGINT // 4096 AS block
+                FROM d WINDOW b AS (PARTITION BY z, s ORDER BY doc_id NULLS FIRST, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            k AS MATERIALIZED (SELECT z, s, block, sum(size)::BIGINT AS words, min(start) AS begins FROM p GROUP BY ALL),
+            e AS (
+                SELECT z, s, block, words, own, wanted, unnest(range(0, (wanted - 1) // own + 1)) AS epoch
+                FROM k JOIN (SELECT *, floor(target + 0.5)::BIGINT AS wanted FROM t) USING (z, s) WHERE words > 0 AND wanted > 0),
+            q AS (
+                SELECT *, wanted - epoch * own AS rest,
+                       coalesce(sum(words) OVER (PARTITION BY z, s, epoch ORDER BY md5(concat_ws(':', 0, epoch, s, block)), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+            h AS MATERIALIZED (SELECT z, s, block, list(least(words, rest - before)::BIGINT) AS given FROM q WHERE before < rest GROUP BY z, s, block)
+            SELECT doc_id, size, own AS source_size, target,
+                   coalesce(list_sum([least(size, greatest(0, x - (start - begins))) FOR x IN given]), 0)::BIGINT AS taken
+            FROM p JOIN t USING (z, s) JOIN k USING (z, s, block) LEFT JOIN h USING (z, s, block)""",
         "op13_lexical_search": r"""
             WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
             b AS (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
