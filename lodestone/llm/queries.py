@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontamination, exact_dedup, language_id, lexical, line_dedup, mixing, near_dedup, packing, sharding, substring_dedup, toxicity
+from lodestone.llm import chat, decontamination, exact_dedup, language_id, lexical, line_dedup, mixing, near_dedup, packing, prefix_trie, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,12 +78,16 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), group=5, heads=9)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_language_id, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op8_line_dedup, op9_substring_dedup, op10_toxicity, op11_mixing, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_chat_format, op2_minhash_dedup, op3_language_id, op4_exact_dedup, op5_sharding, op6_decontamination, op7_packing, op8_line_dedup, op9_substring_dedup, op10_toxicity, op11_mixing, op12_prefix_trie, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -197,6 +201,33 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, size, own AS source_size, target,
                    coalesce(list_sum([least(size, greatest(0, x - (start - begins))) FOR x IN given]), 0)::BIGINT AS taken
             FROM p JOIN t USING (z, s) JOIN k USING (z, s, block) LEFT JOIN h USING (z, s, block)""",
+        "op12_prefix_trie": r"""
+            WITH t AS (
+                SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes,
+                       substr(sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 1, 32) AS id
+                FROM conversations WHERE conv_id IS NOT NULL),
+            c AS MATERIALIZED (
+                SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids, list(bytes ORDER BY turn NULLS FIRST, id) AS bs,
+                       (xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * length(conv_id::VARCHAR))), lambda a, k:
+                           xor((CASE WHEN k % 8 = 0 THEN xor(a, ascii(substr(conv_id::VARCHAR, k // 8 + 1, 1))::BIGINT) ELSE a END) >> 1,
+                               3988292384 * ((CASE WHEN k % 8 = 0 THEN xor(a, ascii(substr(conv_id::VARCHAR, k // 8 + 1, 1))::BIGINT) ELSE a END) & 1)))) % 9)::BIGINT AS h
+                FROM t GROUP BY conv_id),
+            r AS MATERIALIZED (
+                SELECT c.conv_id AS conv, list_concat(coalesce(b.ids, [])[1:c.h], c.ids[c.h + 1:]) AS ids, list_concat(coalesce(b.bs, [])[1:c.h], c.bs[c.h + 1:]) AS bs
+                FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5),
+            m AS MATERIALIZED (
+                SELECT conv, d AS depth, array_to_string(ids[1:d], '') AS key, array_to_string(ids[1:d - 1], '') AS above, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS bytes, d = len(ids) AS ends
+                FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM r)),
+            n AS MATERIALIZED (
+                SELECT depth, key, any_value(above) AS above, min(conv) AS conv, count(*) AS n, (count(*) - 1) * any_value(bytes) AS saved,
+                       sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (ends), '')) AS said FROM m GROUP BY depth, key),
+            k AS MATERIALIZED (SELECT depth - 1 AS depth, above AS key, count(*) AS children FROM n WHERE depth > 0 GROUP BY ALL),
+            v AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN k USING (depth, key)),
+            s AS (
+                SELECT m.depth, m.key, count(*) FILTER (v.children = 0) AS leaves, sum(v.saved) AS saved
+                FROM v JOIN m ON m.conv = v.conv AND m.depth <= v.depth GROUP BY ALL)
+            SELECT v.conv AS conv_id, v.depth, p.conv AS parent_conv_id, v.n AS n_convs, v.children AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, v.said AS ends_sha256
+            FROM v JOIN s USING (depth, key) LEFT JOIN v p ON p.depth = v.depth - 1 AND p.key = v.above""",
         "op13_lexical_search": r"""
             WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
             b AS (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
