@@ -104,6 +104,11 @@ def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], salt: Column
     return salted.join(pairs, [*keys, name], how).drop(name)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with the package shipped."""
     ship_package(df.sparkSession)

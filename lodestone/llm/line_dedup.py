@@ -15,6 +15,8 @@ counts once for each.
 Rows, leaves, lines and templates go by two 64-bit hashes each: two of a table's n values are confused with a chance of
 n * n / 2**129.
 
+A text is split once for all that is read of it, so time is linear in its lines.
+
 Defined cases: null text has no lines, empty text one empty line; lines without a token are never dropped; rows that
 share an id but not the text are documents of their own, rows that share both are one; a null id is an id like any
 other; an empty table gives no rows. Columns other than id and text are not read.
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, spread_join
+from lodestone.llm.common import bound, materialize, spread_join
 
 LEADING, CONSTANT, FIELD = 3, 0.6, "<*>"
 #: A token with a digit. It is tried at the beginnings of tokens alone and never goes back.
@@ -56,7 +58,9 @@ def recurring_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text
     row, leaf, line, template = (["row1", "row2"], ["leaf1", "leaf2"], ["line1", "line2"], ["template1", "template2"])
     salt = F.xxhash64(*row)
     text, own_id = F.col(text_col).cast("string"), F.col(id_col).cast("long")
-    rows = docs.select(*_row_hashes(own_id, text), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # The hashes of a whole text are made before its lines are parted, not for each of them.
+    hashed = docs.select(*_row_hashes(own_id, text), text.alias("text"))
+    rows = hashed.select(*row, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     spoken = rows.select(*row, "pos", spaced(F.col("line")).alias("said")).where("said <> ''")
     n_tokens = F.length("said") - F.length(F.replace("said", F.lit(" "), F.lit(""))) + 1
     leafed = materialize(spoken.select(*row, "pos", *_hashes("leaf", n_tokens, generalised(F.substring_index("said", " ", LEADING)))), "leafed-lines")
@@ -65,8 +69,9 @@ def recurring_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text
     leaves = of_docs(leafed, leaf).where(F.col("docs") >= min_docs).select(*leaf)
     # Only the lines of such leaves are read again, from their documents.
     wanted = spread_join(leafed, leaves, leaf, salt, "left_semi").groupBy(*row).agg(F.collect_set("pos").alias("wanted"))
-    lines = F.split("text", "\n")
-    again = docs.select(*_row_hashes(own_id, text), text.alias("text")).join(wanted, row).select(*row, F.inline(F.transform("wanted", lambda p: F.struct(p.alias("pos"), generalised(spaced(F.get(lines, p))).alias("said")))))
+    # The text is split once for all its wanted lines.
+    said = bound(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda p: F.struct(p.alias("pos"), generalised(spaced(F.get(lines, p))).alias("said"))))
+    again = hashed.join(wanted, row).select(*row, F.inline(said))
     lead = F.substring_index("said", " ", LEADING)
     candidates = materialize(again.select(*row, "pos", *_hashes("leaf", n_tokens, lead), *_hashes("line", F.col("said")), "said"), "candidate-lines")
 
@@ -94,7 +99,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, id_col: str = "doc_
     gone = recurring_lines(docs, min_docs, id_col, text_col).groupBy("row1", "row2").agg(F.collect_set("pos").alias("gone"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("*", *_row_hashes(F.col("doc_id"), F.col("text")))
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("gone", i))
+    # Both in time linear in the lines: the places that stay by hashing, the lines from an array split once.
+    kept = bound(lines, lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "gone"), lambda p: F.get(own, p)))
     return rows.join(gone, ["row1", "row2"], "left").select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),

@@ -27,12 +27,10 @@ text columns are read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, spread_join
+from lodestone.llm.common import bound, materialize, spread_join
 from lodestone.operators.prefix import prefix_sums
 
 #: Draws that one key of the join of drawn blocks with shards covers.
@@ -46,11 +44,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """source, no_source, source_size and target for rows of source, no_source, source_size."""
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy("no_source", "source")))

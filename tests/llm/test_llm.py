@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -482,6 +483,17 @@ def test_line_dedup(spark):
     assert line_dedup.drop_recurring_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_is_linear_in_lines(spark):
+    """A text of 100,000 lines, half of which go."""
+    lines = [x for i in range(50_000) for x in ("the same line in all of them", f"own{i} word{i * 7} here{i * 3}")]
+    rows = [(0, "\n".join(lines)), *((i, "the same line in all of them") for i in range(1, 6))]
+    began = time.monotonic()
+    found = by_id(line_dedup.drop_recurring_lines(frame(spark, rows), min_docs=5))
+    assert time.monotonic() - began < 10
+    assert found[0]["text"] == "\n".join(lines[1::2]) and found[0]["n_dropped"] == 50_000
+    assert found[1]["text"] == "" and found[1]["n_lines"] == 1
+
+
 def test_line_dedup_odd_rows(spark):
     """Repeated rows are one document; rows with null ids or shared ids are documents of their texts."""
     said = "All rights of this text reserved"
