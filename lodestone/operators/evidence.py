@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.versions import version_in_window, version_tuple
 from lodestone.operators import relational as rel
-from lodestone.operators.semantics import method_scores, semantic_score
+from lodestone.operators.positions import NAMES, phrase_places, positional_index
+from lodestone.operators.semantics import profile_points, semantic_score
+from lodestone.sources.storage import stored
 
 CHUNK_CHARS, MAX_CHUNKS, CHANGELOG_CHARS, LEAST_SCORE = 1800, 14, 30_000, 10
 #: Chunks of one address by its kind of document, and the score that the kind brings.
@@ -23,6 +25,9 @@ CHANGE_TERMS = (
 )
 #: Least points of methods or meanings that let a chunk, or a registry's page, pass; those of a sure chunk.
 METHOD_PASS, MEANING_PASS, METHOD_SURE, REGISTRY_MEANING = 35, 18, 80, 36
+#: Words that bear out a removal; matched terms that say nothing of a meaning.
+REMOVAL_WORDS = ("removed", "remove", "no longer", "deprecated", "deprecation", "expired")
+GENERIC_MATCHES = ("project", "package", "breaking-change-section")
 
 
 def _by_kind(values: dict[str, int], kind: Column, default: int) -> Column:
@@ -63,29 +68,36 @@ def score_chunks(chunked: DataFrame, terms: DataFrame, versions: Sequence[str] =
     Every term that a chunk (with title and address) contains adds 10 and a fifth of its length up to 8; change words,
     versions, methods (profiles: owner, method), meanings and the kind of document add theirs. A chunk passes that speaks
     of change and has a strong term, a method or a meaning in its own text; a registry's page needs more of the latter.
-    terms and profiles: those of one package, gathered as one array each.
+    Terms, methods and change words are found by joins with one positional index of the chunks; terms hold a word.
     """
-    wanted = terms.agg(F.collect_list(F.struct("term", "strong")).alias("_terms"))
-    rows = chunked.withColumn("_key", F.struct("ref_index", "chunk_index")).join(F.broadcast(wanted), F.lit(True)).withColumn("document_kind", tx.document_kind(F.col("source"), F.col("title"), F.col("url")))
-    rows = rows.withColumn("_said", F.concat_ws(" ", "title", "url", "content"))
+    keyed = stored(chunked.withColumn("_key", F.monotonically_increasing_id()).withColumn("document_kind", tx.document_kind(F.col("source"), F.col("title"), F.col("url"))), "keyed-chunks")
+    rows = keyed.withColumn("_said", F.concat_ws(" ", "title", "url", "content"))
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), said.alias("text")) for kind, said in (("whole", F.lower("_said")), ("said", tx.evidence_text(F.col("_said"))), ("own", tx.evidence_text(F.col("content"))))))
+    index = positional_index(rows.select("_key", F.inline(kinds)).select(F.struct(F.col("_key").alias("id"), "kind").alias("key"), "text"), "key", "text")
+    found = phrase_places(index.where("key.kind = 'whole'"), terms, "term").select(F.col("phrase").alias("term"), F.col("key.id").alias("_key")).distinct().join(terms.distinct(), "term")
+    weight = 10 + F.least(F.lit(8), F.floor(F.length("term") / 5).cast("int"))
+    hits = found.groupBy("_key").agg(F.sum(weight).alias("_points"), F.array_sort(F.collect_set("term")).alias("matched_terms"), F.array_sort(F.collect_set(F.when(F.col("strong"), F.col("term")))).alias("strong_terms"))
+    rows = rows.join(hits, "_key", "left")
     said, phrases = F.lower("_said"), F.array(*map(F.lit, meanings)) if meanings else F.array().cast("array<string>")
     count = lambda words: sum((F.contains(said, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
-    points = F.aggregate("_hits", F.lit(0), lambda acc, t: acc + 10 + F.least(F.lit(8), F.floor(F.length(t["term"]) / 5).cast("int")))
-    rows = rows.withColumn("_hits", F.filter("_terms", lambda t: F.contains(said, t["term"]))).withColumn("_strong", F.filter("_hits", lambda t: t["strong"]))
     rows = rows.withColumn("semantic_score", semantic_score(F.col("content"), phrases)).withColumn("_whole_meaning", semantic_score(F.col("_said"), phrases))
     if profiles is None:
         rows = rows.withColumn("method_score", F.lit(0)).withColumn("_whole_method", F.lit(0))
     else:
-        rows = rows.join(method_scores(rows, profiles, "_key", "content"), "_key").join(method_scores(rows, profiles, "_key", "_said").withColumnRenamed("method_score", "_whole_method"), "_key")
-    score = points + 3 * count(CHANGE_TERMS) + 2 * count(versions) + F.col("_whole_method") + F.col("_whole_meaning") + _by_kind(KIND_SCORES, F.col("document_kind"), 0)
-    method, meaning, strong = F.col("method_score"), F.col("semantic_score"), F.size("_strong") > 0
+        points = profile_points(index.where("key.kind <> 'whole'"), profiles)
+        of = lambda kind: F.coalesce(F.sum(F.when(F.col("key.kind") == kind, F.col("points"))), F.lit(0))
+        rows = rows.join(points.groupBy(F.col("key.id").alias("_key")).agg(of("own").alias("_own"), of("said").alias("_whole")), "_key", "left")
+        rows = rows.withColumn("method_score", F.coalesce("_own", F.lit(0))).withColumn("_whole_method", F.coalesce("_whole", F.lit(0)))
+    score = F.coalesce("_points", F.lit(0)) + 3 * count(CHANGE_TERMS) + 2 * count(versions) + F.col("_whole_method") + F.col("_whole_meaning") + _by_kind(KIND_SCORES, F.col("document_kind"), 0)
+    nothing = F.array().cast("array<string>")
+    rows = rows.withColumn("matched_terms", F.coalesce("matched_terms", nothing)).withColumn("strong_terms", F.coalesce("strong_terms", nothing))
+    method, meaning, strong = F.col("method_score"), F.col("semantic_score"), F.size("strong_terms") > 0
     listed = (F.col("document_kind") != "registry") | (method >= METHOD_SURE) | (meaning >= REGISTRY_MEANING)
     anchored = tx.has_migration_language(F.col("content")) & (strong | (method >= METHOD_PASS) | (meaning >= MEANING_PASS))
-    matched = (F.size("_hits") > 0) | (F.col("_whole_method") > 0) | (F.col("_whole_meaning") > 0)
+    matched = (F.size("matched_terms") > 0) | (F.col("_whole_method") > 0) | (F.col("_whole_meaning") > 0)
     rows = rows.withColumn("score", score.cast("int")).where(listed & anchored & matched & (F.col("score") >= LEAST_SCORE))
-    names = lambda c: F.array_sort(F.transform(c, lambda t: t["term"]))
     level = F.when(method >= METHOD_SURE, "high").when(strong | (meaning >= MEANING_PASS) | (method >= METHOD_PASS), "medium").otherwise("low")
-    return rows.select(*chunked.columns, "document_kind", "score", names("_hits").alias("matched_terms"), names("_strong").alias("strong_terms"), "method_score", "semantic_score", level.alias("evidence_confidence"))
+    return rows.select(*chunked.columns, "document_kind", "score", "matched_terms", "strong_terms", "method_score", "semantic_score", level.alias("evidence_confidence"))
 
 
 def rank_chunks(scored: DataFrame, limit: int = MAX_CHUNKS) -> DataFrame:
@@ -137,6 +149,41 @@ def supported_changes(changes: DataFrame, evidence: DataFrame, allowed: DataFram
     return real.join(proof, "_id", "left_semi").select(*changes.columns)
 
 
+def supporting_references(changes: DataFrame, references: DataFrame) -> DataFrame:
+    """change_id, api, change_type, replacement, confidence, source_index, source, url, quote: the first reference that
+    bears out each change.
+
+    changes: change_id, type, old_api, new_api. references: ref_index, source, title, url, content, semantic_score,
+    matched_terms, evidence_confidence. A reference that speaks of migration supports a change directly if it has one of
+    the old API's names (for a removal, with a word of removal), else if it has one of the new API's and is known to be
+    close in meaning. One that has an old name without support supports nothing. Names meet the references in a
+    positional index, and only each change's first reference is read again for its quote.
+    """
+    raw = F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "url", "content")))
+    said = tx.evidence_text(raw)
+    close = (F.coalesce("semantic_score", F.lit(0)) > 0) | F.exists(F.coalesce("matched_terms", F.array().cast("array<string>")), lambda t: (F.length(F.trim(t)) >= 4) & ~F.lower(F.trim(t)).isin(*GENERIC_MATCHES))
+    removal = said.rlike("|".join(REMOVAL_WORDS))
+    marked = stored(references.select("*", raw.alias("_raw"), said.alias("_text"), close.alias("_close"), removal.alias("_gone")).where(tx.has_migration_language(F.col("_text"))), "marked-references")
+    index = positional_index(marked.select("ref_index", "_text"), "ref_index", "_text")
+    old, new = (F.transform(f(F.col(c)), tx.evidence_text) for f, c in ((tx.evidence_variants, "old_api"), (tx.replacement_variants, "new_api")))
+    names = changes.select("change_id", "type", F.lit(True).alias("direct"), F.explode(old).alias("phrase")).unionByName(changes.select("change_id", "type", F.lit(False).alias("direct"), F.explode(new).alias("phrase")))
+    names = stored(names.distinct(), "change-names")
+    places = phrase_places(index, names, how=NAMES).select("phrase", F.col("key").alias("ref_index")).distinct()
+    flags = marked.select("ref_index", "_close", "_gone")
+    pairs = names.join(places, "phrase").join(flags, "ref_index").groupBy("change_id", "ref_index").agg(
+        F.max("direct").alias("direct"), F.first("type").alias("type"), F.first("_close").alias("_close"), F.first("_gone").alias("_gone")
+    )
+    supports = F.when(F.col("direct"), (F.col("type") != "removed") | F.col("_gone")).otherwise(F.col("_close"))
+    first = pairs.where(supports).groupBy("change_id").agg(F.min(F.struct("ref_index", "direct")).alias("_first")).select("change_id", "_first.*")
+    rows = first.join(changes, "change_id").join(marked.drop("type"), "ref_index")
+    quote = tx.quote_of(F.col("_raw"), F.when(F.col("direct"), tx.evidence_variants(F.col("old_api"))).otherwise(tx.replacement_variants(F.col("new_api"))))
+    return rows.select(
+        "change_id", F.col("old_api").alias("api"), F.coalesce(F.nullif("type", F.lit("")), F.lit("migration_review")).alias("change_type"), F.coalesce("new_api", F.lit("")).alias("replacement"),
+        F.coalesce(F.nullif("evidence_confidence", F.lit("")), F.lit("medium")).alias("confidence"), F.col("ref_index").alias("source_index"),
+        tx.document_kind(F.col("source"), F.col("title"), F.col("url")).alias("source"), "url", quote.alias("quote"),
+    )
+
+
 def fallback_chunks(chunked: DataFrame, limit: int = 4) -> DataFrame:
     """Breaking sections of release notes and migration guides, for when no chunk names an API."""
     rows = chunked.withColumn("document_kind", tx.document_kind(F.col("source"), F.col("title"), F.col("url"))).where("document_kind in ('release_notes', 'migration_guide')")

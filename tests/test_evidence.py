@@ -92,3 +92,36 @@ def test_supported_changes(spark):
     keep = lambda allowed: {r["old_api"] for r in evidence.supported_changes(changes, proofs, allowed).collect()}
     assert keep(nothing) == {"acme.Client.fetch", "acme.Client.connect", "beta.thing.run"}
     assert keep(spark.createDataFrame([("acme.Client",)], "api string")) == {"acme.Client.fetch", "acme.Client.connect"}
+
+
+def test_supporting_references(spark):
+    changes = spark.createDataFrame(
+        [(1, "removed", "acme.Client.fetch", "acme.Client.get"), (2, "renamed", "acme.Box", "acme.kit.Container"), (3, "removed", "acme.lost", ""), (4, "", "acme.Pool.acquire_all", "acme.Pool.take_every")],
+        "change_id int, type string, old_api string, new_api string",
+    )
+    docs = [
+        (1, "web", "Blog", "http://b", "Client.fetch is nice, no news."),
+        (2, "web", "Notes", "http://n", "Use care: `Client.fetch` needs a session, xClient.fetch too."),
+        (3, "web", "Release notes", "http://r", "In 2.0 `Client.fetch` was removed; acme.Box moved, use Container()."),
+        (4, "web", "Guide", "http://g", "You must call take_every now."),
+        (5, "web", "Guide", "http://g5", "acquire_all is deprecated."),
+    ]
+    refs = spark.createDataFrame([(*d, float(d[0] == 4), ["package"], "high" if d[0] == 3 else None) for d in docs], "ref_index int, source string, title string, url string, content string, semantic_score double, matched_terms array<string>, evidence_confidence string")
+    found = {r["change_id"]: r for r in evidence.supporting_references(changes, refs).collect()}
+    # 1: the second speaks of use, but not of a removal. 4: meaning comes first, by the new name.
+    assert {k: r["source_index"] for k, r in found.items()} == {1: 3, 2: 3, 4: 4}
+    assert found[1]["confidence"] == "high" and found[4]["confidence"] == "medium" and found[4]["change_type"] == "migration_review"
+    assert "Client.fetch` was removed" in found[1]["quote"] and found[1]["source"] == "release_notes"
+
+
+def test_keywords_that_migrate(spark):
+    from lodestone.operators import obligations
+
+    texts = [
+        "The `verify` argument was removed.", "verify=True is deprecated", "verify is fine. The option was removed", "reverify=1 was removed", "verify " + "x" * 500 + " argument removed", None, "",
+        "param " + "y " * 20 + "verify" + " z" * 100 + " no longer there", "removed " + "w" * 260 + " verify = 1", "removed " + "w" * 230 + " verify = 1", "Verify =1. " + "k" * 300 + " renamed", "timeout keyword is required",
+    ]
+    evidence_rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    words = spark.createDataFrame([("verify",), ("timeout",), ("Verify",), ("",)], "keyword string")
+    found = {(r["doc_id"], r["keyword"]) for r in obligations.keyword_migrations(evidence_rows, words).collect()}
+    assert found == {(0, "verify"), (1, "verify"), (7, "verify"), (9, "verify"), (10, "verify"), (11, "timeout")}
