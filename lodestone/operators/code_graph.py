@@ -9,6 +9,8 @@ from lodestone.operators import graph
 from lodestone.operators.intervals import innermost
 
 LAST_PART = r"([^.]*)$"
+#: Fixed value: why a node is hit that an editor's locations refer to.
+LOCATION = "lsp reference/call hierarchy"
 
 
 def definitions(nodes: DataFrame) -> DataFrame:
@@ -35,14 +37,31 @@ def exported(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("node"), F.explode(names).alias("sym"))
 
 
-def changed_nodes(nodes: DataFrame, changes: DataFrame, bin_lines: int = 500) -> DataFrame:
-    """node of each changed (file, line): the innermost; module-level code only where nothing else holds the line."""
+def nodes_at(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """file, line, node: the innermost node of each (file, line); module-level code only where nothing else holds the line."""
     spans = nodes.select("file", F.col("start_line").cast("long").alias("s"), F.col("end_line").cast("long").alias("e"), "id", (F.col("context_type") == "module_level").alias("loose"))
-    points = changes.select("file", "line").distinct()
-    inner = innermost(points, F.col("line"), spans.where("not loose"), ["file"], "s", "e", ["file", "line"], ["id"], bin_lines)
-    outer = innermost(points, F.col("line"), spans.where("loose"), ["file"], "s", "e", ["file", "line"], ["id"], bin_lines).join(inner, ["file", "line"], "left_anti")
+    points = places.select("file", "line").distinct()
+    inner = innermost(points, F.col("line"), spans.where("not loose"), ["file"], "s", "e", ["file", "line"], ["id"])
+    outer = innermost(points, F.col("line"), spans.where("loose"), ["file"], "s", "e", ["file", "line"], ["id"]).join(inner, ["file", "line"], "left_anti")
     found = inner.unionByName(outer)
-    return found.join(spans, ["file", "s", "e"]).groupBy("file", "line").agg(F.min("id").alias("node")).select("node").distinct()
+    return found.join(spans, ["file", "s", "e"]).groupBy("file", "line").agg(F.min("id").alias("node"))
+
+
+def changed_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """node of each changed (file, line)."""
+    return nodes_at(nodes, changes).select("node").distinct()
+
+
+def location_impacts(nodes: DataFrame, locations: DataFrame, changed: DataFrame) -> DataFrame:
+    """node, depth, impact_reason, affected_attributes of editor locations (origin, file, line) that refer to a changed
+    node (changed: node): the code around a location is hit at depth 1, by value if it uses what the origin returns."""
+    here = locations.join(changed.select(F.col("node").alias("origin")), "origin", "left_semi").join(nodes_at(nodes, locations), ["file", "line"]).select("origin", "node").distinct()
+    outside = here.join(changed.select("node"), "node", "left_anti")
+    names = exported(nodes).select(F.col("node").alias("origin"), F.regexp_extract("sym", LAST_PART, 1).alias("sym")).distinct()
+    used = outside.join(names, "origin").join(_used_attributes(nodes), ["node", "sym"]).groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("attrs")))).alias("affected_attributes"))
+    rows = outside.select("node").distinct().join(used, "node", "left")
+    by_value = F.size(F.coalesce("affected_attributes", F.array().cast("array<string>"))) > 0
+    return rows.select("node", F.lit(1).alias("depth"), F.when(by_value, graph.USES_VALUE).otherwise(LOCATION).alias("impact_reason"), F.coalesce("affected_attributes", F.array().cast("array<string>")).alias("affected_attributes"))
 
 
 def _used_attributes(nodes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from lodestone.functions import text as tx
 from lodestone.functions.versions import version_in_window, version_tuple
 from lodestone.operators import relational as rel
 from lodestone.operators.positions import NAMES, phrase_places, positional_index
-from lodestone.operators.semantics import profile_points, semantic_score
+from lodestone.operators.semantics import profile_phrases, profile_points, semantic_score
 from lodestone.sources.storage import stored
 
 CHUNK_CHARS, MAX_CHUNKS, CHANGELOG_CHARS, LEAST_SCORE = 1800, 14, 30_000, 10
@@ -73,7 +73,9 @@ def score_chunks(chunked: DataFrame, terms: DataFrame, versions: Sequence[str] =
     keyed = stored(chunked.withColumn("_key", F.monotonically_increasing_id()).withColumn("document_kind", tx.document_kind(F.col("source"), F.col("title"), F.col("url"))), "keyed-chunks")
     rows = keyed.withColumn("_said", F.concat_ws(" ", "title", "url", "content"))
     kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), said.alias("text")) for kind, said in (("whole", F.lower("_said")), ("said", tx.evidence_text(F.col("_said"))), ("own", tx.evidence_text(F.col("content"))))))
-    index = positional_index(rows.select("_key", F.inline(kinds)).select(F.struct(F.col("_key").alias("id"), "kind").alias("key"), "text"), "key", "text")
+    wanted = terms.select(F.col("term").alias("phrase"))
+    wanted = wanted if profiles is None else wanted.unionByName(profile_phrases(profiles))
+    index = positional_index(rows.select("_key", F.inline(kinds)).select(F.struct(F.col("_key").alias("id"), "kind").alias("key"), "text"), "key", "text", wanted)
     found = phrase_places(index.where("key.kind = 'whole'"), terms, "term").select(F.col("phrase").alias("term"), F.col("key.id").alias("_key")).distinct().join(terms.distinct(), "term")
     weight = 10 + F.least(F.lit(8), F.floor(F.length("term") / 5).cast("int"))
     hits = found.groupBy("_key").agg(F.sum(weight).alias("_points"), F.array_sort(F.collect_set("term")).alias("matched_terms"), F.array_sort(F.collect_set(F.when(F.col("strong"), F.col("term")))).alias("strong_terms"))
@@ -164,10 +166,10 @@ def supporting_references(changes: DataFrame, references: DataFrame) -> DataFram
     close = (F.coalesce("semantic_score", F.lit(0)) > 0) | F.exists(F.coalesce("matched_terms", F.array().cast("array<string>")), lambda t: (F.length(F.trim(t)) >= 4) & ~F.lower(F.trim(t)).isin(*GENERIC_MATCHES))
     removal = said.rlike("|".join(REMOVAL_WORDS))
     marked = stored(references.select("*", raw.alias("_raw"), said.alias("_text"), close.alias("_close"), removal.alias("_gone")).where(tx.has_migration_language(F.col("_text"))), "marked-references")
-    index = positional_index(marked.select("ref_index", "_text"), "ref_index", "_text")
     old, new = (F.transform(f(F.col(c)), tx.evidence_text) for f, c in ((tx.evidence_variants, "old_api"), (tx.replacement_variants, "new_api")))
     names = changes.select("change_id", "type", F.lit(True).alias("direct"), F.explode(old).alias("phrase")).unionByName(changes.select("change_id", "type", F.lit(False).alias("direct"), F.explode(new).alias("phrase")))
     names = stored(names.distinct(), "change-names")
+    index = positional_index(marked.select("ref_index", "_text"), "ref_index", "_text", names)
     places = phrase_places(index, names, how=NAMES).select("phrase", F.col("key").alias("ref_index")).distinct()
     flags = marked.select("ref_index", "_close", "_gone")
     pairs = names.join(places, "phrase").join(flags, "ref_index").groupBy("change_id", "ref_index").agg(

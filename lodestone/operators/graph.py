@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.storage import stored
+
 #: Why a node is hit when a value that it uses changes.
 USES_VALUE = "uses return value"
 
@@ -14,13 +16,15 @@ USES_VALUE = "uses return value"
 def reverse_reach(edges: DataFrame, seeds: DataFrame, max_depth: int, source: str = "source", target: str = "target") -> DataFrame:
     """node, depth: what leads to a seed over at most max_depth edges, at its least depth; seeds are not revisited.
 
-    seeds: one column, node. Each level joins a frontier without repeats, and only new nodes go on.
+    seeds: one column, node. Each level joins a frontier without repeats, and only new nodes go on. Edges and levels are
+    stored, so a level is computed once, from tables alone.
     """
-    callers = edges.select(F.col(target).alias("node"), F.col(source).alias("caller")).distinct()
-    seen = seeds.select("node", F.lit(0).alias("depth")).distinct()
-    frontier = seen
+    callers = stored(edges.select(F.col(target).alias("node"), F.col(source).alias("caller")).distinct(), "callers")
+    seen = frontier = stored(seeds.select("node", F.lit(0).alias("depth")).distinct(), "seeds")
     for depth in range(1, max_depth + 1):
         frontier = frontier.join(callers, "node").select(F.col("caller").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"))
+        # The last level is read once, by whoever reads the result.
+        frontier = stored(frontier, "level") if depth < max_depth else frontier
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 

@@ -32,8 +32,9 @@ def keyword_migrations(evidence: DataFrame, keywords: DataFrame, key: str = "doc
     frequent keyword is many keys.
     """
     spark = evidence.sparkSession
-    index = positional_index(evidence.select(key, evidence_text(F.col(text)).alias("said")), key, "said")
     names = keywords.select(F.lower(keyword).alias("word")).where("word <> ''").distinct()
+    wanted = names.select(F.col("word").alias("phrase")).unionByName(spark.createDataFrame([(w,) for w in (*NOUNS, *KEYWORD_MARKS)], "phrase string"))
+    index = positional_index(evidence.select(key, evidence_text(F.col(text)).alias("said")), key, "said", wanted)
     probes = names.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     seen = index.join(probes, ["word", "part"]).select("key", F.col("word").alias("keyword"), "at", (F.col("at") + F.length("word")).alias("end"), "dots", "after")
     seen = stored(seen, "keyword-places")

@@ -24,12 +24,18 @@ from lodestone.sources.storage import stored
 
 #: Parts that the documents of one word are dealt into.
 PARTS = 16
+#: Size of the bitmap that leaves out words early: half a megabyte.
+SIEVE_BITS = 22
 #: How a phrase stands in a text: anywhere, parts of words too; as whole words; as whole words that no dot ties to others.
 ANYWHERE, WORDS, NAMES = "anywhere", "words", "names"
 
 
-def word_places(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, at, word, before, after, last, dots for each word; dots: full stops before it. Null has no words."""
+def word_places(texts: DataFrame, key: str, text: str, sieve: bytes | None = None) -> DataFrame:
+    """key, pos, at, word, before, after, last, dots for each word; dots: full stops before it. Null has no words.
+
+    sieve: a bitmap of 2 ** SIEVE_BITS; words whose checksum it does not have are left out.
+    """
+    mask = (1 << SIEVE_BITS) - 1
     own = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("said"))
     fields = [T.StructField("key", own.schema["key"].dataType), T.StructField("pos", T.IntegerType()), T.StructField("at", T.IntegerType())]
     fields += [T.StructField(c, T.StringType()) for c in ("word", "before", "after")]
@@ -37,6 +43,7 @@ def word_places(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
+        from zlib import crc32
 
         word = re.compile(r"\w+")
         for batch in batches:
@@ -44,57 +51,95 @@ def word_places(texts: DataFrame, key: str, text: str) -> DataFrame:
                 spans = [m.span() for m in word.finditer(said or "")]
                 if not spans:
                     continue
+                kept = range(len(spans))
+                if sieve is not None:
+                    spots = (crc32(said[a:b].encode()) & mask for a, b in spans)
+                    kept = [j for j, spot in enumerate(spots) if sieve[spot >> 3] >> (spot & 7) & 1]
+                    if not kept:
+                        continue
                 edges = [(0, 0), *spans, (len(said), len(said))]
                 gaps = [said[a[1] : b[0]] for a, b in zip(edges, edges[1:], strict=False)]
                 dots, total = [], 0
                 for gap in gaps[:-1]:
                     total += gap.count(".")
                     dots.append(total)
-                n = len(spans)
+                n, end = len(kept), len(spans) - 1
                 columns = [
-                    batch.column("key").slice(i, 1).take(pa.array([0] * n)), pa.array(range(n), pa.int32()), pa.array([a for a, _ in spans], pa.int32()), pa.array([said[a:b] for a, b in spans], pa.string()),
-                    pa.array(gaps[:-1], pa.string()), pa.array(gaps[1:], pa.string()), pa.array([False] * (n - 1) + [True], pa.bool_()), pa.array(dots, pa.int32()),
+                    batch.column("key").slice(i, 1).take(pa.array([0] * n)), pa.array(kept, pa.int32()), pa.array([spans[j][0] for j in kept], pa.int32()), pa.array([said[slice(*spans[j])] for j in kept], pa.string()),
+                    pa.array([gaps[j] for j in kept], pa.string()), pa.array([gaps[j + 1] for j in kept], pa.string()), pa.array([j == end for j in kept], pa.bool_()), pa.array([dots[j] for j in kept], pa.int32()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "pos", "at", "word", "before", "after", "last", "dots"])
 
     return own.mapInArrow(run, T.StructType(fields))
 
 
-def positional_index(texts: DataFrame, key: str, text: str, buckets: int | None = None) -> DataFrame:
-    """word_places and part, as a table bucketed by (word, part): a join with it does not shuffle it again."""
+def word_sieve(words: DataFrame) -> bytes:
+    """The bitmap of the checksums of a column word. It has a fixed size, whatever the number of words."""
+    # Bitmaps count positions from 1, in buckets of 32768.
+    spot = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(1 << SIEVE_BITS)) + 1
+    maps = words.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+    out = bytearray((1 << SIEVE_BITS) // 8)
+    for row in maps.collect():
+        at = (row["bucket"] - 1) * 4096
+        out[at : at + len(row["bits"])] = row["bits"]
+    return bytes(out)
+
+
+def positional_index(texts: DataFrame, key: str, text: str, phrases: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """word_places and part, as a table bucketed by (word, part): a join with it does not shuffle it again.
+
+    phrases (a column phrase): all that will be looked for in the index; then words that are no part of any of them are
+    left out where texts are read, but for a few that a sieve lets through.
+    """
     spark = texts.sparkSession
     buckets = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = word_places(texts, key, text).withColumn("part", F.pmod(F.hash("key"), F.lit(PARTS)))
+    sieve = None
+    if phrases is not None:
+        parts = phrase_words(phrases, ANYWHERE)
+        sieve = word_sieve(probes_in(word_places(texts, key, text).select("word").distinct(), parts).select("word"))
+    rows = word_places(texts, key, text, sieve).withColumn("part", F.pmod(F.hash("key"), F.lit(PARTS)))
     name = f"positions_{uuid.uuid4().hex}"
     rows.repartition(buckets, "word", "part").write.bucketBy(buckets, "word", "part").sortBy("word", "part").saveAsTable(name)
     return spark.table(name)
 
 
-def phrase_places(index: DataFrame, phrases: DataFrame, phrase: str = "phrase", how: str = ANYWHERE) -> DataFrame:
-    """phrase, key, at, end, dots, end_dots: every place where a phrase stands in a text, overlapping ones too.
-
-    A phrase without a word character is found nowhere. Texts and phrases should be normalised alike.
-    """
-    distinct = phrases.select(F.col(phrase).alias("phrase")).where(F.col("phrase") != "").distinct()
+def phrase_words(phrases: DataFrame, how: str) -> DataFrame:
+    """phrase, i, own, own_before, own_after, own_last, n, from_start, to_end: the words of phrases, stored; whether the word
+    of a text that matches has to begin, or end, with it."""
+    distinct = phrases.select("phrase").where("phrase <> ''").distinct()
     parts = word_places(distinct.withColumn("said", F.col("phrase")), "phrase", "said").select(
         F.col("key").alias("phrase"), F.col("pos").alias("i"), F.col("word").alias("own"), F.col("before").alias("own_before"), F.col("after").alias("own_after"), F.col("last").alias("own_last")
     )
     parts = stored(parts, "phrase-words")
     sizes = parts.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    opens, closes = F.col("i") == 0, F.col("own_last")
     whole = F.lit(how != ANYWHERE)
-    parts = parts.join(sizes, "phrase").withColumn("from_start", whole | ~opens | (F.col("own_before") != "")).withColumn("to_end", whole | ~closes | (F.col("own_after") != ""))
-    equal = parts.where("from_start AND to_end").withColumn("word", F.col("own")).withColumn("offset", F.lit(0))
+    return parts.join(sizes, "phrase").withColumn("from_start", whole | (F.col("i") > 0) | (F.col("own_before") != "")).withColumn("to_end", whole | ~F.col("own_last") | (F.col("own_after") != ""))
+
+
+def probes_in(vocabulary: DataFrame, parts: DataFrame) -> DataFrame:
+    """phrase_words with word and offset: the words of a vocabulary (column word) that a phrase's word matches, and where in them."""
+    whole = vocabulary.join(parts.where("from_start AND to_end"), F.col("word") == F.col("own")).withColumn("offset", F.lit(0))
     loose = parts.where("NOT (from_start AND to_end)")
-    if how == ANYWHERE:
-        # The lengths that substrings are made of; they are numbers below a phrase's length.
-        lengths = sorted(r[0] for r in loose.select(F.length("own")).distinct().collect())
-        if lengths:
-            cut = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(0), F.length("word") - n), lambda o: F.struct(F.substring(F.col("word"), o + 1, F.lit(n)).alias("own"), o.alias("offset")))).otherwise(F.array().cast("array<struct<own:string,offset:int>>"))
-            pieces = index.select("word").distinct().select("word", F.inline(F.concat(*map(cut, lengths))))
-            fits = (~F.col("from_start") | (F.col("offset") == 0)) & (~F.col("to_end") | (F.col("offset") + F.length("own") == F.length("word")))
-            equal = equal.unionByName(pieces.join(loose, "own").where(fits).select(*equal.columns))
-    probes = equal.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    # The lengths that substrings are made of; they are numbers below a phrase's length.
+    lengths = sorted(r[0] for r in loose.select(F.length("own")).distinct().collect())
+    if not lengths:
+        return whole
+    cut = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(0), F.length("word") - n), lambda o: F.struct(F.substring(F.col("word"), o + 1, F.lit(n)).alias("own"), o.alias("offset")))).otherwise(F.array().cast("array<struct<own:string,offset:int>>"))
+    pieces = vocabulary.select("word", F.inline(F.concat(*map(cut, lengths))))
+    fits = (~F.col("from_start") | (F.col("offset") == 0)) & (~F.col("to_end") | (F.col("offset") + F.length("own") == F.length("word")))
+    return whole.unionByName(pieces.join(loose, "own").where(fits).select(*whole.columns))
+
+
+def phrase_places(index: DataFrame, phrases: DataFrame, phrase: str = "phrase", how: str = ANYWHERE) -> DataFrame:
+    """phrase, key, at, end, dots, end_dots: every place where a phrase stands in a text, overlapping ones too.
+
+    A phrase without a word character is found nowhere. Texts and phrases should be normalised alike.
+    """
+    parts = phrase_words(phrases.select(F.col(phrase).alias("phrase")), how)
+    opens, closes = F.col("i") == 0, F.col("own_last")
+    # Where words have to be whole, they need no vocabulary.
+    matches = parts.withColumn("word", F.col("own")).withColumn("offset", F.lit(0)) if how != ANYWHERE else probes_in(index.select("word").distinct(), parts)
+    probes = matches.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     found = index.join(probes, ["word", "part"])
     length = F.length
     lead = F.when(opens, F.endswith("before", F.col("own_before"))).otherwise(F.col("before") == F.col("own_before"))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.prefix import has_hot_key, prefix_sums
+from lodestone.sources.storage import stored
+
 
 def lookup_left(df: DataFrame, other: DataFrame, keys: Sequence[str], value: str, default: Column) -> DataFrame:
     """df with one column of other by a composite key; default where nothing matches."""
@@ -71,14 +74,27 @@ def rank_cap_topk(df: DataFrame, group: str, order: Sequence[Column], cap: Colum
 
 
 def char_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], length: str, budget: int, least_tail: int) -> DataFrame:
-    """Rows until a running length reaches the budget, as column used; the last is cut if more than least_tail is left."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(length).over(w), F.lit(0))
-    rows = df.withColumn("_before", before).where(F.col("_before") < budget)
+    """Rows until a running length reaches the budget, as column used; the last is cut if more than least_tail is left.
+
+    Where a key has more rows than a window should hold, the running length goes by ranges of rows instead.
+    """
+    if has_hot_key(df, keys):
+        measured = prefix_sums(stored(df, "budget-rows"), keys, order, {"_before": F.col(length)})
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        measured = df.withColumn("_before", F.coalesce(F.sum(length).over(w), F.lit(0)))
     left = F.lit(budget) - F.col("_before")
+    rows = measured.where(F.col("_before") < budget)
     return rows.withColumn("used", F.least(F.col(length), left)).where((F.col(length) <= left) | (left > least_tail)).drop("_before")
 
 
+def nested_budget(df: DataFrame, keys: Sequence[str], groups: Sequence[str], order: Sequence[str], length: str, group_budget: int, budget: int, least_tail: int) -> DataFrame:
+    """Rows that are in the budget of their group and, of what is left of the groups in order, in that of their key."""
+    inner = char_budget(df, [*keys, *groups], order, length, group_budget, least_tail)
+    cut = inner.withColumn("_own", F.col("used")).drop("used")
+    return char_budget(cut, keys, [*groups, *order], "_own", budget, least_tail).drop("_own")
+
+
 def changed_rows(before: DataFrame, after: DataFrame, key: str, value: str, empty: Column) -> DataFrame:
     """key, before, after where they differ; a missing side is empty."""
     both = before.select(key, F.col(value).alias("_b")).join(after.select(key, F.col(value).alias("_a")), key, "full_outer")

@@ -11,6 +11,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import versions as vs
 from lodestone.operators import audit, diff, graph, intervals, previews
 from lodestone.operators import relational as rel
+from lodestone.sources.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -204,10 +205,13 @@ def q_ordered_dedupe(spark, sf_dir):
 
 
 @query(r"""
-    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-        '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<noscript\b.*?</noscript>', ' ', 'g'), '(?is)<svg\b.*?</svg>', ' ', 'g'),
-        '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|h[1-6]|tr|section|article)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS page_text
-    FROM pages""")
+    WITH t AS (
+        SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+               '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?is)<noscript.*?</noscript>', ' ', 'g'), '(?is)<svg.*?</svg>', ' ', 'g'),
+               '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|h[1-6]|tr|section|article)>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages),
+    u AS (
+        SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '"'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&amp;', '&') AS x FROM t)
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'), '\n[\s\x{A0}]+', chr(10), 'g'), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS page_text FROM u""")
 def q_html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("page_text"))
 
@@ -362,7 +366,7 @@ def q_merge_intervals(spark, sf_dir):
 def q_interval_stab(spark, sf_dir):
     islands = intervals.merge_intervals(event_spans(spark, sf_dir, 30), ["user_id"], "s", "e").unionByName(intervals.merge_intervals(event_spans(spark, sf_dir, 180), ["user_id"], "s", "e"))
     points = event_spans(spark, sf_dir, 0).select("event_id", "user_id", "at")
-    return intervals.innermost(points, F.col("at"), islands.select("user_id", "s", "e"), ["user_id"], "s", "e", ["event_id"], ["s"], bin_width=21_600_000_000)
+    return intervals.innermost(points, F.col("at"), islands.select("user_id", "s", "e"), ["user_id"], "s", "e", ["event_id"], ["s"])
 
 
 @query("""
@@ -546,6 +550,5 @@ def q_stream_progress(spark, sf_dir):
 
     path = f"{sf_dir}/events*.parquet"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)
-    checkpoint = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    counts = progress.run_available(progress.progress_counts(stream, "ts", "event_type", "1 day", "1 hour"), "complete", checkpoint)
+    counts = progress.run_available(progress.progress_counts(stream, "ts", "event_type", "1 day", "1 hour"), "complete", shared_folder(spark))
     return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")

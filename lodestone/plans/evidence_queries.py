@@ -28,9 +28,9 @@ def query(sql: str | None = None):
     return register
 
 
-def _words(text):
-    """Lower-case words of four letters or more, as SQL has them too."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]{4,})"), F.lit(1))
+def _words(text, least=4):
+    """Lower-case words of some letters, as SQL has them too."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"([a-z]{{{least},}})"), F.lit(1))
 
 
 #: Documents whose ids are divisible by 3 speak of a removal, those by 5 of a use.
@@ -76,7 +76,7 @@ def q_supporting_references(spark, sf_dir):
 
 
 @query(rf"""
-    WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{{4,}}') AS w FROM benchmark WHERE item_id % 4 = 0),
+    WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{{6,}}') AS w FROM benchmark),
     p AS MATERIALIZED (SELECT DISTINCT w[1] AS owner, w[2] AS method FROM i WHERE len(w) >= 2),
     s AS MATERIALIZED (SELECT doc_id, {_SAID_SQL.format("coalesce(text, '')")} AS said FROM documents),
     o AS MATERIALIZED (
@@ -98,8 +98,8 @@ def q_supporting_references(spark, sf_dir):
         FROM o WHERE exact)
     SELECT doc_id, coalesce(sum(points), 0)::BIGINT AS method_score FROM documents LEFT JOIN t USING (doc_id) GROUP BY doc_id""")
 def q_method_scores(spark, sf_dir):
-    """The first two words of every fourth item as owner and method, in all documents."""
-    rows = table(spark, sf_dir, "benchmark").where("item_id % 4 = 0").select(_words(F.col("text")).alias("w")).where(F.size("w") >= 2)
+    """The first two long words of every item as owner and method, in all documents."""
+    rows = table(spark, sf_dir, "benchmark").select(_words(F.col("text"), 6).alias("w")).where(F.size("w") >= 2)
     profiles = rows.select(F.get("w", F.lit(0)).alias("owner"), F.get("w", F.lit(1)).alias("method"))
     return semantics.method_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), profiles, "doc_id", "text")
 

@@ -70,10 +70,49 @@ def live(created: Column, now: Column, ttl: int = SESSION_TTL) -> Column:
     return now - created <= ttl
 
 
-def run_available(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """All that a stream has now, as a table."""
+def closed_windows(events: DataFrame, at: str, kind: str, width: str, late: str, key: str | None = None) -> DataFrame:
+    """window_start, kind, n of windows that the watermark has closed, for the append mode; rows of a key that come again
+    while it is remembered count once."""
+    timed = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
+    if key:
+        timed = timed.dropDuplicatesWithinWatermark([key])
+    return timed.groupBy(F.window("_at", width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")
+
+
+def run_available(stream: DataFrame, mode: str, checkpoint: str, name: str | None = None) -> DataFrame:
+    """All that a stream has now, as a table beside the checkpoint; a run of the same name goes on where the last ended.
+
+    Each batch is written to a partition of its own that a repeated batch overwrites, so every row is there once.
+    """
     spark: SparkSession = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+    folder = f"{checkpoint}/{name or f'stream_{uuid.uuid4().hex}'}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number if mode != 'complete' else 0}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").drop("batch")
+
+
+def split_late(stream: DataFrame, at: str, late: str, checkpoint: str, name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows) of all that a stream has now: late is what lies before the watermark when it comes.
+
+    The watermark of a batch is the newest time of the batches before it, less `late`. That newest time is one row for
+    each batch, stored beside the rows; a repeated batch finds the same one and overwrites what it wrote.
+    """
+    spark: SparkSession = stream.sparkSession
+    folder = f"{checkpoint}/{name or f'late_{uuid.uuid4().hex}'}"
+    marks = "newest timestamp, batch int"
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark.createDataFrame([], "newest timestamp").write.mode("append").parquet(f"{folder}/marks/batch=-1")
+        seen = spark.read.schema(marks).parquet(f"{folder}/marks").where(F.col("batch") < number).agg(F.max("newest").alias("_newest"))
+        stamped = F.col(at).cast("timestamp")
+        told = batch.join(F.broadcast(seen), F.lit(True)).withColumn("late", F.coalesce(stamped < F.col("_newest") - F.expr(f"interval {late}"), F.lit(False))).drop("_newest")
+        told.write.mode("overwrite").partitionBy("late").parquet(f"{folder}/rows/batch={number}")
+        batch.agg(F.max(stamped).alias("newest")).write.mode("overwrite").parquet(f"{folder}/marks/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return tuple(rows.where(F.col("late") == x).drop("late", "batch") for x in (False, True))

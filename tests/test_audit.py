@@ -131,3 +131,18 @@ def test_text_functions(spark):
     assert one(spark, tx.document_kind(F.lit("x"), F.lit("Migration guide"), F.lit(""))) == "migration_guide"
     assert one(spark, tx.evidence_text(F.lit("Use :py:func:`A.b`  `now`"))) == "use a.b now"
     assert one(spark, tree.under_root(F.lit("/a/b"), F.lit("../b/./c.py"))) == "c.py" and one(spark, tree.under_root(F.lit("/a/b"), F.lit("../x"))) is None
+
+
+def test_pages_to_text(spark):
+    import html
+
+    pages = {
+        "<h1>A &amp; B</h1><ul><li>one<li>two</ul>": "A & B\none two", "x&amp;lt;y": "x&lt;y", "<SCRIPT>a='</p>'</SCRIPT>b<br/>c<BR >d": "b\nc\nd", "&#x41;&#66;&#128;&#0;&#xD800;&#1114112;": "AB\u20ac\ufffd\ufffd\ufffd",
+        "&copy 2 &eacute;&NotEqualTilde; &nosuch; & x": "\xa9 2 \xe9\u2242\u0338 &nosuch; & x", "a < b and c > d": "a d", "5 < 6": "5 < 6", "<p>\n\n \t<b>t</b>\xa0</p>": "t", "<a title='&lt;p'>z</a>": "z", "": "", "&#128512;": "\U0001f600",
+    }
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate([*pages, None])], "i int, html string").select("i", tx.html_text(F.col("html")).alias("t"))
+    found = {r["i"]: r["t"] for r in rows.collect()}
+    assert {p: found[i] for i, p in enumerate(pages)} == pages and found[len(pages)] is None
+    names = [f"&{n}" for n in html.entities.html5 if n.endswith(";")]
+    decoded = spark.createDataFrame([(n,) for n in names], "n string").select("n", tx.character_reference(F.col("n")).alias("t")).collect()
+    assert all(r["t"] == html.unescape(r["n"]) for r in decoded)

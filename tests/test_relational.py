@@ -1,10 +1,11 @@
 """Generic operators on edge cases; every registered query against its SQL on the smallest tables."""
 
 import os
+import random
 
 import pytest
 
-from lodestone.operators import graph, intervals
+from lodestone.operators import graph, intervals, prefix
 from lodestone.operators import relational as rel
 from lodestone.plans import driver_queries
 from pyspark.sql import functions as F
@@ -115,10 +116,46 @@ def test_intervals(spark):
     df = spark.createDataFrame([("k", 0, 5), ("k", 5, 6), ("k", 7, 9), ("k", 1, 2), ("j", 0, 1)], "k string, s long, e long")
     assert {tuple(r) for r in intervals.merge_intervals(df, ["k"], "s", "e").collect()} == {("k", 0, 6, 3), ("k", 7, 9, 1), ("j", 0, 1, 1)}
     points = spark.createDataFrame([("k", p, p) for p in (1, 4, 8, 10)], "k string, p long, id long")
-    found = {r["id"]: (r["s"], r["e"]) for r in intervals.innermost(points, F.col("p"), df, ["k"], "s", "e", ["id"], ["s"], 3).collect()}
+    found = {r["id"]: (r["s"], r["e"]) for r in intervals.innermost(points, F.col("p"), df, ["k"], "s", "e", ["id"], ["s"]).collect()}
     assert found == {1: (1, 2), 4: (0, 5), 8: (7, 9)}
 
 
+def test_hot_keys_go_by_ranges(spark, monkeypatch):
+    """Running values over ranges of rows equal those of a window."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["hot", "hot", "hot", "x", None]), rnd.randint(0, 3000), i) for i in range(1500)]
+    df = spark.createDataFrame([(k, s, s + rnd.choice([0, 1, 2, 400] if s < 200 else [0, 1, 2]), i) for k, s, i in rows], "k string, s long, e long, i int").cache()
+    whole = [{tuple(r) for r in f().collect()} for f in (lambda: intervals.merge_intervals(df, ["k"], "s", "e"), lambda: rel.char_budget(df, ["k"], ["s", "i"], "e", 90_000, 10), lambda: rel.nested_budget(df, ["k"], ["s"], ["i"], "e", 900, 20_000, 5))]
+    monkeypatch.setattr(prefix, "MOST_IN_WINDOW", 10)
+    ranged = [{tuple(r) for r in f().collect()} for f in (lambda: intervals.merge_intervals(df, ["k"], "s", "e"), lambda: rel.char_budget(df, ["k"], ["s", "i"], "e", 90_000, 10), lambda: rel.nested_budget(df, ["k"], ["s"], ["i"], "e", 900, 20_000, 5))]
+    assert whole == ranged and all(whole)
+
+
+def test_prefix_sums(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.choice([None, "a", "a", "a", "b", "c"]), i if rnd.random() > 0.1 else None, rnd.choice([None, 1, 2, 3]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, o int, v int, part int")
+    found = {r["part"]: (r["s"], r["n"]) for r in prefix.prefix_sums(df, ["k"], ["o", "part"], {"s": F.col("v"), "n": F.lit(1)}, 7).collect()}
+    high = {r["part"]: r["m"] for r in prefix.prefix_maxima(df, ["k"], ["o", "part"], {"m": F.col("v")}, 7).collect()}
+    so_far = {}
+    for k, _, v, i in sorted(rows, key=lambda x: (x[0] or "", x[1] is not None, x[1] or 0, x[3])):
+        total, n, most = so_far.get(k, (0, 0, None))
+        assert found[i] == (total, n) and high[i] == most
+        so_far[k] = (total + (v or 0), n + 1, max((x for x in (most, v) if x is not None), default=None))
+    assert [r["s"] for r in prefix.prefix_sums(df, [], ["part"], {"s": F.lit(1)}, 5).orderBy("part").collect()] == list(range(400))
+    assert prefix.prefix_sums(df.limit(0), ["k"], ["part"], {"s": F.col("v")}).count() == 0
+
+
+def test_stabbed_spans(spark):
+    rnd = random.Random(4)
+    spans = [(rnd.choice("ab"), s, s + rnd.choice([-1, 0, 1, 7, 64, 5000, 10**12]), i) for i, s in enumerate(rnd.choices(range(-500, 9000), k=120))]
+    points = [(rnd.choice("ab"), rnd.randint(-600, 12_000), i) for i in range(150)]
+    a, b = spark.createDataFrame(points, "k string, p long, id int"), spark.createDataFrame(spans, "k string, s long, e long, n int")
+    found = intervals.stabbed(a, F.col("p"), b, ["k"], "s", "e").select("id", "n").collect()
+    want = {(i, n) for k, p, i in points for j, s, e, n in spans if k == j and s <= p <= e}
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
 def test_reach_with_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 3), (5, 4), (3, 3)], "source int, target int")
     seeds = spark.createDataFrame([(1,)], "node int")
