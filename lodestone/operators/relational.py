@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.operators.prefix import has_hot_key, prefix_sums
 from lodestone.sources.storage import stored
@@ -148,6 +152,72 @@ def top_terms(weighted: DataFrame, key: str, k: int = 20) -> DataFrame:
     return weighted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Words that one vectorised step of row_top_terms works on, or one row.
+STEP_WORDS = 1 << 18
+
+
+def best_terms(df: DataFrame, key: str, tokens: str, k: int = 20, weights: Sequence[int] = (1, 2, 3), long_phrase: int = 8) -> DataFrame:
+    """What top_terms(ngram_weights(df)) gives, with rank: a key of one row has its n-grams counted inside the row, so
+    only k rows of it leave the task; the n-grams of keys that have more rows are summed by key. df is read twice."""
+    several = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(F.col(key).alias("_several"))
+    same = F.col(key).eqNullSafe(F.col("_several"))
+    alone = row_top_terms(df.join(several, same, "left_anti"), key, tokens, k, weights, long_phrase)
+    summed = top_terms(ngram_weights(df.join(several, same, "left_semi"), key, tokens, weights, long_phrase), key, k)
+    return alone.unionByName(summed.select(*alone.columns))
+
+
+def row_top_terms(df: DataFrame, key: str, tokens: str, k: int, weights: Sequence[int], long_phrase: int) -> DataFrame:
+    """key, term, weight, rank: the k heaviest n-grams of each row's array of tokens, counted by sorting their numbers."""
+    rows = df.select(F.col(key).alias("key"), F.col(tokens).alias("words"))
+    out = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("term", T.StringType()), T.StructField("weight", T.LongType()), T.StructField("rank", T.IntegerType())])
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch.column("words")
+        words = pc.fill_null(words, pa.scalar([], words.type))
+        encoded = pc.list_flatten(words).dictionary_encode()
+        number, spelled = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
+        length = pc.utf8_length(spelled).to_numpy(zero_copy_only=False).astype(np.int64)[number]
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.repeat(np.cumsum(counts), counts)
+        row, place = np.repeat(np.arange(len(counts)), counts), np.arange(len(number))
+        found, gram, said = [], number, length
+        for n, weight in enumerate(weights, 1):
+            if n > 1:
+                # The number of a phrase is that of its beginning among all beginnings, and its last word's.
+                if len(gram) < 2:
+                    break
+                _, begin = np.unique(gram[:-1], return_inverse=True)
+                gram = begin * max(len(spelled), 1) + number[n - 1 :]
+                said = said[:-1] + 1 + length[n - 1 :]
+            fits = np.flatnonzero((place[: len(gram)] + n <= ends[: len(gram)]) & ((said > long_phrase) if n > 1 else True))
+            order = fits[np.lexsort((gram[fits], row[fits]))]  # stable: places ascend
+            new = np.ones(len(order), bool)
+            new[1:] = (gram[order][1:] != gram[order][:-1]) | (row[order][1:] != row[order][:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(order)))
+            found.append(np.stack([row[order[first]], -weight * times, -said[order[first]], np.full(len(first), n), order[first]]))
+        rank_row, load, long, size, at = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+        order = np.lexsort((at, size, long, load, rank_row))
+        rank = np.arange(len(order)) - np.searchsorted(rank_row[order], rank_row[order])
+        order, rank = order[rank < k], rank[rank < k]
+        names = spelled.to_pylist()
+        terms = [" ".join(names[number[j]] for j in range(a, a + n)) for a, n in zip(at[order], size[order], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rank_row[order])), pa.array(terms, pa.string()), pa.array(-load[order], pa.int64()), pa.array(rank + 1, pa.int32())], names=out.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP_WORDS, "right")))
+                yield step(batch.slice(at, to - at))
+                at = to
+
+    return rows.mapInArrow(run, out).withColumnRenamed("key", key)
+
+
 def running_offset(df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: str) -> Column:
     """Sum of delta over the rows before."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -251,7 +251,7 @@ def q_term_containment(spark, sf_dir):
         SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY weight DESC, length(term) DESC, size, first_pos, term) AS place FROM s) WHERE place <= 20""")
 def q_ngram_top20(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("k"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z0-9_]{2,})")).alias("words"))
-    best = rel.top_terms(rel.ngram_weights(turns, "k", "words"), "k", 20)
+    best = rel.best_terms(turns, "k", "words", 20)
     return best.select("k.conv_id", "k.turn", "term", "weight", F.col("rank").cast("bigint").alias("place"))
 
 
@@ -286,7 +286,7 @@ STOPWORDS = (
         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, length(term) DESC, size, first_pos, term) AS place FROM s) WHERE place <= 20""")
 def q_ngram_top20_documents(spark, sf_dir):
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z0-9_]{2,})")), lambda x: ~x.isin(STOPWORDS))
-    best = rel.top_terms(rel.ngram_weights(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")), "doc_id", "words"), "doc_id", 20)
+    best = rel.best_terms(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")), "doc_id", "words", 20)
     return best.select("doc_id", "term", "weight", F.col("rank").cast("bigint").alias("place"))
 
 

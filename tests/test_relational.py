@@ -120,6 +120,19 @@ def test_intervals(spark):
     assert found == {1: (1, 2), 4: (0, 5), 8: (7, 9)}
 
 
+def test_best_terms(spark, monkeypatch):
+    """Counting inside rows gives what counting by key gives, for keys of one row and of several."""
+    rnd = random.Random(6)
+    vocabulary = ["a", "bb", "ccc", "été", "word", "longer"]
+    rows = [(i if i % 7 else 0, [rnd.choice(vocabulary) for _ in range(rnd.choice([0, 1, 2, 3, 40]))]) for i in range(60)] + [(None, ["x"]), (900, None), (901, ["long phrase", "long phrase"])]
+    df = spark.createDataFrame(rows, "k int, words array<string>")
+    want = {(r["k"], r["term"], r["weight"], r["rank"]) for r in rel.top_terms(rel.ngram_weights(df, "k", "words"), "k", 9).collect()}
+    for step in (1, 1 << 18):
+        monkeypatch.setattr(rel, "STEP_WORDS", step)
+        found = [tuple(r) for r in rel.best_terms(df, "k", "words", 9).collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def test_hot_keys_go_by_ranges(spark, monkeypatch):
     """Running values over ranges of rows equal those of a window."""
     rnd = random.Random(9)
