@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import evidence, obligations, semantics
+from lodestone.operators import evidence, focus, obligations, semantics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,3 +137,45 @@ def q_migration_obligations(spark, sf_dir):
     note = F.when(F.col("conv_id") % 4 == 0, " Passing a string is deprecated.").when(F.col("conv_id") % 4 == 1, " with db.begin() as tx").when(F.col("conv_id") % 4 == 2, " a raw string").otherwise("")
     targets = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(said, code).alias("source"), F.concat(said, note).alias("evidence"))
     return obligations.migration_obligations(targets).select("conv_id", "turn", "obligation")
+
+
+@query(r"""
+    WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')[1:3]) AS term FROM benchmark),
+    d AS MATERIALIZED (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents WHERE text IS NOT NULL),
+    x AS (SELECT doc_id, text, term, string_split(lower(text), term) AS parts FROM d JOIN k ON contains(lower(text), term)),
+    o AS (SELECT doc_id, text, term, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda v: length(v)))::BIGINT + (i - 1) * length(term))) AS pos FROM x),
+    h AS MATERIALIZED (
+        SELECT *, greatest(0, pos - 900) AS s, least(length(text), pos + length(term) + 900) AS e FROM o
+        WHERE regexp_matches(substr(text, pos + length(term) + 1, 1), '^([^\p{L}\p{N}_.]|$)') AND (pos = 0 OR regexp_matches(substr(text, pos, 1), '[^\p{L}\p{N}_.]'))),
+    b AS (SELECT *, instr(reverse(substr(text, 1, s)), chr(10) || chr(10)) AS r, instr(substr(text, e + 1), chr(10) || chr(10)) AS f FROM h),
+    w AS (
+        SELECT doc_id, term, CASE WHEN r > 0 AND pos - (s - r - 1) <= 1800 THEN s - r + 1 ELSE s END AS a, CASE WHEN f > 0 AND e + f - 1 - pos <= 1800 THEN e + f - 1 ELSE e END AS z, text FROM b),
+    g AS (SELECT doc_id, a, z, any_value(text) AS text, arg_min(term, (-length(term), term)) AS term FROM w GROUP BY doc_id, a, z)
+    SELECT doc_id, a::INT AS "start", z::INT AS "end", substr(trim(substr(text, a + 1, z - a), ' ' || chr(9) || chr(10) || chr(13)), 1, 2100) AS content,
+           (length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')) + 1)::INT AS line_start,
+           (length(substr(text, 1, z)) - length(replace(substr(text, 1, z), chr(10), '')) + 1)::INT AS line_end, term FROM g""")
+def q_api_windows(spark, sf_dir):
+    """Windows around the first long words of every item in all documents (these have no code blocks)."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.slice(_words(F.col("text"), 8), 1, 3)).alias("term")).distinct()
+    return focus.api_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), terms, "doc_id", "text")
+
+
+@query(r"""
+    WITH k AS (SELECT DISTINCT item_id % 5 AS package, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')[1:2]) AS term FROM benchmark),
+    d AS MATERIALIZED (SELECT doc_id % 5 AS package, doc_id, trim(text || ' It was removed.', ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents WHERE text IS NOT NULL),
+    x AS (SELECT package, doc_id, text, term, string_split(lower(text), term) AS parts FROM d JOIN k USING (package) WHERE contains(lower(text), term)),
+    o AS MATERIALIZED (SELECT package, doc_id, text, term, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda v: length(v)))::BIGINT + (i - 1) * length(term))) AS pos FROM x),
+    s AS (SELECT package, doc_id, text, greatest(0, pos - 900) AS b, least(length(text), pos + length(term) + 900) AS e FROM o),
+    n AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+    g AS (SELECT *, sum(CASE WHEN before IS NULL OR b > before + 80 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS place FROM n),
+    i AS (SELECT package, doc_id, any_value(text) AS text, place, min(b) AS b, max(e) AS e FROM g WHERE place <= 4 GROUP BY ALL),
+    c AS (
+        SELECT package, doc_id, string_agg(CASE WHEN b > 0 THEN '... ' ELSE '' END || trim(substr(text, b + 1, e - b), ' ' || chr(9) || chr(10) || chr(13)) || CASE WHEN e < length(text) THEN ' ...' ELSE '' END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS content
+        FROM i GROUP BY ALL)
+    SELECT package, doc_id AS ref_index, content, m.terms[1:8] AS matched_terms FROM c JOIN (SELECT doc_id, list(DISTINCT term ORDER BY -length(term), term) AS terms FROM o GROUP BY doc_id) m USING (doc_id)""")
+def q_term_stretches(spark, sf_dir):
+    """Documents and items dealt to five packages: stretches around the first words of a package's items in its documents."""
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("package"), F.explode(F.slice(_words(F.col("text"), 6), 1, 2)).alias("term"), F.lit(True).alias("strong")).distinct()
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    references = docs.select((F.col("doc_id") % 5).alias("package"), F.col("doc_id").alias("ref_index"), F.concat("text", F.lit(" It was removed.")).alias("content"))
+    return focus.term_stretches(references, items).select("package", "ref_index", "content", "matched_terms")
