@@ -71,7 +71,8 @@ def _used_attributes(nodes: DataFrame) -> DataFrame:
 
 
 def impact(nodes: DataFrame, edges: DataFrame, changes: DataFrame, max_depth: int = 3) -> DataFrame:
-    """node, depth, impact_reason, affected_attributes of what changed lines may break, without the changed nodes.
+    """node, depth, impact_reason, affected_attributes of what changed lines may break, without the changed nodes, in
+    order of depth and id.
 
     Callers up to max_depth, level by level; users of a changed node's names at depth 1.
     """
@@ -90,7 +91,7 @@ def impact(nodes: DataFrame, edges: DataFrame, changes: DataFrame, max_depth: in
     users = nodes.select(F.col("id").alias("node"), "context_type", F.explode("references").alias("sym")).join(symbols, "sym").where("node <> seed").join(seeds, "node", "left_anti")
     users = users.join(used, ["node", "sym"], "left").select("node", F.lit(1).alias("stage"), F.lit(1).alias("depth"), F.coalesce("attrs", none).alias("affected_attributes"), F.when(F.col("context_type") == "module_level", "module level dependency").otherwise("uses defined symbol").alias("impact_reason"))
     adds = calls.unionByName(users).withColumn("stage", F.struct("stage", "depth", "impact_reason"))
-    return graph.impacts(adds, "node", "stage", "impact_reason", "depth", "affected_attributes")
+    return graph.impacts(adds, "node", "stage", "impact_reason", "depth", "affected_attributes").orderBy("depth", "node")
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

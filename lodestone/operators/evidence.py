@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.functions.arrays import bound
 from lodestone.functions.versions import version_in_window, version_tuple
 from lodestone.operators import relational as rel
 from lodestone.operators.positions import NAMES, phrase_places, positional_index
+from lodestone.operators.references import path_versions_relevant
 from lodestone.operators.semantics import profile_phrases, profile_points, semantic_score
 from lodestone.sources.storage import stored
 
@@ -111,20 +113,52 @@ def rank_chunks(scored: DataFrame, limit: int = MAX_CHUNKS) -> DataFrame:
     return rel.rank_cap_topk(distinct, "url", order, _by_kind(KIND_CAPS, F.col("document_kind"), 3), limit, max(KIND_CAPS.values()))
 
 
+#: A Markdown heading of a version, a version in a heading, the row below a heading of reStructuredText.
+MD_VERSION, RST_VERSION, RST_ROW = r"^#{1,3}\s+(?:\[?v?|[Vv]ersion\s+)(\d+\.\d+(?:\.\d+)*)", r"v?(\d+\.\d+(?:\.\d+)*)", r"^[-=~^#*+]{3,}$"
+
+
 def changelog_sections(documents: DataFrame, low: str, high: str, budget: int = 3 * CHANGELOG_CHARS, least_tail: int = 200) -> DataFrame:
     """doc, version, content, used: sections of change logs whose version lies between two, x.0.0 first, then the
-    newest, while the budget of characters lasts. documents: doc, content."""
-    heading = r"^#{1,3}\s*(?:\[|v|V|[Vv]ersion\s+)*(\d+\.\d+(?:\.\d+)?)"
-    lines = documents.select("doc", F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("version", F.nullif(F.regexp_extract("line", heading, 1), F.lit("")))
-    section = F.count("version").over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.withColumn("section", section).where("section > 0")
-    whole = rows.groupBy("doc", "section").agg(F.max("version").alias("version"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"))
-    kept = whole.where(version_in_window(F.col("version"), F.lit(low), F.lit(high)))
+    newest, while the budget of characters lasts; of a document without such a section its beginning, without a version.
+
+    documents: doc, content and, if there is one, path: a file .rst has headings with a row of signs below them too.
+    """
+    rst = F.lower(F.coalesce("path", F.lit(""))).endswith(".rst") if "path" in documents.columns else F.lit(False)
+
+    def version_at(lines: Column, i: Column) -> Column:
+        line, row = F.rtrim(F.get(lines, i)), F.rtrim(F.coalesce(F.get(lines, i + 1), F.lit("")))
+        underlined = rst & row.rlike(RST_ROW) & (F.abs(F.length(row) - F.length(line)) <= 4) & (F.length(line) >= 3)
+        return F.coalesce(F.nullif(F.regexp_extract(line, MD_VERSION, 1), F.lit("")), F.when(underlined, F.nullif(F.regexp_extract(line, RST_VERSION, 1), F.lit(""))))
+
+    def sections(lines: Column) -> Column:
+        marked = F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.struct(i.alias("at"), version_at(lines, i).alias("version")))
+        return bound(F.filter(marked, lambda m: m["version"].isNotNull()), lambda heads: F.transform(heads, lambda h, j: cut(lines, heads, h, j)))
+
+    def cut(lines: Column, heads: Column, h: Column, j: Column) -> Column:
+        to = F.coalesce(F.get(heads, j + 1)["at"], F.size(lines))
+        return F.struct(j.alias("section"), h["version"].alias("version"), F.array_join(F.slice(lines, h["at"] + 1, to - h["at"]), "\n").alias("content"))
+
+    rows = documents.select("doc", F.explode(bound(F.split("content", "\n"), sections)).alias("s")).select("doc", "s.*")
+    kept = rows.where(version_in_window(F.col("version"), F.lit(low), F.lit(high)))
+    whole = documents.where("content is not null").join(kept.select("doc").distinct(), "doc", "left_anti")
     parts = version_tuple(F.col("version"))
     major = (F.size(parts) >= 3) & (F.get(parts, 1) == 0) & (F.get(parts, 2) == 0)
     kept = kept.withColumn("_minor", ~major).withColumn("_up", F.when(major, F.get(parts, 0)).otherwise(0)).withColumn("_down", F.array(*(-F.coalesce(F.get(parts, i), F.lit(0)) for i in range(3)))).withColumn("_length", F.length("content"))
     limited = rel.char_budget(kept, ["doc"], ["_minor", "_up", "_down", "section"], "_length", budget, least_tail)
-    return limited.select("doc", "version", F.substring("content", F.lit(1), F.col("used")).alias("content"), "used")
+    found = limited.select("doc", "version", F.substring("content", F.lit(1), F.col("used")).alias("content"), F.col("used").cast("long").alias("used"))
+    start = F.substring("content", 1, CHANGELOG_CHARS)
+    return found.unionByName(whole.select("doc", F.lit(None).cast("string").alias("version"), start.alias("content"), F.length(start).cast("long").alias("used")))
+
+
+def rankable(references: DataFrame, low: str, high: str) -> DataFrame:
+    """References that may be ranked: not the old version's documents, and at no address of a version outside the window."""
+    old = F.coalesce("role", F.lit("")) == "old_api_docs" if "role" in references.columns else F.lit(False)
+    return references.where(~old & path_versions_relevant(F.concat_ws(" ", "title", "url"), F.lit(low), F.lit(high)))
+
+
+def fallback_allowed(prior: Column, review: Column) -> Column:
+    """Whether a patch may go by what a model knows, by either flag; null counts as not set."""
+    return F.coalesce(prior, F.lit(False)) | F.coalesce(review, F.lit(False))
 
 
 def supported_changes(changes: DataFrame, evidence: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -25,7 +25,12 @@ VERSIONED_NAMES = (
     "doc/releasenotes/{v}.md", "docs/releasenotes/{v}.md", "doc/release-notes/{v}.md", "docs/release-notes/{v}.md", "doc/release_notes/{v}.md", "docs/release_notes/{v}.md", "docs/releases/{v}.md",
     "release/{v}.md", "releases/{v}.md",
 )
-API_NAMES = ("docs/api/{s}.md", "docs/reference/{s}.md", "docs/{s}.md", "doc/{s}.rst", "docs/api/{s}.rst")
+API_NAMES = (
+    "docs/api/{s}.md", "docs/api/{s}.rst", "docs/reference/{s}.md", "docs/reference/{s}.rst", "docs/concepts/{s}.md", "docs/concepts/{s}s.md", "docs/usage/{s}.md",
+    "doc/source/reference/generated/{a}.rst", "docs/source/reference/generated/{a}.rst",
+)
+#: Fixed value: symbols of a package whose pages are looked for.
+MAX_SYMBOLS = 16
 #: What a page says when there is none, and what shows that it is one of documentation all the same.
 NOT_FOUND = ("page not found", "404 not found", "can't find the page", "could not find the page")
 NOT_FOUND_DOCS = ("documentation", "contents index", "search terms", "current documentation")
@@ -34,16 +39,20 @@ MAX_CANDIDATES, MAX_TREE_DOCS = 18, 12
 
 
 def candidate_paths(packages: DataFrame, symbols: DataFrame) -> DataFrame:
-    """name, ord, path: fixed change logs, then those of each candidate version, then API pages of each symbol; each
-    path once. packages: name, current, latest; symbols: name, symbol."""
+    """name, ord, path: fixed change logs, then those of each candidate version, then API pages of each symbol in
+    order; each path once. packages: name, current, latest; symbols: name, symbol and, if there is one, ord."""
     def numbered(names: tuple[str, ...]) -> Column:
         return F.array(*map(F.lit, names))
 
     fixed = packages.select("name", F.lit(0).alias("stage"), F.lit(0).alias("major"), F.posexplode(numbered(CHANGELOG_NAMES)).alias("minor", "path"))
     by_version = packages.select("name", F.posexplode(candidate_versions(F.col("current"), F.col("latest"))).alias("major", "v"))
     versioned = by_version.select("name", "v", F.lit(1).alias("stage"), "major", F.posexplode(numbered(VERSIONED_NAMES)).alias("minor", "t")).select("name", "stage", "major", "minor", F.replace("t", F.lit("{v}"), F.col("v")).alias("path"))
-    slugs = symbols.groupBy("name", tx.slug(F.col("symbol")).alias("s")).agg(F.lit(1).alias("one")).select("name", "s")
-    pages = slugs.select("name", "s", F.lit(2).alias("stage"), F.lit(0).alias("major"), F.posexplode(numbered(API_NAMES)).alias("minor", "t")).select("name", "stage", "major", "minor", F.replace("t", F.lit("{s}"), F.col("s")).alias("path"))
+    at = F.col("ord") if "ord" in symbols.columns else F.lit(0)
+    distinct = symbols.groupBy("name", "symbol").agg(F.min(at).alias("_at"))
+    placed = distinct.withColumn("major", F.row_number().over(Window.partitionBy("name").orderBy("_at", "symbol"))).where(F.col("major") <= MAX_SYMBOLS)
+    api = F.replace(F.replace("symbol", F.lit("/"), F.lit(".")), F.lit("::"), F.lit("."))
+    pages = placed.select("name", tx.slug(F.col("symbol")).alias("s"), api.alias("a"), F.lit(2).alias("stage"), "major", F.posexplode(numbered(API_NAMES)).alias("minor", "t"))
+    pages = pages.select("name", "stage", "major", "minor", F.replace(F.replace("t", F.lit("{s}"), F.col("s")), F.lit("{a}"), F.col("a")).alias("path"))
     rows = fixed.unionByName(versioned).unionByName(pages).withColumn("ord", F.struct("stage", "major", "minor", "path"))
     return rel.first_rows(rows.select("name", "ord", "path"), ["name", "path"], ["ord"])
 
@@ -53,21 +62,29 @@ def present_paths(candidates: DataFrame, files: DataFrame) -> DataFrame:
     return candidates.join(files, ["name", "path"])
 
 
-def path_score(path: Column, slugs: Column, versions: Column) -> Column:
-    """How likely a documentation file tells of a change; 0 for what isn't documentation."""
+#: What a documentation path has to speak of, and the points of what it speaks of.
+DOC_TOPICS = ("doc", "docs", "change", "release", "migration", "upgrade", "whatsnew", "api", "reference")
+PATH_POINTS = {35: ("migration", "migrating", "upgrade", "upgrading"), 25: ("changelog", "changes", "history", "release", "whatsnew", "what"), 10: ("api", "reference", "concept", "usage")}
+IN_DOCS, HAS_VERSION, NAMES_VERSION, NAMES_SLUG, NAMES_SYMBOL = 5, 20, 18, 22, 16
+
+
+def path_score(path: Column, slugs: Column, versions: Column, compacts: Column | None = None) -> Column:
+    """How likely a documentation file tells of a change; 0 for what isn't documentation.
+
+    slugs, versions: arrays of what may be named. compacts: symbols in letters and digits alone, in the order of slugs; one
+    counts where its slug does not.
+    """
     low = F.lower(path)
-    topic = low.rlike(r"migrat|upgrad|changelog|changes|what|release|history|news|api|reference|docs/")
-    hits = lambda array: F.size(F.filter(array, lambda x: F.contains(low, F.lower(x))))
-    score = (
-        F.when(low.rlike("migrat|upgrad"), 35).otherwise(0)
-        + F.when(low.rlike("changelog|changes|what|release|history|news"), 25).otherwise(0)
-        + F.when(low.rlike("api|reference"), 10).otherwise(0)
-        + F.when(low.startswith("docs/"), 5).otherwise(0)
-        + F.when(F.size(versions_in_text(low)) > 0, 20).otherwise(0)
-        + 18 * hits(versions)
-        + 22 * hits(slugs)
-    )
-    return F.when(low.rlike(r"\.(md|rst|txt|adoc)$") & (topic | (hits(slugs) > 0)), score).otherwise(0)
+    plain = F.regexp_replace(low, "[^a-z0-9]+", "")
+    hits = lambda array: F.size(F.filter(array, lambda x: (x != "") & F.contains(low, F.lower(x))))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    score = F.when(low.rlike("^docs?/"), IN_DOCS).otherwise(0) + F.when(F.size(versions_in_text(low)) > 0, HAS_VERSION).otherwise(0) + NAMES_VERSION * hits(versions) + NAMES_SLUG * hits(slugs)
+    for points, words in PATH_POINTS.items():
+        score = score + F.when(has(words), points).otherwise(0)
+    if compacts is not None:
+        other = F.zip_with(slugs, compacts, lambda s, c: (c != "") & F.contains(plain, c) & ~((s != "") & F.contains(low, F.lower(s))))
+        score = score + NAMES_SYMBOL * F.size(F.filter(other, lambda x: x))
+    return F.when(low.rlike(r"\.(md|rst|txt)$") & has(DOC_TOPICS), score).otherwise(0)
 
 
 def tree_documents(files: DataFrame, fetched: DataFrame, slugs: Column, versions: Column, limit: int = MAX_TREE_DOCS) -> DataFrame:

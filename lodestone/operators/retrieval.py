@@ -75,14 +75,14 @@ def first_stage(stages: Sequence[DataFrame]) -> DataFrame:
 
 def review_targets(usages: DataFrame, package: str = "package", usage: str = "usage", limit: int = TARGET_LIMIT) -> DataFrame:
     """package, usage, place: what to review where no change is known. Usages below the package's own name, or all where
-    there are none; the more specific instead of its prefixes; most parts, then longest, first."""
+    there are none; the more specific instead of its prefixes; most dots, most slashes, then longest, first."""
     rows = usages.select(package, usage).where((F.col(usage) != "") & (F.col(usage) != F.col(package))).distinct()
     own = F.startswith(F.col(usage), F.concat(package, F.lit("."))) | F.startswith(F.col(usage), F.concat(package, F.lit("/")))
     rows = rows.withColumn("_own", own)
     owning = rows.where("_own").select(package).distinct().withColumn("_has", F.lit(True))
     rows = rows.join(owning, package, "left").where("_own or _has is null").withColumn("_key", F.concat(package, F.lit("\0"), usage))
     rows = rows.join(rel.prefer_specific(rows, "_key", [".", "/"]), "_key", "left_semi")
-    order = [F.desc(F.size(F.split(usage, r"\."))), F.desc(F.length(usage)), F.asc(usage)]
+    order = [F.desc(F.size(F.split(usage, r"\."))), F.desc(F.size(F.split(usage, "/"))), F.desc(F.length(usage)), F.asc(usage)]
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(package).orderBy(*order)))
     return placed.where(F.col("place") <= limit).select(package, usage, "place")
 

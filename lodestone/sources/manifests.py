@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 ECOSYSTEMS = {"requirements.txt": "pip", "pyproject.toml": "pip", "package.json": "npm", "go.mod": "go", "Cargo.toml": "cargo", "pom.xml": "maven"}
 UNKNOWN = "unknown"
 _REQUIREMENT = r"^([A-Za-z0-9_.\-]+)(?:\[[^\]]*\])?"
-_SPECIFIER = r"^[A-Za-z0-9_.\-]+\s*(?:==|>=|<=|~=|>|<)\s*([^\s,;]+)"
+_SPECIFIER = r"^[A-Za-z0-9_.\-]+\s*(?:==|>=|<=|~=|>|<)\s*([0-9A-Za-z.\-+]+)"
 _ENTRY = "array<struct<name:string,version:string>>"
 
 
@@ -84,7 +84,7 @@ def packages(files: DataFrame) -> DataFrame:
     requirements = rows(of("requirements.txt"), F.transform(F.split("content", r"\R"), requirement))
     both = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
     node = rows(of("package.json").withColumn("j", both), F.transform(F.concat(*(F.coalesce(F.map_entries(F.col("j")[k]), F.array().cast("array<struct<key:string,value:string>>")) for k in ("dependencies", "devDependencies"))), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version"))))
-    go = r"(?m)(?:require\s+|^|\t)([\w.\-/]+\.[\w.\-/]+)\s+(v[^\s]+)"
+    go = r"(?m)(?:require\s+|^|\t)([\w.\-/]+)\s+(v[0-9A-Za-z.\-+]+)"
     names, versions = (F.regexp_extract_all("content", F.lit(go), F.lit(i)) for i in (1, 2))
     modules = rows(of("go.mod"), F.zip_with(names, versions, lambda n, v: F.struct(n.alias("name"), v.alias("version"))))
     raw = rows(of("pyproject.toml"), _parsed(pyproject_entries)(F.col("content")))

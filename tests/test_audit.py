@@ -11,10 +11,10 @@ from lodestone.sources import lockfiles, manifests, tree
 from pyspark.sql import functions as F
 
 FILES = {
-    "requirements.txt": "Flask==2.0.1  # web\n-r other.txt\n\nrequests\nnumpy>=1.0,<2\nuvicorn[standard]==0.3\n",
+    "requirements.txt": "Flask==2.0.1  # web\n-r other.txt\n\nrequests\nnumpy>=1.0,<2\nuvicorn[standard]==0.3\ndjango==4.*\n",
     "app/pyproject.toml": '[project]\ndependencies = ["click~=8.1", "rich"]\n[tool.poetry.dependencies]\npython = "^3.11"\nhttpx = "^0.27"\nattrs = {version = "~23.1", extras = ["x"]}\n',
     "web/package.json": '{"dependencies": {"react": "^18.2.0"}, "devDependencies": {"vite": "5.0.0"}}',
-    "svc/go.mod": "module example.com/me\n\nrequire (\n\tgithub.com/a/b v1.2.3\n\tgolang.org/x/net v0.9.0 // indirect\n)\nrequire gopkg.in/yaml.v3 v3.0.1\n",
+    "svc/go.mod": "module example.com/me\n\nrequire (\n\tgithub.com/a/b v1.2.3\n\tgolang.org/x/net v0.9.0 // indirect\n)\nrequire gopkg.in/yaml.v3 v3.0.1\nrequire plain v1.0.0\n",
     "core/Cargo.toml": '[dependencies]\nserde = "1.0"\ntokio = {version = "1.2", features = []}\nlocal = {path = "x"}\n[dev-dependencies]\nrand = "0.8"\n',
     "jv/pom.xml": '<project xmlns="urn:m"><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>${v}</version></dependency><dependency><groupId>g</groupId><artifactId>b</artifactId></dependency></dependencies></project>',
     "bad/package.json": "{nope",
@@ -54,6 +54,8 @@ def test_manifests(files):
         ("requirements.txt", "requests"): ("pip", "unknown", False),
         ("requirements.txt", "numpy"): ("pip", "1.0", True),
         ("requirements.txt", "uvicorn"): ("pip", "unknown", False),
+        ("requirements.txt", "django"): ("pip", "4.", True),
+        ("svc/go.mod", "plain"): ("go", "v1.0.0", True),
         ("app/pyproject.toml", "click"): ("pip", "8.1", True),
         ("app/pyproject.toml", "rich"): ("pip", "unknown", False),
         ("app/pyproject.toml", "httpx"): ("pip", "0.27", True),

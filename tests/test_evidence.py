@@ -2,8 +2,10 @@
 
 import pytest
 
+from lodestone.functions import text as tx
 from lodestone.operators import evidence
 from lodestone.sources import api_usage
+from pyspark.sql import functions as F
 
 SOURCES = {
     "a.py": ("python", "import acme as ac\nfrom acme.net import Client as C, get\n# acme.old.thing\nc = C(1)\nc.fetch('acme.str')\nd = c\nd.close()\nac.util.run()\nmine.append(1)\nget()\n"),
@@ -73,10 +75,34 @@ def test_kind_caps(spark):
 def test_changelog_sections(spark):
     log = "# Changes\nold\n## 3.1.0\nthree one\n## v3.0.0\nthree\n## [2.5.0]\ntwo five\n## 2.0.0\ntwo\n## 1.9.0\none nine\n"
     docs = spark.createDataFrame([("d", log), ("e", "nothing here")], "doc string, content string")
-    found = [(r["version"], r["content"]) for r in evidence.changelog_sections(docs, "2.4.0", "3.0.5").collect()]
+    every = evidence.changelog_sections(docs, "2.4.0", "3.0.5").collect()
+    assert [(r["content"], r["used"]) for r in every if r["doc"] == "e"] == [("nothing here", 12)]
+    found = [(r["version"], r["content"]) for r in every if r["doc"] == "d"]
     assert [v for v, _ in found] == ["2.0.0", "3.0.0", "2.5.0"] and found[1][1] == "## v3.0.0\nthree"
     cut = evidence.changelog_sections(docs, "2.4.0", "3.0.5", budget=25, least_tail=5).collect()
-    assert sum(r["used"] for r in cut) == 25
+    assert sum(r["used"] for r in cut if r["doc"] == "d") == 25
+    rst = "Notes\n=====\n\nVersion 2.6\n-----------\nsix\n\n3.0.0 (2024)\n~~~~~~~~~~~~\nthree\n9.9.9\n~~\n"
+    files = spark.createDataFrame([("r", rst, "a.RST"), ("m", rst, "a.md")], "doc string, content string, path string")
+    found = evidence.changelog_sections(files, "2.4.0", "3.0.5").collect()
+    assert [(r["version"], r["content"]) for r in found if r["doc"] == "r"] == [("3.0.0", "3.0.0 (2024)\n~~~~~~~~~~~~\nthree\n9.9.9\n~~\n"), ("2.6", "Version 2.6\n-----------\nsix\n")]
+    assert [(r["version"], r["used"]) for r in found if r["doc"] == "m"] == [(None, len(rst))]
+
+
+def test_rankable_and_flags(spark):
+    rows = [(1, "Notes", "http://x/2.0/notes", None), (2, "Notes", "http://x/9.9/notes", ""), (3, "Old", "http://x", "old_api_docs"), (4, "Guide", "http://x/guide", None)]
+    refs = spark.createDataFrame(rows, "ref_index int, title string, url string, role string")
+    assert {r["ref_index"] for r in evidence.rankable(refs, "1.5.0", "2.5.0").collect()} == {1, 4}
+    flags = spark.createDataFrame([(True, None), (None, None), (False, True)], "a boolean, b boolean").select(evidence.fallback_allowed(F.col("a"), F.col("b")).alias("x"))
+    assert [r["x"] for r in flags.collect()] == [True, False, True]
+
+
+def test_doc_sections_and_names(spark):
+    doc = "Intro\n  Parameters\n-----\na : int\n\nb : str\nReturns:\n---\nthe value\n# Next\nx"
+    rows = spark.createDataFrame([(doc,), ("nothing",), (None,)], "t string")
+    found = [tuple(r) for r in rows.select(tx.doc_section(F.col("t"), r"^(parameters?|args?)\b"), tx.doc_section(F.col("t"), r"^returns?\b"), tx.doc_section(F.col("t"), "^intro", 14)).collect()]
+    assert found == [("a : int\n\nb : str", "the value", "Parameters\na :"), ("", "", ""), ("", "", "")]
+    code = spark.createDataFrame([("self.x = fetch(b'it\\'s', len(y)) if z else \"no\"",)], "t string").select(tx.name_tokens(F.col("t")).alias("n"))
+    assert code.first()["n"] == ["fetch", "x", "y", "z"]
 
 
 def test_supported_changes(spark):
