@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.arrays import bound
+
 CONTEXT = 3
 _CHANGE = "struct<type:string,line_number_old:int,line_number_new:int,content:string>"
 _HUNKS = f"array<struct<hunk_id:string,old_start:int,old_lines:int,new_start:int,new_lines:int,changes:array<{_CHANGE}>>>"
@@ -158,16 +160,22 @@ def splice(content: Column, replacements: Column) -> Column:
     ended = content.endswith("\n")
     lines = F.split(F.when(ended, F.substring(content, F.lit(1), F.length(content) - 1)).otherwise(content), "\n")
     inside = F.filter(replacements, lambda r: (r["start_line"] >= 1) & (r["end_line"] >= r["start_line"]) & (r["end_line"] <= F.size(lines)))
-    # Each line says what stands in its place: itself, nothing, or a replacement at the first line of its range.
-    replaced = F.transform(
-        lines,
-        lambda line, i: F.aggregate(
-            inside,
-            F.array(line),
-            lambda acc, r: F.when((i + 1 >= r["start_line"]) & (i + 1 <= r["end_line"]), F.when(i + 1 == r["start_line"], F.array(F.regexp_replace(r["replacement"], r"\n$", ""))).otherwise(F.array().cast("array<string>"))).otherwise(acc),
-        ),
-    )
-    return F.concat(F.array_join(F.flatten(replaced), "\n"), F.when(ended, "\n").otherwise(""))
+    plain = lambda r: F.array(F.regexp_replace(r["replacement"], r"\n$", ""))
+
+    def between(own: Column) -> Column:
+        """Of ranges in order and apart: the lines up to each, what replaces it, and the lines behind the last."""
+        last = F.coalesce(F.get(own, F.size(own) - 1)["end_line"], F.lit(0))
+        pieces = F.transform(own, lambda r, j: bound(F.when(j > 0, F.get(own, j - 1)["end_line"]).otherwise(0), lambda done: F.concat(F.slice(lines, done + 1, r["start_line"] - 1 - done), plain(r))))
+        return F.concat(F.flatten(pieces), F.slice(lines, last + 1, F.greatest(F.size(lines) - last, F.lit(0))))
+
+    def one_by_one(own: Column) -> Column:
+        """Where ranges meet, each line says what stands in its place; of several ranges the last given counts."""
+        at = lambda i, r: F.when(i + 1 == r["start_line"], plain(r)).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.transform(lines, lambda line, i: F.aggregate(inside, F.array(line), lambda acc, r: F.when((i + 1 >= r["start_line"]) & (i + 1 <= r["end_line"]), at(i, r)).otherwise(acc))))
+
+    meets = lambda own: F.exists(F.zip_with(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, 2, F.size(own)), lambda a, b: b["start_line"] <= a["end_line"]), lambda x: x)
+    replaced = bound(F.sort_array(inside), lambda own: F.when(meets(own), one_by_one(own)).otherwise(between(own)))
+    return F.concat(F.array_join(replaced, "\n"), F.when(ended, "\n").otherwise(""))
 
 
 def merged_blocks(blocks: DataFrame, file: str = "file") -> DataFrame:
