@@ -198,12 +198,14 @@ def supporting_references(changes: DataFrame, references: DataFrame) -> DataFram
     raw = F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "url", "content")))
     said = tx.evidence_text(raw)
     close = (F.coalesce("semantic_score", F.lit(0)) > 0) | F.exists(F.coalesce("matched_terms", F.array().cast("array<string>")), lambda t: (F.length(F.trim(t)) >= 4) & ~F.lower(F.trim(t)).isin(*GENERIC_MATCHES))
-    removal = said.rlike("|".join(REMOVAL_WORDS))
-    marked = stored(references.select("*", raw.alias("_raw"), said.alias("_text"), close.alias("_close"), removal.alias("_gone")).where(tx.has_migration_language(F.col("_text"))), "marked-references")
+    removal = F.exists(F.array(*map(F.lit, REMOVAL_WORDS)), lambda w: F.contains(F.col("_text"), w))
+    # Each text is normalised once; what is read of it after that is stored.
+    told = stored(references.select("ref_index", said.alias("_text"), close.alias("_close")), "told-references")
+    marked = told.where(tx.has_migration_language(F.col("_text"))).withColumn("_gone", removal)
     old, new = (F.transform(f(F.col(c)), tx.evidence_text) for f, c in ((tx.evidence_variants, "old_api"), (tx.replacement_variants, "new_api")))
     names = changes.select("change_id", "type", F.lit(True).alias("direct"), F.explode(old).alias("phrase")).unionByName(changes.select("change_id", "type", F.lit(False).alias("direct"), F.explode(new).alias("phrase")))
     names = stored(names.distinct(), "change-names")
-    index = positional_index(marked.select("ref_index", "_text"), "ref_index", "_text", names)
+    index = positional_index(marked.select("ref_index", "_text"), "ref_index", "_text", names, NAMES)
     places = phrase_places(index, names, how=NAMES).select("phrase", F.col("key").alias("ref_index")).distinct()
     flags = marked.select("ref_index", "_close", "_gone")
     pairs = names.join(places, "phrase").join(flags, "ref_index").groupBy("change_id", "ref_index").agg(
@@ -211,7 +213,7 @@ def supporting_references(changes: DataFrame, references: DataFrame) -> DataFram
     )
     supports = F.when(F.col("direct"), (F.col("type") != "removed") | F.col("_gone")).otherwise(F.col("_close"))
     first = pairs.where(supports).groupBy("change_id").agg(F.min(F.struct("ref_index", "direct")).alias("_first")).select("change_id", "_first.*")
-    rows = first.join(changes, "change_id").join(marked.drop("type"), "ref_index")
+    rows = first.join(changes, "change_id").join(references.drop("type").withColumn("_raw", raw), "ref_index")
     quote = tx.quote_of(F.col("_raw"), F.when(F.col("direct"), tx.evidence_variants(F.col("old_api"))).otherwise(tx.replacement_variants(F.col("new_api"))))
     return rows.select(
         "change_id", F.col("old_api").alias("api"), F.coalesce(F.nullif("type", F.lit("")), F.lit("migration_review")).alias("change_type"), F.coalesce("new_api", F.lit("")).alias("replacement"),

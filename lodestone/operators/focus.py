@@ -112,7 +112,7 @@ def api_windows(references: DataFrame, terms: DataFrame, key: str = "ref_index",
     raw = references.select(key, F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\r\n")).alias("_text")).where("_text <> ''")
     mapped = stored(mapped_text(raw, key, "_text"), "mapped-texts")
     names = stored(terms.select("term", tx.evidence_text(F.col("term")).alias("phrase")).where("phrase <> ''").groupBy("phrase").agg(F.min_by("term", F.struct(-F.length("term"), "term")).alias("term")), "window-terms")
-    index = positional_index(mapped, "key", "said", names)
+    index = positional_index(mapped, "key", "said", names, NAMES)
     hits = raw_places(phrase_places(index, names, how=NAMES).select("phrase", "key", "at"), mapped).join(names, "phrase")
     sizes = mapped.select("key", "breaks", "code").join(raw.select(F.col(key).alias("key"), F.length("_text").alias("_length")), "key")
     half = max(size, 800) // 2

@@ -85,18 +85,23 @@ def word_sieve(words: DataFrame) -> bytes:
     return bytes(out)
 
 
-def positional_index(texts: DataFrame, key: str, text: str, phrases: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+def positional_index(texts: DataFrame, key: str, text: str, phrases: DataFrame | None = None, how: str = ANYWHERE, buckets: int | None = None) -> DataFrame:
     """word_places and part, as a table bucketed by (word, part): a join with it does not shuffle it again.
 
-    phrases (a column phrase): all that will be looked for in the index; then words that are no part of any of them are
-    left out where texts are read, but for a few that a sieve lets through.
+    phrases (a column phrase): all that will be looked for in the index, and how; then words that are no part of any of
+    them are left out where texts are read, but for a few that a sieve lets through. Where phrases stand for whole words
+    the sieve is made of these, else of the texts' vocabulary, for which texts are read once more.
     """
     spark = texts.sparkSession
     buckets = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sieve = None
     if phrases is not None:
-        parts = phrase_words(phrases, ANYWHERE)
-        sieve = word_sieve(probes_in(word_places(texts, key, text).select("word").distinct(), parts).select("word"))
+        parts = phrase_words(phrases, how)
+        if how == ANYWHERE:
+            vocabulary = stored(word_places(texts, key, text).select("word").distinct(), "vocabulary")
+            sieve = word_sieve(probes_in(vocabulary, parts).select("word"))
+        else:
+            sieve = word_sieve(parts.select(F.col("own").alias("word")))
     rows = word_places(texts, key, text, sieve).withColumn("part", F.pmod(F.hash("key"), F.lit(PARTS)))
     name = f"positions_{uuid.uuid4().hex}"
     rows.repartition(buckets, "word", "part").write.bucketBy(buckets, "word", "part").sortBy("word", "part").saveAsTable(name)
