@@ -154,6 +154,16 @@ def test_near_dedup_blocks(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == brute_components(rows, 4, 80)
 
 
+def test_near_dedup_in_buckets_of_many_blocks(spark, monkeypatch):
+    """Pairs of near copies among many texts that share most of their bands, but no link: at least 0.9 are found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    common = " ".join(f"c{i}" for i in range(90))
+    tails = [" ".join(f"u{i}x{j}" for j in range(18)) for i in range(500)]
+    rows = [(2 * i + k, f"{common} {tail}" + (f" v{i}" if k else "")) for i, tail in enumerate(tails) for k in (0, 1)]
+    found = by_id(near_dedup.near_dedup(frame(spark, rows), 5, 80))
+    assert sum(found[2 * i]["component_id"] == found[2 * i + 1]["component_id"] == 2 * i for i in range(500)) >= 450
+
+
 def test_near_dedup_odd_rows(spark):
     found = near_dedup.near_dedup(frame(spark, [(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (5, "a b c d e"), (6, None)])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in found) == [(-1, -1, True), (4, 4, True), (4, 4, True), (5, 4, False), (6, 6, True)]
