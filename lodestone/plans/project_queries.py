@@ -283,3 +283,150 @@ def q_gap_lines(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     hunks = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.concat(F.lit("h"), "doc_id").alias("hunk_id"), (n * 10).cast("long").alias("old_start"), F.lit(5).cast("long").alias("old_lines"), F.lit(7).cast("long").alias("new_lines"))
     return review.gap_lines(hunks, "file")
+
+
+@query(r"""
+    WITH m AS (SELECT conv_id, turn, chr(10) || 'src/a' || (turn % 3) || '.ts:' || (turn + 1) || ':2 bad' || chr(10) || '  File "b.py", line ' || (conv_id % 50 + 1) || chr(10) || 'c.cs(' || (turn * 3 + 1) || ',4): error' AS t FROM conversations)
+    SELECT conv_id, turn, 'b.py' AS file, (conv_id % 50 + 1)::INT AS line, 0 AS pattern FROM m
+    UNION ALL SELECT conv_id, turn, 'src/a' || (turn % 3) || '.ts', (turn + 1)::INT, 2 FROM m
+    UNION ALL SELECT conv_id, turn, 'c.cs', (turn * 3 + 1)::INT, 3 FROM m
+    UNION ALL SELECT conv_id, turn, 'src/a' || (turn % 3) || '.ts', (turn + 1)::INT, 4 FROM m""")
+def q_error_places(spark, sf_dir):
+    """Places of errors that tools write in four ways, in an output for each turn."""
+    output = F.concat(
+        F.lit("\nsrc/a"), F.col("turn") % 3, F.lit(".ts:"), F.col("turn") + 1, F.lit(':2 bad\n  File "b.py", line '), F.col("conv_id") % 50 + 1, F.lit("\nc.cs("), F.col("turn") * 3 + 1, F.lit(",4): error")
+    )
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("k"), output.alias("text"))
+    return diff.error_locations(rows, "k", "text").select("k.conv_id", "k.turn", "file", "line", "pattern")
+
+
+@query("""
+    WITH e AS (SELECT user_id, max(floor(epoch(ts))::BIGINT) AS created FROM events GROUP BY user_id), n AS (SELECT max(created) AS now FROM e)
+    SELECT user_id, created, now - created <= 36000 AS alive FROM e, n""")
+def q_live_sessions(spark, sf_dir):
+    """Users whose last event is at most ten hours before the newest one."""
+    from lodestone.streaming import progress
+
+    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")).alias("created"))
+    now = seen.agg(F.max("created").alias("now"))  # one row
+    return seen.join(F.broadcast(now), F.lit(True)).select("user_id", "created", progress.live(F.col("created"), F.col("now"), 36_000).alias("alive"))
+
+
+@query("""
+    WITH b AS (SELECT source AS file, n_chars % 900 AS s, n_chars % 900 + doc_id % 7 AS e, 'k' || doc_id % 2 AS kind, 'f' || doc_id % 3 AS name FROM documents),
+    n AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+    g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS island FROM n)
+    SELECT file, min(s) AS start_line, max(e) AS end_line, CASE WHEN min(kind) = max(kind) THEN min(kind) ELSE 'merged_block' END AS context_type, CASE WHEN min(name) = max(name) THEN min(name) END AS name FROM g GROUP BY file, island""")
+def q_merged_blocks(spark, sf_dir):
+    """Documents as blocks of their source, by length."""
+    start = F.col("n_chars") % 900
+    return diff.merged_blocks(table(spark, sf_dir, "documents").select(F.col("source").alias("file"), start.alias("start_line"), (start + F.col("doc_id") % 7).alias("end_line"), F.concat(F.lit("k"), F.col("doc_id") % 2).alias("context_type"), F.concat(F.lit("f"), F.col("doc_id") % 3).alias("name")))
+
+
+@query("""
+    SELECT p_partkey AS id, unnest(list_distinct([split_part(p_name, ' ', 1), p_brand || '.' || split_part(p_name, ' ', 1)])) AS sym FROM part WHERE p_size % 2 = 0
+    UNION ALL SELECT p_partkey, split_part(p_name, ' ', 2) FROM part WHERE p_size % 2 = 1""")
+def q_exported(spark, sf_dir):
+    """Parts of even size as methods of their brand, the others as modules that define the second word of their name."""
+    words, even = F.split("p_name", " "), F.col("p_size") % 2 == 0
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("parent"), words[0].alias("name"), F.when(even, "method").otherwise("module_level").alias("context_type"), F.array(words[1]).alias("defines"))
+    return code_graph.exported(nodes).withColumnRenamed("node", "id")
+
+
+@query("""
+    WITH p AS (SELECT name, priority, enabled FROM (SELECT p_partkey::VARCHAR AS name, p_size AS priority, p_size % 2 = 0 AS enabled FROM part))
+    SELECT name, (row_number() OVER (ORDER BY CASE name WHEN '12' THEN 0 WHEN '4' THEN 1 ELSE 2 END, priority, name))::INT AS priority FROM p WHERE enabled""")
+def q_provider_order(spark, sf_dir):
+    """Parts of even size as providers, two of them wanted first where they are enabled."""
+    providers = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_size").alias("priority"), (F.col("p_size") % 2 == 0).alias("enabled"))
+    return review.provider_order(providers, ["12", "4"])
+
+
+@query("""
+    WITH l AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, (event_id % 4) || '.' || (event_id % 5) AS v FROM events WHERE event_id % 3 <> 0),
+    r AS (SELECT user_id, 'changes/' || v || '.rst' AS path, row_number() OVER (PARTITION BY user_id ORDER BY -split_part(v, '.', 1)::INT, -split_part(v, '.', 2)::INT, pos) AS n FROM l WHERE split_part(v, '.', 1)::INT * 10 + split_part(v, '.', 2)::INT BETWEEN 11 AND 23)
+    SELECT user_id::VARCHAR AS url, path FROM r WHERE n <= 8""")
+def q_linked_changelogs(spark, sf_dir):
+    """A user's events as links of an index page, every third as a heading that is none."""
+    event = F.col("event_id")
+    line = F.when(event % 3 == 0, F.concat(F.lit("# "), event)).otherwise(F.concat(F.lit("  changes/"), event % 4, F.lit("."), event % 5, F.lit(".rst")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"])
+    pages = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("url")).agg(F.array_join(ordered, "\n").alias("content"))
+    return references.linked_changelogs(pages, "1.0.0", "2.3.0")
+
+
+@query("""
+    WITH r AS (SELECT p_brand AS key, p_size % 9 + 1 AS s, p_size % 9 + 1 + p_partkey % 2 AS e FROM part),
+    b AS (SELECT DISTINCT p_brand AS key, p_size % 9 + 1 AS s, p_size % 9 + 1 AS e FROM part WHERE p_partkey % 3 <> 0),
+    c AS (SELECT key, s, e, count(*) AS n FROM r GROUP BY ALL),
+    m AS (SELECT c.key, CASE WHEN b.s IS NULL THEN 'lines ' || c.s || '-' || c.e || ' are no block' WHEN n > 1 THEN 'lines ' || c.s || '-' || c.e || ' come ' || n || ' times' END AS error FROM c LEFT JOIN b USING (key, s, e))
+    SELECT key AS brand, coalesce(list(error ORDER BY error) FILTER (error IS NOT NULL), []) AS errors FROM m GROUP BY key""")
+def q_matched_blocks(spark, sf_dir):
+    """A brand's parts as replaced line ranges, against blocks of two thirds of them."""
+    from lodestone.operators import patches
+
+    size = (F.col("p_size") % 9 + 1).cast("int")
+    part = table(spark, sf_dir, "part")
+    one = F.struct(size.alias("start_line"), (size + F.col("p_partkey") % 2).cast("int").alias("end_line"), F.lit("x").alias("replacement"))
+    replaced = part.groupBy(F.col("p_brand").alias("brand")).agg(F.collect_list(one).alias("replacements"))
+    blocks = part.where("p_partkey % 3 <> 0").select(F.col("p_brand").alias("brand"), size.alias("start_line"), size.alias("end_line"))
+    return patches.matched_blocks(replaced, blocks, "brand")
+
+
+@query(r"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n[ \t]*\n'), lambda x: trim(x) <> '') AS ps FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT doc_id, unnest(ps) AS para, generate_subscripts(ps, 1) AS n FROM d),
+    r AS (
+        SELECT doc_id, n, 0 AS chunk, para AS content FROM t WHERE n = 1
+        UNION ALL SELECT q.doc_id, q.n, CASE WHEN fits THEN chunk ELSE chunk + 1 END, CASE WHEN fits THEN content || chr(10) || chr(10) || para ELSE para END
+        FROM (SELECT t.doc_id, t.n, r.chunk, r.content, t.para, length(r.content) + length(t.para) + 2 <= 700 AS fits FROM r JOIN t ON t.doc_id = r.doc_id AND t.n = r.n + 1) q)
+    SELECT doc_id, chunk AS chunk_index, arg_max(content, n) AS content FROM r GROUP BY doc_id, chunk""")
+def q_evidence_chunks(spark, sf_dir):
+    """Lines as paragraphs of all documents."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
+    return evidence.chunks(docs, 700)
+
+
+@query("""
+    SELECT count(*) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT a.p_partkey, b.p_partkey FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 7)) AS edges, count(DISTINCT p_brand) AS files FROM part""")
+def q_graph_stats(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    later = part.select((F.col("p_partkey") - 7).alias("source"), F.col("p_partkey").alias("target"))
+    edges = later.join(part.select(F.col("p_partkey").alias("source")), "source", "left_semi")
+    return code_graph.graph_stats(part.select("p_partkey", F.col("p_brand").alias("file")), edges)
+
+
+@query("""
+    SELECT p_partkey, contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1') AS shown FROM part""")
+def q_graph_filter(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", code_graph.matches_query("Brand#1", "p_name", "p_brand", "p_type").alias("shown"))
+
+
+@query("""
+    WITH c AS (SELECT doc_id AS ref_index, 0 AS chunk_index, CASE doc_id % 4 WHEN 0 THEN 'Release notes' WHEN 1 THEN 'Migration guide' ELSE 'Blog' END AS title,
+                      substr(coalesce(text, ''), 1, 40) || CASE doc_id % 3 WHEN 0 THEN ' breaking' WHEN 1 THEN ' removed, please migrate' ELSE '' END AS content FROM documents),
+    s AS (SELECT *, CASE WHEN contains(lower(content), 'breaking') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(lower(content), 'removed|renamed') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(lower(content), 'migrat|deprecat') THEN 15 ELSE 0 END AS score
+          FROM c WHERE title <> 'Blog')
+    SELECT ref_index, score FROM s WHERE score > 0 ORDER BY score DESC, ref_index, chunk_index LIMIT 4""")
+def q_fallback_chunks(spark, sf_dir):
+    title = F.when(F.col("doc_id") % 4 == 0, "Release notes").when(F.col("doc_id") % 4 == 1, "Migration guide").otherwise("Blog")
+    note = F.when(F.col("doc_id") % 3 == 0, " breaking").when(F.col("doc_id") % 3 == 1, " removed, please migrate").otherwise("")
+    content = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 40), note)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref_index"), F.lit(0).alias("chunk_index"), F.lit("web").alias("source"), title.alias("title"), F.lit("").alias("url"), content.alias("content"))
+    return evidence.fallback_chunks(docs).select("ref_index", F.col("score").cast("int").alias("score"))
+
+
+@query(r"""
+    WITH p AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'docs/' || p_partkey || '.md' WHEN 1 THEN 'docs/migration/v' || (p_partkey % 10) || '.0.rst' WHEN 2 THEN 'src/a' || p_partkey || '.py' ELSE 'changelog-' || p_partkey || '.txt' END AS path FROM part),
+    f AS (SELECT DISTINCT path FROM p WHERE p_partkey % 5 = 0),
+    s AS (
+        SELECT DISTINCT path, CASE WHEN regexp_matches(path, '^docs?/') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(path, '[0-9]+\.[0-9]+') THEN 20 ELSE 0 END + CASE WHEN contains(path, '2.0') THEN 18 ELSE 0 END
+               + CASE WHEN contains(path, '77') THEN 22 ELSE 0 END + CASE WHEN contains(path, 'migration') THEN 35 ELSE 0 END + CASE WHEN contains(path, 'changelog') THEN 25 ELSE 0 END AS path_score
+        FROM p WHERE path NOT IN (SELECT path FROM f) AND regexp_matches(path, '\.(md|rst|txt)$'))
+    SELECT path, path_score FROM s WHERE path_score > 0 ORDER BY path_score DESC, path LIMIT 12""")
+def q_tree_documents(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size") % 4
+    path = F.when(size == 0, F.concat(F.lit("docs/"), key, F.lit(".md"))).when(size == 1, F.concat(F.lit("docs/migration/v"), key % 10, F.lit(".0.rst"))).when(size == 2, F.concat(F.lit("src/a"), key, F.lit(".py"))).otherwise(F.concat(F.lit("changelog-"), key, F.lit(".txt")))
+    files = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    fetched = files.where("p_partkey % 5 = 0").select("path").distinct()
+    return references.tree_documents(files.select("path").distinct(), fetched, F.array(F.lit("77")), F.array(F.lit("2.0")))
