@@ -302,7 +302,7 @@ def _document_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
         for batch in batches:
             for row in batch.to_pylist():
                 own, sizes = np.frombuffer(row["terms"], np.uint64), np.diff(np.frombuffer(row["starts"], np.int32))
-                found, mine, here = np.intersect1d(terms, own, assume_unique=True, return_indices=True)
+                _, mine, here = np.intersect1d(terms, own, assume_unique=True, return_indices=True)
                 total[mine] += sizes[here]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": at.astype(np.int64), "df": total[at]})
