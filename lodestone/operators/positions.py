@@ -43,29 +43,34 @@ def word_places(texts: DataFrame, key: str, text: str, sieve: bytes | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
+        from itertools import accumulate, chain
+        from operator import add
         from zlib import crc32
 
-        word = re.compile(r"\w+")
+        class Sieved(dict):
+            """Whether a word is wanted, remembered for words seen before."""
+
+            def __missing__(self, w: str) -> bool:
+                if len(self) >= 1 << 18:
+                    self.clear()
+                spot = crc32(w.encode()) & mask
+                self[w] = found = bool(sieve[spot >> 3] >> (spot & 7) & 1)
+                return found
+
+        word, wanted = re.compile(r"\w+"), Sieved()
         for batch in batches:
             for i, said in enumerate(batch.column("said").to_pylist()):
-                spans = [m.span() for m in word.finditer(said or "")]
-                if not spans:
+                words = word.findall(said or "")
+                kept = range(len(words)) if sieve is None else [j for j, w in enumerate(words) if wanted[w]]
+                if not kept:
                     continue
-                kept = range(len(spans))
-                if sieve is not None:
-                    spots = (crc32(said[a:b].encode()) & mask for a, b in spans)
-                    kept = [j for j, spot in enumerate(spots) if sieve[spot >> 3] >> (spot & 7) & 1]
-                    if not kept:
-                        continue
-                edges = [(0, 0), *spans, (len(said), len(said))]
-                gaps = [said[a[1] : b[0]] for a, b in zip(edges, edges[1:], strict=False)]
-                dots, total = [], 0
-                for gap in gaps[:-1]:
-                    total += gap.count(".")
-                    dots.append(total)
-                n, end = len(kept), len(spans) - 1
+                # What stands between the words; lengths give the offsets.
+                gaps = word.split(said)
+                at = list(accumulate(map(add, map(len, gaps), chain((0,), map(len, words)))))
+                dots = list(accumulate(g.count(".") for g in gaps))
+                n, end = len(kept), len(words) - 1
                 columns = [
-                    batch.column("key").slice(i, 1).take(pa.array([0] * n)), pa.array(kept, pa.int32()), pa.array([spans[j][0] for j in kept], pa.int32()), pa.array([said[slice(*spans[j])] for j in kept], pa.string()),
+                    batch.column("key").slice(i, 1).take(pa.array([0] * n)), pa.array(kept, pa.int32()), pa.array([at[j] for j in kept], pa.int32()), pa.array([words[j] for j in kept], pa.string()),
                     pa.array([gaps[j] for j in kept], pa.string()), pa.array([gaps[j + 1] for j in kept], pa.string()), pa.array([j == end for j in kept], pa.bool_()), pa.array([dots[j] for j in kept], pa.int32()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "pos", "at", "word", "before", "after", "last", "dots"])
@@ -73,6 +78,22 @@ def word_places(texts: DataFrame, key: str, text: str, sieve: bytes | None = Non
     return own.mapInArrow(run, T.StructType(fields))
 
 
+def distinct_words(texts: DataFrame, text: str) -> DataFrame:
+    """word: every word of the texts once; a batch's words are united before they leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        word = re.compile(r"\w+")
+        for batch in batches:
+            found: set[str] = set()
+            for said in batch.column("said").to_pylist():
+                found.update(word.findall(said or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["word"])
+
+    return texts.select(F.col(text).cast("string").alias("said")).mapInArrow(run, "word string").distinct()
+
+
 def word_sieve(words: DataFrame) -> bytes:
     """The bitmap of the checksums of a column word. It has a fixed size, whatever the number of words."""
     # Bitmaps count positions from 1, in buckets of 32768.
@@ -98,7 +119,7 @@ def positional_index(texts: DataFrame, key: str, text: str, phrases: DataFrame |
     if phrases is not None:
         parts = phrase_words(phrases, how)
         if how == ANYWHERE:
-            vocabulary = stored(word_places(texts, key, text).select("word").distinct(), "vocabulary")
+            vocabulary = stored(distinct_words(texts, text), "vocabulary")
             sieve = word_sieve(probes_in(vocabulary, parts).select("word"))
         else:
             sieve = word_sieve(parts.select(F.col("own").alias("word")))
