@@ -26,8 +26,8 @@ def call_edges(nodes: DataFrame) -> DataFrame:
     calls = nodes.select(F.col("id").alias("source"), F.col("file"), F.explode("calls").alias("call"))
     either = F.array_distinct(F.array("call", F.regexp_extract("call", LAST_PART, 1)))
     refs = calls.select("source", "file", "call", F.explode(either).alias("sym"))
-    best = graph.resolve_references(refs, definitions(nodes), "sym", ["source", "call"], F.col("def_file") == F.col("file"), ["target"])
-    return best.select("source", "target", "call").distinct()
+    best = graph.resolve_references(refs, definitions(nodes).withColumnRenamed("def_file", "file"), "sym", ["source", "call"], "file", "target")
+    return best.select("source", "target", "call")
 
 
 def exported(nodes: DataFrame) -> DataFrame:

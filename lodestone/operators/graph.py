@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.sources.storage import stored
@@ -49,10 +49,25 @@ def degrees(nodes: DataFrame, edges: DataFrame, node: str, source: str = "source
     return ids.join(ends.groupBy(node).agg(F.count(F.lit(1)).alias("degree")), node, "left").select(node, F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def resolve_references(refs: DataFrame, definitions: DataFrame, symbol: str, ref_key: Sequence[str], prefer: Column, order: Sequence[str], allowed: Column | None = None) -> DataFrame:
-    """refs with the best allowed definition of their symbol: the preferred (same file) first, then by order."""
-    joined = refs.join(definitions, symbol).where(F.lit(True) if allowed is None else allowed)
-    return joined.groupBy(*ref_key).agg(F.min_by(F.struct(*(F.col(c) for c in order)), F.struct((~prefer).alias("_other"), *order)).alias("_best")).select(*ref_key, "_best.*")
+def resolve_references(refs: DataFrame, definitions: DataFrame, symbol: str, ref_key: Sequence[str], file: str, target: str, own: str | None = None) -> DataFrame:
+    """refs with the best definition of their symbol: one in their file first, then the least target; never the one
+    that own (a column of refs) names. refs and definitions both have the columns symbol and file.
+
+    Only the least definitions of a symbol, and of it in a file, can be picked: one, or two where own may be the first.
+    A reference meets no others, however often its symbol is defined.
+    """
+
+    def least(*keys: str) -> DataFrame:
+        if own is None:
+            return definitions.groupBy(*keys).agg(F.min(target).alias(target))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(target))
+        return definitions.select(*keys, target).where(F.col(target).isNotNull()).distinct().withColumn("_place", place).where("_place <= 2").drop("_place")
+
+    there = refs.join(least(symbol, file), [symbol, file]).withColumn("_other", F.lit(0))
+    anywhere = refs.join(least(symbol), symbol).withColumn("_other", F.lit(1))
+    found = there.unionByName(anywhere)
+    found = found if own is None else found.where(F.col(own) != F.col(target))
+    return found.groupBy(*ref_key).agg(F.min_by(target, F.struct("_other", target)).alias(target))
 
 
 def consecutive_edges(df: DataFrame, group: Sequence[str], order: Sequence[str], node: str) -> DataFrame:

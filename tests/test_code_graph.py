@@ -4,6 +4,7 @@ import pytest
 
 from lodestone.operators import code_graph, graph
 from lodestone.sources import code_nodes
+from pyspark.sql import functions as F
 
 FILES = {
     "consts.py": "LIMIT = 3\nNAMES = ['a']\n",
@@ -92,3 +93,37 @@ def test_stale_files(spark):
     files = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "path string, mtime double")
     cached = spark.createDataFrame([("a", 1.0, 4), ("b", 1.5, 4), ("c", 3.0, 3)], "path string, mtime double, cache_version int")
     assert {r["path"] for r in code_graph.stale_files(files, cached, 4).collect()} == {"b", "c"}
+
+
+def test_references_do_not_meet_all_definitions(spark):
+    # 3000 calls of one name that 3000 nodes define: nine million pairs, were each to meet each.
+    n = 3000
+    nodes = spark.range(n).selectExpr("concat('n', lpad(id, 5, '0')) as id", "concat('f', id % 7) as file", "cast(null as string) as parent", "'go' as name", "cast(array() as array<string>) as defines", "array('go') as calls")
+    edges = code_graph.call_edges(nodes)
+    assert {(r["source"], r["target"]) for r in edges.collect()} == {(f"n{i:05}", f"n{i % 7:05}") for i in range(n)}
+    assert joined_rows(edges) <= 4 * n
+
+
+def test_references_never_resolve_to_themselves(spark):
+    rows = [("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("b", "y", 4)]
+    part = spark.createDataFrame(rows, "sym string, file string, target long")
+    refs = part.select("sym", "file", F.col("target").alias("me"))
+    found = graph.resolve_references(refs, part, "sym", ["me"], "file", "target", own="me")
+    assert {tuple(r) for r in found.collect()} == {(1, 2), (2, 1), (3, 1)}
+
+
+def joined_rows(df):
+    """The most rows that a join of the plan has put out; df has been collected."""
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        if "Join" in name:
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return max(found)
