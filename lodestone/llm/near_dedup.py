@@ -8,15 +8,15 @@ below the wanted similarity go no further. The others' full sets decide.
 
 Buckets aren't expanded into pairs. Each (in blocks of BLOCK members, with the bucket's first member in every block)
 gives a spanning forest of greatest estimates, so a group of m near copies costs m - 1 candidate pairs. The candidate
-pairs' components are clusters: any two members of one block that the estimate allows are in one. Within a cluster
+pairs' components are clusters: any two members of one block that the estimate allows are in one. In a bucket of more
+blocks, members of different clusters are then compared block against block, and clusters that the estimate allows to
+link are joined; a group of near copies is one cluster by then and costs nothing. Within a cluster
 (block against block of at most BLOCK_SHINGLES hashes, if it is larger) one pass counts the shingles that a member
 shares with all others at once, full sets against full sets, and merges what links; only links that merge leave the
 task, and members that have merged with all they could link with are skipped.
 
-A link is lost only by chance: where its two sets share no band (once in 20 million), where the estimate errs by over
-five and a half standard errors (once in ten million), or, in a bucket of over BLOCK different sets, where in every band
-that both share they fall into different blocks, neither is joined to the bucket's first member there, and no other
-member connects them. Sets of a link share 13 of 32 bands on average, each with a first member and blocks of its own.
+A link is lost only by chance: where its two sets share no band (once in 20 million), or where the estimate errs by
+over five and a half standard errors (once in ten million). No size of a bucket or of a cluster drops one.
 
 Defined cases: texts without words (null, too) have an empty set and link with nothing; fewer words than a shingle
 make one shingle of all of them; repeated rows are linked and each gets its row; a row with null id links with
@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textvec
@@ -192,6 +192,30 @@ def _forests(cut: int):
     return run
 
 
+def crossing_pairs(nodes: np.ndarray, sides: np.ndarray, clusters: np.ndarray, signatures: np.ndarray, cut: int) -> Iterator[tuple[int, int]]:
+    """Pairs of side 0 with side 2 that the cut lets be connected and that merge clusters."""
+    _, label = np.unique(clusters, return_inverse=True)
+    right = np.flatnonzero(sides == 2)
+    for i in np.flatnonzero(sides == 0).tolist():
+        others = right[label[right] != label[i]]
+        for j in others[matches(signatures[i], signatures[others]) >= cut].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield nodes[i], nodes[j]
+
+
+def _crossings(cut: int):
+    schema = arrow_schema(_PAIRS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _groups(batches):
+            nodes, sides, clusters, signatures = rows["node"].to_numpy(), rows["side"].to_numpy(), rows["cluster"].to_numpy(), _signatures(rows)
+            found = [p for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for p in crossing_pairs(nodes[a:b], sides[a:b], clusters[a:b], signatures[a:b], cut)]
+            yield _pair_batch(np.array(found, np.int64).reshape(-1, 2), schema)
+
+    return run
+
+
 def merging_links(nodes: np.ndarray, sides: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], cut: int, links: Callable) -> Iterator[tuple[int, int]]:
     """Links of full sets that merge members: side 0 against 2, or all of side 1. links: of arrays shared, united."""
     sizes = np.array([len(x) for x in sets])
@@ -275,14 +299,22 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     spread = buckets.select("bucket", "node", F.explode(own).alias("part")).join(signature, "node")
     pairs = map_batches(_grouped(spread.select("bucket", "part", "node", "signature")), _forests(cut), _PAIRS)
     clusters = materialize(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
+    large = buckets.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        # What blocks of one bucket may link with each other goes on from the clusters that they have so far.
+        known = large.join(clusters, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("cluster"))
+        mixed = known.groupBy("bucket").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).where("_a < _b").select("bucket")
+        across = F.filter(_block_pairs(block, parts), lambda o: o["side"] != 1)
+        opposed = known.join(mixed, "bucket").select("bucket", "node", "cluster", F.explode(across).alias("o")).select("bucket", "node", "cluster", "o.part", "o.side")
+        crossing = map_batches(_grouped(opposed.join(signature, "node").select("bucket", "part", "node", "side", "cluster", "signature")), _crossings(cut), _PAIRS)
+        joined = clusters.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(crossing.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        clusters = materialize(connected_components(joined), "joined-clusters")
 
     sized = clusters.join(members.select("node", "signature", "n_shingles"), "node")
     totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"))
     parts = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
     block = F.pmod(F.xxhash64("node"), parts).cast("int")
-    # Part i * parts + j compares block i (side 0) with block j (side 2); where i = j all rows have side 1.
-    other = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct((F.least(block, j) * parts + F.greatest(block, j)).alias("part"), F.when(j == block, 1).when(block < j, 0).otherwise(2).alias("side")))
-    placed = sized.join(totals, "component").select(F.col("component").alias("bucket"), "node", "signature", F.explode(other).alias("o")).select("bucket", "node", "signature", "o.part", "o.side")
+    placed = sized.join(totals, "component").select(F.col("component").alias("bucket"), "node", "signature", F.explode(_block_pairs(block, parts)).alias("o")).select("bucket", "node", "signature", "o.part", "o.side")
     compared = placed.join(cluster_sets(source, clusters, shingle), "node").select("bucket", "part", "node", "side", "signature", "shingles")
     links = map_batches(_grouped(compared), _links(cut, lambda shared, united: 100 * shared >= percent * united), _PAIRS)
     components = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -290,6 +322,12 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _block_pairs(block: Column, parts: Column) -> Column:
+    """The parts and sides of a row: part i * parts + j compares block i (side 0) with block j (side 2); where i = j all
+    rows have side 1."""
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct((F.least(block, j) * parts + F.greatest(block, j)).alias("part"), F.when(j == block, 1).when(block < j, 0).otherwise(2).alias("side")))
+
+
 def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component one row, that of the smallest id.
 

@@ -164,6 +164,16 @@ def test_near_dedup_in_buckets_of_many_blocks(spark, monkeypatch):
     assert sum(found[2 * i]["component_id"] == found[2 * i + 1]["component_id"] == 2 * i for i in range(500)) >= 450
 
 
+def test_near_dedup_loses_no_link_between_blocks(spark, monkeypatch):
+    """Every text in every bucket, and each bucket of many blocks: the links are still those of all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "band_keys", lambda least: np.tile(np.arange(near_dedup.BANDS, dtype=np.uint64), (len(least), 1)))
+    texts = [" ".join(f"u{i}x{j}" for j in range(40)) for i in range(60)]
+    rows = [(2 * i + k, text + (f" v{i}" if k else "")) for i, text in enumerate(texts) for k in (0, 1)]
+    found = by_id(near_dedup.near_dedup(frame(spark, rows), 5, 80))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == brute_components(rows, 5, 80)
+
+
 def test_near_dedup_odd_rows(spark):
     found = near_dedup.near_dedup(frame(spark, [(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (5, "a b c d e"), (6, None)])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in found) == [(-1, -1, True), (4, 4, True), (4, 4, True), (5, 4, False), (6, 6, True)]
