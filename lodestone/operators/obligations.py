@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import evidence_text
-from lodestone.operators.positions import PARTS, WORDS, has_near, near_pairs, phrase_places, positional_index
 from lodestone.operators.retrieval import mentions_context_manager
-from lodestone.sources.storage import stored
+from lodestone.operators.scan import Spans, in_blocks, occurrences, shortest
 
 #: What a keyword is called, and the characters that may lie between it and that, after and before it.
 NOUNS, AFTER, BEFORE = ("keyword", "argument", "parameter", "param", "option", "kwarg"), 80, 100
@@ -28,29 +30,48 @@ def keyword_migrations(evidence: DataFrame, keywords: DataFrame, key: str = "doc
 
     An occurrence of the keyword counts if the stretch from BACK characters before it to AHEAD after its beginning has
     both the keyword in a keyword's role (`name =`, or with one of NOUNS near it and no full stop between) and one of
-    KEYWORD_MARKS. Occurrences, roles and marks are positions that meet in bins of distance, so a long text with a
-    frequent keyword is many keys.
+    KEYWORD_MARKS. All that is looked for is found where a text is read, and a keyword is done with its first occurrence
+    that counts.
     """
-    spark = evidence.sparkSession
-    names = keywords.select(F.lower(keyword).alias("word")).where("word <> ''").distinct()
-    wanted = names.select(F.col("word").alias("phrase")).unionByName(spark.createDataFrame([(w,) for w in (*NOUNS, *KEYWORD_MARKS)], "phrase string"))
-    index = positional_index(evidence.select(key, evidence_text(F.col(text)).alias("said")), key, "said", wanted)
-    probes = names.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    seen = index.join(probes, ["word", "part"]).select("key", F.col("word").alias("keyword"), "at", (F.col("at") + F.length("word")).alias("end"), "dots", "after")
-    seen = stored(seen, "keyword-places")
-
-    phrases = lambda words: spark.createDataFrame([(w,) for w in words], "phrase string")
-    nouns = phrase_places(index, phrases(NOUNS), how=WORDS).select("key", "dots", F.col("at").alias("begins"), F.col("end").alias("ends"))
-    sentence = ["key", "dots"]
-    assigned = seen.where(F.col("after").rlike("^ ?=")).select("key", "keyword", F.col("at").alias("begins"), (F.col("end") + F.instr("after", "=")).alias("ends"))
-    ahead = near_pairs(seen.select("key", "keyword", "dots", F.col("at").alias("begin"), F.col("end").alias("at")), nouns.withColumn("other", F.col("begins")), sentence, 0, AFTER).select("key", "keyword", F.col("begin").alias("begins"), "ends")
-    behind = near_pairs(seen.select("key", "keyword", "dots", "at", "end"), nouns.withColumn("other", F.col("ends")), sentence, -BEFORE, 0).select("key", "keyword", "begins", F.col("end").alias("ends"))
-    roles = stored(assigned.unionByName(ahead).unionByName(behind).distinct(), "keyword-roles").withColumnRenamed("begins", "other")
-    inside = F.col("_ends") <= F.col("at") + AHEAD
-    placed = has_near(seen.select("key", "keyword", "at"), roles, ["key", "keyword"], -BACK, AHEAD, also=inside)
-    marks = phrase_places(index, phrases(KEYWORD_MARKS)).select("key", F.col("at").alias("other"), F.col("end").alias("ends"))
-    marked = has_near(placed, marks, ["key"], -BACK, AHEAD, also=inside)
-    return marked.select(F.col("key").alias(key), "keyword").distinct()
+    names = keywords.select(F.lower(keyword).alias("word")).where("word <> ''")
+    found = in_blocks(evidence.select(key, evidence_text(F.col(text)).alias("said")), key, "said", names, "keyword string", _keyword_work)
+    return found.select(F.col("key").alias(key), "keyword").distinct()
+
+
+def _keyword_work(rows: list[tuple[str]]):
+    keywords, nouns, marks = {r[0] for r in rows}, set(NOUNS), shortest(KEYWORD_MARKS)
+    word, given = re.compile(r"\w+"), re.compile(" ?=")
+
+    def use(said: str):
+        marked = Spans((a, a + len(w)) for w in marks for a in occurrences(said, w))
+        if not marked.begins:
+            return
+        places: dict[str, list[int]] = {}
+        called: list[tuple[int, int]] = []
+        for m in word.finditer(said):
+            if (w := m.group()) in keywords:
+                places.setdefault(w, []).append(m.start())
+            if w in nouns:
+                called.append(m.span())
+        begins, ends = [a for a, _ in called], [b for _, b in called]
+        for w, at in places.items():
+            roles = Spans(role for a in at for role in _roles(said, a, a + len(w), begins, ends, given))
+            if roles.begins and any(roles.within(a - BACK, a + AHEAD) and marked.within(a - BACK, a + AHEAD) for a in at):
+                yield (w,)
+
+    return use
+
+
+def _roles(said: str, at: int, end: int, begins: list[int], ends: list[int], given: re.Pattern):
+    """The shortest stretches that have a keyword in a role: assigned, and with the nearest noun after and before it."""
+    if m := given.match(said, end):
+        yield at, m.end()
+    i = bisect_left(begins, end)
+    if i < len(begins) and begins[i] - end <= AFTER and "." not in said[end : begins[i]]:
+        yield at, ends[i]
+    i = bisect_right(ends, at) - 1
+    if i >= 0 and at - ends[i] <= BEFORE and "." not in said[ends[i] : at]:
+        yield begins[i], end
 
 
 def mentions_keyword(text: Column, keyword: Column) -> Column:
