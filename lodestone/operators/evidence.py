@@ -11,9 +11,10 @@ from lodestone.functions import text as tx
 from lodestone.functions.arrays import bound
 from lodestone.functions.versions import version_in_window, version_tuple
 from lodestone.operators import relational as rel
-from lodestone.operators.positions import NAMES, phrase_places, positional_index
+from lodestone.operators.positions import NAMES
 from lodestone.operators.references import path_versions_relevant
-from lodestone.operators.semantics import profile_phrases, profile_points, semantic_score
+from lodestone.operators.scan import text_places
+from lodestone.operators.semantics import profile_points, semantic_score
 from lodestone.sources.storage import stored
 
 CHUNK_CHARS, MAX_CHUNKS, CHANGELOG_CHARS, LEAST_SCORE = 1800, 14, 30_000, 10
@@ -70,15 +71,12 @@ def score_chunks(chunked: DataFrame, terms: DataFrame, versions: Sequence[str] =
     Every term that a chunk (with title and address) contains adds 10 and a fifth of its length up to 8; change words,
     versions, methods (profiles: owner, method), meanings and the kind of document add theirs. A chunk passes that speaks
     of change and has a strong term, a method or a meaning in its own text; a registry's page needs more of the latter.
-    Terms, methods and change words are found by joins with one positional index of the chunks; terms hold a word.
+    Terms and methods are found where the chunks are read; terms hold a word.
     """
     keyed = stored(chunked.withColumn("_key", F.monotonically_increasing_id()).withColumn("document_kind", tx.document_kind(F.col("source"), F.col("title"), F.col("url"))), "keyed-chunks")
     rows = keyed.withColumn("_said", F.concat_ws(" ", "title", "url", "content"))
-    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), said.alias("text")) for kind, said in (("whole", F.lower("_said")), ("said", tx.evidence_text(F.col("_said"))), ("own", tx.evidence_text(F.col("content"))))))
-    wanted = terms.select(F.col("term").alias("phrase"))
-    wanted = wanted if profiles is None else wanted.unionByName(profile_phrases(profiles))
-    index = positional_index(rows.select("_key", F.inline(kinds)).select(F.struct(F.col("_key").alias("id"), "kind").alias("key"), "text"), "key", "text", wanted)
-    found = phrase_places(index.where("key.kind = 'whole'"), terms, "term").select(F.col("phrase").alias("term"), F.col("key.id").alias("_key")).distinct().join(terms.distinct(), "term")
+    found = text_places(rows.select("_key", F.lower("_said").alias("text")), "_key", "text", terms.select(F.col("term").alias("phrase")))
+    found = found.select(F.col("phrase").alias("term"), F.col("key").alias("_key")).distinct().join(terms.distinct(), "term")
     weight = 10 + F.least(F.lit(8), F.floor(F.length("term") / 5).cast("int"))
     hits = found.groupBy("_key").agg(F.sum(weight).alias("_points"), F.array_sort(F.collect_set("term")).alias("matched_terms"), F.array_sort(F.collect_set(F.when(F.col("strong"), F.col("term")))).alias("strong_terms"))
     rows = rows.join(hits, "_key", "left")
@@ -88,7 +86,8 @@ def score_chunks(chunked: DataFrame, terms: DataFrame, versions: Sequence[str] =
     if profiles is None:
         rows = rows.withColumn("method_score", F.lit(0)).withColumn("_whole_method", F.lit(0))
     else:
-        points = profile_points(index.where("key.kind <> 'whole'"), profiles)
+        kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), tx.evidence_text(F.col(said)).alias("text")) for kind, said in (("said", "_said"), ("own", "content"))))
+        points = profile_points(rows.select("_key", F.inline(kinds)).select(F.struct(F.col("_key").alias("id"), "kind").alias("key"), "text"), "key", "text", profiles)
         of = lambda kind: F.coalesce(F.sum(F.when(F.col("key.kind") == kind, F.col("points"))), F.lit(0))
         rows = rows.join(points.groupBy(F.col("key.id").alias("_key")).agg(of("own").alias("_own"), of("said").alias("_whole")), "_key", "left")
         rows = rows.withColumn("method_score", F.coalesce("_own", F.lit(0))).withColumn("_whole_method", F.coalesce("_whole", F.lit(0)))
@@ -192,8 +191,8 @@ def supporting_references(changes: DataFrame, references: DataFrame) -> DataFram
     changes: change_id, type, old_api, new_api. references: ref_index, source, title, url, content, semantic_score,
     matched_terms, evidence_confidence. A reference that speaks of migration supports a change directly if it has one of
     the old API's names (for a removal, with a word of removal), else if it has one of the new API's and is known to be
-    close in meaning. One that has an old name without support supports nothing. Names meet the references in a
-    positional index, and only each change's first reference is read again for its quote.
+    close in meaning. One that has an old name without support supports nothing. Names are looked for where the
+    references are read, and only each change's first reference is read again for its quote.
     """
     raw = F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "url", "content")))
     said = tx.evidence_text(raw)
@@ -205,8 +204,7 @@ def supporting_references(changes: DataFrame, references: DataFrame) -> DataFram
     old, new = (F.transform(f(F.col(c)), tx.evidence_text) for f, c in ((tx.evidence_variants, "old_api"), (tx.replacement_variants, "new_api")))
     names = changes.select("change_id", "type", F.lit(True).alias("direct"), F.explode(old).alias("phrase")).unionByName(changes.select("change_id", "type", F.lit(False).alias("direct"), F.explode(new).alias("phrase")))
     names = stored(names.distinct(), "change-names")
-    index = positional_index(marked.select("ref_index", "_text"), "ref_index", "_text", names, NAMES)
-    places = phrase_places(index, names, how=NAMES).select("phrase", F.col("key").alias("ref_index")).distinct()
+    places = text_places(marked, "ref_index", "_text", names, NAMES).select("phrase", F.col("key").alias("ref_index")).distinct()
     flags = marked.select("ref_index", "_close", "_gone")
     pairs = names.join(places, "phrase").join(flags, "ref_index").groupBy("change_id", "ref_index").agg(
         F.max("direct").alias("direct"), F.first("type").alias("type"), F.first("_close").alias("_close"), F.first("_gone").alias("_gone")
