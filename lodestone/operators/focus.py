@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from lodestone.functions import text as tx
 from lodestone.operators.intervals import merge_intervals, stabbed
-from lodestone.operators.positions import NAMES, near_pairs, phrase_places, positional_index
+from lodestone.operators.positions import NAMES, near_pairs
 from lodestone.operators.relational import first_rows
+from lodestone.operators.scan import text_places
 from lodestone.sources.storage import stored
 
 #: Characters of a window around an API's name, those that an uncut window may have more; characters
@@ -112,8 +113,7 @@ def api_windows(references: DataFrame, terms: DataFrame, key: str = "ref_index",
     raw = references.select(key, F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\r\n")).alias("_text")).where("_text <> ''")
     mapped = stored(mapped_text(raw, key, "_text"), "mapped-texts")
     names = stored(terms.select("term", tx.evidence_text(F.col("term")).alias("phrase")).where("phrase <> ''").groupBy("phrase").agg(F.min_by("term", F.struct(-F.length("term"), "term")).alias("term")), "window-terms")
-    index = positional_index(mapped, "key", "said", names, NAMES)
-    hits = raw_places(phrase_places(index, names, how=NAMES).select("phrase", "key", "at"), mapped).join(names, "phrase")
+    hits = raw_places(text_places(mapped, "key", "said", names, NAMES).select("phrase", "key", "at"), mapped).join(names, "phrase")
     sizes = mapped.select("key", "breaks", "code").join(raw.select(F.col(key).alias("key"), F.length("_text").alias("_length")), "key")
     half = max(size, 800) // 2
     own = hits.join(sizes.select("key", "_length"), "key").select(
@@ -162,9 +162,9 @@ def term_stretches(references: DataFrame, terms: DataFrame, around: int = TERM_C
     of migration and have a strong term of their package, the first stretches around its terms (package, term, strong)."""
     raw = stored(references.select("package", "ref_index", F.trim("content", F.lit(" \t\r\n")).alias("content")).where(tx.has_migration_language(F.col("content"))), "stretch-texts")
     wanted = terms.select("package", F.lower("term").alias("phrase"), "term", "strong").distinct()
-    keyed = raw.select(F.struct("package", "ref_index").alias("key"), F.lower("content").alias("said"))
-    index = positional_index(keyed, "key", "said", wanted.select("phrase"))
-    hits = phrase_places(index, wanted.select("phrase")).select("phrase", F.col("key.package").alias("package"), F.col("key.ref_index").alias("ref_index"), "at", "end").join(wanted, ["package", "phrase"])
+    keyed = raw.select(F.struct("package", "ref_index").alias("key"), "package", F.lower("content").alias("said"))
+    found = text_places(keyed, "key", "said", wanted, group="package")
+    hits = found.select("phrase", F.col("key.package").alias("package"), F.col("key.ref_index").alias("ref_index"), "at", "end").join(wanted, ["package", "phrase"])
     hits = stored(hits, "stretch-hits")
     named = lambda c: F.slice(F.array_sort(F.collect_set(c), _longest_first), 1, MOST_NAMED)
     told = hits.groupBy("package", "ref_index").agg(named("term").alias("matched_terms"), named(F.when(F.col("strong"), F.col("term"))).alias("strong_terms")).where(F.size("strong_terms") > 0)
