@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 from lodestone.operators.prefix import has_hot_key, prefix_sums
 from lodestone.sources.storage import stored
 
+#: Rows of the larger side that overlaps deals to a task, and rows of the smaller that they meet at a time.
+OVERLAP_ROWS, OVERLAP_OTHERS = 4096, 512
+
 
 def lookup_left(df: DataFrame, other: DataFrame, keys: Sequence[str], value: str, default: Column) -> DataFrame:
     """df with one column of other by a composite key; default where nothing matches."""
@@ -259,3 +263,22 @@ def containments(df: DataFrame, key: str, text: str, terms: DataFrame, term_key:
         hits = rows.join(F.broadcast(packed), F.lit(True)).select(key, F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t["_term"]))).alias("t")).select(key, f"t.{term_key}")
         out = hits if out is None else out.unionByName(hits)
     return rows.join(wanted, F.lit(False)).select(key, term_key) if out is None else out
+
+
+def overlaps(many: DataFrame, key: str, few: DataFrame, other: str, words: str, least: int) -> DataFrame:
+    """key, other, shared: how many different words (arrays) two rows share, where at least so many.
+
+    Rows of many are dealt by key, OVERLAP_ROWS of them a task, and meet OVERLAP_OTHERS of the few at a time, in a
+    broadcast; so a pair is counted in the task that makes it, and no task holds more pairs however much there is.
+    """
+    spark = many.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(many.count() / OVERLAP_ROWS))
+    dealt = many.select(key, words).repartition(parts, key).select(key, F.explode(words).alias("_word")).distinct()
+    blocks = max(1, ceil(few.select(other).distinct().count() / OVERLAP_OTHERS))
+    sides = few.select(other, F.explode(words).alias("_word")).distinct()
+    found = None
+    for b in range(blocks):
+        block = sides.where(F.pmod(F.xxhash64(other), F.lit(blocks)) == b)
+        counted = dealt.join(F.broadcast(block), "_word").groupBy(key, other).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+        found = counted if found is None else found.unionByName(counted)
+    return found

@@ -174,3 +174,19 @@ def test_reach_with_cycles(spark):
     seeds = spark.createDataFrame([(1,)], "node int")
     assert {tuple(r) for r in graph.reverse_reach(edges, seeds, 3).collect()} == {(2, 1), (3, 2), (4, 3)}
     assert {tuple(r) for r in graph.degrees(edges.select(F.col("source").alias("n")).distinct(), edges, "n").collect()} == {(1, 2), (2, 3), (3, 4), (4, 2), (5, 1)}
+
+
+def test_overlaps_count_pairs_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(rel, "OVERLAP_ROWS", 5)
+    monkeypatch.setattr(rel, "OVERLAP_OTHERS", 3)
+    rnd = random.Random(9)
+    many, few = ([(i, rnd.choices("abcdefgh", k=rnd.randrange(7))) for i in range(n)] for n in (40, 10))
+    many.append((3, ["a", "b", "h"]))
+    of = lambda rows: {i: set().union(*(w for j, w in rows if j == i)) for i, _ in rows}
+    want = {(i, j, len(a & b)) for i, a in of(many).items() for j, b in of(few).items() if len(a & b) >= 3}
+    left, right = spark.createDataFrame(many, "i int, w array<string>"), spark.createDataFrame(few, "j int, w array<string>")
+    assert sorted(tuple(r) for r in rel.overlaps(left, "i", right, "j", "w", 3).collect()) == sorted(want)
+    monkeypatch.undo()
+    # Pairs are not dealt out again.
+    plan = driver_queries.QUERIES["q_fuzzy_overlap_documents"](spark, DATA)._jdf.queryExecution().toString()
+    assert "hashpartitioning(doc_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(doc_id" in x and "item_id" in x]
