@@ -39,8 +39,11 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED[context.applicationId] = target
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and lost executors take nothing along."""
+def materialize(df: DataFrame, tag: str, **options: str | int) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here and lost executors take nothing along.
+
+    options: of the Parquet writer.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     # What was shuffled for the table is of no use once it is written; small Arrow batches spare the workers' memory.
@@ -48,7 +51,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     for k, v in _WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -130,7 +130,12 @@ def index_segment(ids: np.ndarray, no_id: np.ndarray, texts: pa.Array, n_docs: i
 
 
 def build_index(docs: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index of all documents."""
+    """The stored index of all documents.
+
+    Its rows are large, so Parquet's writer is told to look at the size of what it holds after each row, not after 100, and
+    to keep neither values for a dictionary nor, until its file ends, the least and greatest value of each row group: a
+    task holds a few rows, however many it writes, and a reader one row group.
+    """
     schema = arrow_schema(_INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +146,8 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_i
             yield pa.RecordBatch.from_pydict(index_segment(values, no_id, batch.column("text"), n_docs, n_terms), schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(map_batches(rows, run, _INDEX), "treaps")
+    writer = {"parquet.block.size": 2 * SEGMENT_BYTES, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false"}
+    return materialize(map_batches(rows, run, _INDEX), "treaps", **writer)
 
 
 @dataclass

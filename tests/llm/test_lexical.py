@@ -4,8 +4,10 @@ import math
 import random
 import re
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lodestone.llm import lexical
@@ -57,6 +59,20 @@ def test_search(spark, monkeypatch, segment, leaf, block, cells):
     assert Counter((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in found) == brute(docs, items, 20)
 
 
+def test_index_is_written_in_small_row_groups(spark, monkeypatch):
+    """A task that writes many segments holds a few of them at a time, and nothing of those it has written."""
+    monkeypatch.setattr(lexical, "SEGMENT_BYTES", 3000)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50)), 1, "s") for i in range(300)], DOCS).coalesce(1)
+    index = lexical.build_index(docs, 300, 15_000)
+    (file,) = index.inputFiles()
+    stored = pq.ParquetFile(unquote(urlparse(file).path)).metadata
+    groups = [stored.row_group(i) for i in range(stored.num_row_groups)]
+    assert stored.num_rows == index.count() > 10
+    assert max(g.num_rows for g in groups) <= 2
+    assert not any(g.column(i).is_stats_set and g.column(i).statistics.has_min_max for g in groups for i in range(g.num_columns))
+    assert sorted(i for r in index.collect() for i in np.frombuffer(r["ids"], np.int64)) == list(range(300))
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b", 1, "s")], DOCS), spark.createDataFrame([("1", "a", 1)], ITEMS)
     assert lexical.ranked_search(docs.limit(0), items).count() == 0
