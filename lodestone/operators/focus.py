@@ -159,11 +159,14 @@ def staged(keys: DataFrame, stages: Sequence[Callable[[DataFrame], DataFrame]])
 
 def term_stretches(references: DataFrame, terms: DataFrame, around: int = TERM_CHARS, gap: int = TERM_GAP, most: int = MOST_STRETCHES) -> DataFrame:
     """package, ref_index, content, matched_terms, strong_terms: of references (package, ref_index, content) that speak
-    of migration and have a strong term of their package, the first stretches around its terms (package, term, strong)."""
+    of migration and have a strong term of their package, the first stretches around its terms (package, term, strong).
+
+    A term is looked for anew where it ended, and in lower case whose offsets are those of the text.
+    """
     raw = stored(references.select("package", "ref_index", F.trim("content", F.lit(" \t\r\n")).alias("content")).where(tx.has_migration_language(F.col("content"))), "stretch-texts")
-    wanted = terms.select("package", F.lower("term").alias("phrase"), "term", "strong").distinct()
-    keyed = raw.select(F.struct("package", "ref_index").alias("key"), "package", F.lower("content").alias("said"))
-    found = text_places(keyed, "key", "said", wanted, group="package")
+    wanted = terms.select("package", tx.lower_in_place(F.col("term")).alias("phrase"), "term", "strong").distinct()
+    keyed = raw.select(F.struct("package", "ref_index").alias("key"), "package", tx.lower_in_place(F.col("content")).alias("said"))
+    found = text_places(keyed, "key", "said", wanted, group="package", apart=True)
     hits = found.select("phrase", F.col("key.package").alias("package"), F.col("key.ref_index").alias("ref_index"), "at", "end").join(wanted, ["package", "phrase"])
     hits = stored(hits, "stretch-hits")
     named = lambda c: F.slice(F.array_sort(F.collect_set(c), _longest_first), 1, MOST_NAMED)

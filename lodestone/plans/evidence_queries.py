@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 def _words(text, least=4):
     """Lower-case words of some letters, as SQL has them too."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"([a-z]{{{least},}})"), F.lit(1))
+    return F.regexp_extract_all(tx.lower_in_place(text), F.lit(f"([a-z]{{{least},}})"), F.lit(1))
 
 
 #: Documents whose ids are divisible by 3 speak of a removal, those by 5 of a use.

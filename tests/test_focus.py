@@ -3,7 +3,10 @@
 import random
 import re
 
+import pytest
+
 from lodestone.operators import focus
+from lodestone.plans import evidence_queries
 from pyspark.sql import functions as F
 
 REFS = "ref_index int, content string"
@@ -103,3 +106,19 @@ def test_focused_snippets(spark):
     assert len(pieces) == 2 and all(x.startswith("... ") and x.endswith(" ...") for x in pieces) and "Client.fetch was removed" in pieces[0] and "fetch again" in pieces[1]
     at = text.index("Client.fetch")
     assert pieces[0] == "... " + text[at - 900 : at + len("Client.fetch") + 900].strip() + " ..."
+
+
+def test_term_stretches_of_odd_texts_equal_sql(spark, tmp_path):
+    """A term that overlaps itself, and letters whose lower case is longer, before and in terms."""
+    duckdb = pytest.importorskip("duckdb")
+    pad = "x " * 600
+    texts = [pad + "ananananananan " + pad, pad + "İİİ ananan " + pad, pad + "İ" * 40 + " ananan", "😀 ananan " + pad, "kelvins stanbul lmnopq fghijki fghijkİlmnopq " + pad, None, "", pad + "anananan", "\t ANANAN Kelvins \n"]
+    items = ["Ananan and", "Kelvins İstanbul", "fghijkİlmnopq", None]
+    spark.createDataFrame([(5 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5 * i, t) for i, t in enumerate(items)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(evidence_queries.SQL["q_term_stretches"]).fetchall()
+    found = evidence_queries.QUERIES["q_term_stretches"](spark, str(tmp_path)).collect()
+    assert len(want) == 7 and sorted(map(tuple, found)) == sorted(want)
